@@ -134,6 +134,13 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(off, s, side="right") - 1
 
 
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values modulo 2**64."""
+    out = np.zeros(len(x) + 1, U64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """An even share of 0..n-1 by the hash's upper 32 bits."""
     return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)

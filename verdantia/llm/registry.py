@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op2_jaccard_join
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
