@@ -5,12 +5,14 @@ from __future__ import annotations
 from .jaccard_join import op2_jaccard_join
 from .mixing import ORACLE as OP3_ORACLE
 from .mixing import op3_mixing
+from .piece_sampling import op9_piece_sampling
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing": op3_mixing,
+    "op9_piece_sampling": op9_piece_sampling,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_ORACLE,
