@@ -19,7 +19,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that one numpy step handles; bounds a worker's memory whatever the batch holds.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,7 +79,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse, modulo 2**64."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _powers:
         _powers.clear()
         out = []
