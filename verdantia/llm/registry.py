@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .anisotropic_ann import op5_anisotropic_ann
 from .jaccard_join import op2_jaccard_join
+from .max_score import ORACLE as OP7_ORACLE
+from .max_score import op7_max_score
 from .mixing import ORACLE as OP3_ORACLE
 from .mixing import op3_mixing
 from .piece_sampling import op9_piece_sampling
@@ -12,8 +15,11 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing": op3_mixing,
+    "op5_anisotropic_ann": op5_anisotropic_ann,
+    "op7_max_score": op7_max_score,
     "op9_piece_sampling": op9_piece_sampling,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_ORACLE,
+    "op7_max_score": OP7_ORACLE,
 }
