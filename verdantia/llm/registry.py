@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .anisotropic_ann import op5_anisotropic_ann
+from .html_extract import op8_html_extract
 from .jaccard_join import op2_jaccard_join
 from .max_score import ORACLE as OP7_ORACLE
 from .max_score import op7_max_score
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_anisotropic_ann": op5_anisotropic_ann,
     "op7_max_score": op7_max_score,
+    "op8_html_extract": op8_html_extract,
     "op9_piece_sampling": op9_piece_sampling,
 }
 ORACLES: dict[str, str] = {
