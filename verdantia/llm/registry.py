@@ -5,21 +5,27 @@ from __future__ import annotations
 from .anisotropic_ann import op5_anisotropic_ann
 from .html_extract import op8_html_extract
 from .jaccard_join import op2_jaccard_join
+from .language_id import op6_language_id
 from .max_score import ORACLE as OP7_ORACLE
 from .max_score import op7_max_score
 from .mixing import ORACLE as OP3_ORACLE
 from .mixing import op3_mixing
 from .piece_sampling import op9_piece_sampling
+from .quality import op4_quality
 from .suffix_dedup import op1_suffix_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_anisotropic_ann": op5_anisotropic_ann,
+    "op6_language_id": op6_language_id,
     "op7_max_score": op7_max_score,
     "op8_html_extract": op8_html_extract,
     "op9_piece_sampling": op9_piece_sampling,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_ORACLE,
