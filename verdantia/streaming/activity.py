@@ -40,8 +40,11 @@ def dedup_sessions(events: DataFrame, keys: list[str], seconds: int, late: str =
     return merged.select(*keys, "event_id", "last_ts", "merged")
 
 
-def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
-    """A decision for each request; the window opens with a key's first hit. State is (open, count) for each key."""
+def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """A decision for each request; the window opens with a key's first hit.
+
+    State is (open, count) for each key, dropped once the watermark passes the window's end.
+    """
     size = seconds * 1_000_000
     kind = requests.schema[key].dataType.simpleString()
 
@@ -58,11 +61,11 @@ def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int) -> DataF
             wait = 0 if n <= limit else max(1, round((opened + size - t) / 1e6))
             out.append((k[0], e, n <= limit, max(limit - n, 0), wait))
         state.update((int(opened), int(n)))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((int(opened) + size) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "event_id", "allowed", "remaining", "retry_after"])
 
-    timed = requests.withColumn("t", F.unix_micros("ts")).select(key, "event_id", "t")
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int", "opened long, n int", "append", "ProcessingTimeTimeout")
+    timed = requests.withWatermark("ts", late).withColumn("t", F.unix_micros("ts")).select(key, "event_id", "t", "ts")
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int", "opened long, n int", "append", "EventTimeTimeout")
 
 
 def validated(events: DataFrame, good: str, bad: str):
