@@ -23,7 +23,7 @@ from . import common as C
 
 MODEL, SEED = "piece_bpe_32k.model", 1
 #: Units a task keeps; when more have been seen, it starts over.
-KEEP = 150_000
+KEEP = 250_000
 SPACE_MARK = "▁"
 
 
@@ -45,6 +45,10 @@ def read_pieces(path: str) -> list[tuple[str, int]]:
     return out
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Lattices:
     """Sampling tables of the units seen so far. State s = first[unit] + characters before; its arcs end there."""
 
@@ -53,44 +57,107 @@ class Lattices:
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(pieces) if kind == 6}
         self.weight = 1.0 / (np.arange(len(pieces)) + 10.0)
         self.weight /= self.weight[sorted(self.ids.values())].sum()
-        self.longest = max(map(len, self.ids))
+        # every beginning of a piece, by hash: the piece's id, or -1 where only longer pieces go on
+        ends: dict[str, int] = {t[:m]: -1 for t in self.ids for m in range(1, len(t))}
+        ends.update(self.ids)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in ends])])
+        h = C.span_hash(prefix(code_points("".join(ends))), off[:-1], off[1:])
+        order = np.argsort(h)
+        self.heads, self.head_ids = h[order], np.array(list(ends.values()))[order]
+        self.slots = np.searchsorted(self.heads >> C.U64(46), np.arange((1 << 18) + 1, dtype=C.U64))
+        self.probes = int(np.diff(self.slots).max())
         self.clear()
 
     def clear(self):
         self.first: dict[int, int] = {}
-        self.upto, self.ends, self.piece, self.length, self.count = [], [], [], [], 0
-        self.tables = None
-
-    def add(self, key: int, unit: str):
-        """Forward filtering of one unit: alpha, and the cumulative share of each arc into each state."""
-        self.first[key] = self.count
-        alpha = [1.0]
-        for i in range(1, len(unit) + 1):
-            arcs = []
-            for j in range(max(0, i - self.longest), i):
-                p = self.ids.get(unit[j:i])
-                if p is not None and SPACE_MARK not in unit[j:i]:
-                    arcs.append((alpha[j] * self.weight[p], p, i - j))
-            if not arcs:
-                arcs = [(alpha[i - 1] * 1e-9, -ord(unit[i - 1]) - 1, 1)]
-            total = sum(a[0] for a in arcs)
-            alpha.append(total)
-            if total < 1e-200:  # keep long units in range; shares are ratios, so scaling all is harmless
-                alpha = [a * 1e150 for a in alpha]
-            share = 0.0
-            for a, p, n in arcs:
-                share += a / total
-                self.upto.append(share)
-                self.ends.append(self.count + i)
-                self.piece.append(p)
-                self.length.append(n)
-        self.count += len(unit) + 1
-        self.tables = None
+        self.count = self.size = 0
+        self.table = [np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int8)]
+        self.arc = np.zeros(1 << 16, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where in heads each hash is, or -1."""
+        slot = (h >> C.U64(46)).astype(np.int64)
+        at, to = self.slots[slot], self.slots[slot + 1]
+        out = np.full(len(h), -1)
+        live = np.flatnonzero(at < to)
+        for j in range(self.probes):
+            x = at[live] + j
+            hit = self.heads[x] == h[live]
+            out[live[hit]] = x[hit]
+            live = live[~hit & (x + 1 < to[live])]
+            if not len(live):
+                break
+        return out
+
+    def add(self, keys: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Forward filtering of new units cp[start:end]: alpha, and the cumulative share of each arc into each state."""
+        size = end - start
+        off = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(off[-1]) - np.repeat(off[:-1] - start, size)
+        u = cp[at]
+        left = np.repeat(off[1:], size) - np.arange(len(u))  # characters up to the unit's end
+        state = np.arange(len(u)) + np.repeat(np.arange(len(size)), size)  # before each character; a unit has size + 1
+        p = prefix(u)
+        froms, pids, steps = [], [], []
+        s, m = np.arange(len(u)), 1
+        while len(s):
+            spot = self.find(C.span_hash(p, s, s + m))
+            s, spot = s[spot >= 0], spot[spot >= 0]
+            ids = self.head_ids[spot]
+            froms.append(s[ids >= 0])
+            pids.append(ids[ids >= 0])
+            steps.append(np.full(len(pids[-1]), m))
+            m += 1
+            s = s[left[s] >= m]
+        s, pid, step = np.concatenate(froms), np.concatenate(pids), np.concatenate(steps)
+        bare = np.ones(len(u) + 1, bool)
+        bare[s + step] = False
+        bare = np.flatnonzero(bare[1:])  # characters that no piece ends with
+        logw = np.concatenate([np.log(self.weight[pid]), np.full(len(bare), -20.0)])
+        s, pid, step = np.concatenate([s, bare]), np.concatenate([pid, -1 - u[bare].astype(np.int64)]), np.concatenate([step, np.ones(len(bare), np.int64)])
+        to, level = state[s] + step, (s - off[:-1][np.searchsorted(off, s, side="right") - 1]) + step
+        order = np.lexsort((to, level))
+        s, pid, step, to, level, logw = s[order], pid[order], step[order], to[order], level[order], logw[order]
+        alpha = np.zeros(len(u) + len(size))
+        share = np.zeros(len(s))
+        edge = np.searchsorted(level, np.arange(1, int(size.max()) + 2))
+        for i, j in zip(edge[:-1], edge[1:]):
+            if i == j:
+                continue
+            v = alpha[to[i:j] - step[i:j]] + logw[i:j]
+            new = np.flatnonzero(np.append(True, to[i + 1 : j] != to[i : j - 1]))
+            n = np.diff(np.append(new, j - i))
+            top = np.maximum.reduceat(v, new)
+            v = np.exp(v - np.repeat(top, n))
+            total = np.add.reduceat(v, new)
+            alpha[to[i:j][new]] = top + np.log(total)
+            run = np.cumsum(v)
+            share[i:j] = (run - np.repeat(run[new] - v[new], n)) / np.repeat(total, n)
+        order = np.argsort(to, kind="stable")
+        final = np.append(to[order][1:] != to[order][:-1], True)
+        need = self.size + len(s)
+        if need > len(self.table[0]):
+            self.table = [np.concatenate([t[: self.size], np.zeros(need * 2 - self.size, t.dtype)]) for t in self.table]
+        for t, values in zip(self.table, ((to + np.clip(share, 0, 1 - 1e-9))[order] + self.count, pid[order], step[order], final)):
+            t[self.size : need] = values
+        states = len(u) + len(size)
+        if self.count + states > len(self.arc):
+            self.arc = np.concatenate([self.arc[: self.count], np.zeros((self.count + states) * 2, np.int32)])
+        n = np.bincount(to, minlength=states)
+        self.arc[self.count : self.count + states] = self.size + np.cumsum(n) - n
+        for k, f in zip(keys.tolist(), (off[:-1] + np.arange(len(size)) + self.count).tolist()):
+            self.first[k] = f
+        self.size, self.count = need, self.count + states
 
     def arrays(self):
-        if self.tables is None:
-            self.tables = np.array(self.ends) + np.minimum(np.array(self.upto), 1 - 1e-9), np.array(self.piece, np.int64), np.array(self.length, np.int64), np.array(self.ends, np.int64)
-        return self.tables
+        """(state + cumulative share, piece, length, whether it is its state's last) of all arcs."""
+        return [t[: self.size] for t in self.table]
+
+
+def prefix(cp: np.ndarray) -> np.ndarray:
+    """As prefix_hash, over code points."""
+    up, _ = C.powers(len(cp) + 1)
+    return C.running((cp.astype(C.U64) + C.U64(1)) * up[: len(cp)])
 
 
 def unit_bounds(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -108,24 +175,21 @@ def uniform(row: np.ndarray, place: np.ndarray, step: int, seed: int) -> np.ndar
 
 def sample(texts: list[str], keys: np.ndarray, lat: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, row offsets) of the texts."""
-    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = code_points("".join(texts))
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     if not len(raw):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     start = unit_bounds(raw, off)
     end = np.append(start[1:], len(raw))
     row = np.searchsorted(off, start, side="right") - 1
-    up, down = C.powers(len(raw) + 1)
-    p = C.running((raw.astype(C.U64) + C.U64(1)) * up[: len(raw)])
-    h = C.mix((p[end] - p[start]) * down[start])
+    h = C.span_hash(prefix(raw), start, end)
     uniq, one, at = np.unique(h, return_index=True, return_inverse=True)
     if len(lat.first) > KEEP:
         lat.clear()
-    whole = "".join(texts)
-    for u, i in zip(uniq.tolist(), one.tolist()):
-        if u not in lat.first:
-            lat.add(u, whole[start[i] : end[i]])
-    upto, piece, length, ends = lat.arrays()
+    new = np.array([u not in lat.first for u in uniq.tolist()], bool)
+    if new.any():
+        lat.add(uniq[new], raw, start[one[new]], end[one[new]])
+    upto, piece, length, last = lat.arrays()
     base = np.array([lat.first[u] for u in uniq.tolist()], np.int64)[at]
     state = base + end - start
     first_unit = np.searchsorted(row, np.arange(len(texts)))
@@ -134,8 +198,12 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattices, seed: int) -> tupl
     live, got, step = np.arange(len(start)), [], 0
     while len(live):
         s = state[live]
-        a = np.minimum(np.searchsorted(upto, s + uniform(salt[live], place[live], step, seed), side="right"), len(upto) - 1)
-        a = np.where(ends[a] > s, a - 1, a)  # a draw beyond the last share by rounding
+        draw = s + uniform(salt[live], place[live], step, seed)
+        a = lat.arc[s].astype(np.int64)
+        more = np.flatnonzero((upto[a] <= draw) & (last[a] == 0))
+        while len(more):
+            a[more] += 1
+            more = more[(upto[a[more]] <= draw[more]) & (last[a[more]] == 0)]
         got.append((live, piece[a]))
         state[live] = s - length[a]
         live = live[state[live] > base[live]]
