@@ -7,7 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODELS = {"general": (0.0673, 2.59), "broadleaf": (0.1027, 2.4798), "tropical": (0.0509, 2.7)}
+# Biomass in kg is a * DBH**b, DBH in cm.
+MODELS = {
+    "tropical_chave": (0.0673, 2.616),
+    "temperate_jenkins": (0.0346, 2.9451),
+    "urban_generic": (0.1066, 2.4572),
+}
 
 
 def ndvi(nir: Column, red: Column) -> Column:
@@ -151,8 +156,9 @@ def dbh_from_volume(volume: Column, height: float = 8.0, shape: str = "sphere",
     return dbh_from_crown(d, ratio)
 
 
-def agb(dbh: Column, model: str = "general") -> Column:
-    a, b = MODELS[model]
+def agb(dbh: Column, model: str | tuple[float, float] = "urban_generic") -> Column:
+    """Biomass by a named model or by (a, b)."""
+    a, b = MODELS[model] if isinstance(model, str) else model
     return F.when(dbh > 0, a * F.pow(dbh, F.lit(b))).otherwise(0.0)
 
 
@@ -169,26 +175,47 @@ def density_per_ha(stock: Column, area_m2: Column) -> Column:
 
 
 def need_tier(score: Column) -> Column:
-    return F.when(score < 25, "critical").when(score < 50, "high").when(score < 75, "moderate").when(score.isNotNull(), "low").otherwise("unscored")
-
-
-def need_text(score: Column, canopy: Column) -> Column:
-    return F.when(score.isNull(), "No score").otherwise(F.format_string("%s need: score %.1f, canopy %.0f m2", F.initcap(need_tier(score)), score, canopy))
-
-
-# Display labels of candidate classes.
-CLASS_LABELS = {"candidate_public_like": "Public-like open space", "candidate_context_dependent": "Context-dependent", "candidate_other": "Other open space"}
+    return F.when(score < 25, "Critical").when(score < 50, "High").when(score < 75, "Moderate").when(score.isNotNull(), "Low").otherwise("Unscored")
+
+
+def need_text(score: Column, impervious: Column, temperature: Column, tree_density: Column, population: Column, canopy_m2: Column, stock_t: Column) -> Column:
+    """The sentence of a score's band; a missing indicator has a word instead."""
+    text = lambda form, x, word: F.when(x.isNotNull(), F.format_string(form, x)).otherwise(word)
+    one = F.format_string("%.1f", score)
+    # The sentences of the four bands and of blocks without a score.
+    return (
+        F.when(score.isNull(), "Unscored block — excluded from baseline evaluation (e.g. water body, quarry, or data gap).")
+        .when(score < 25, F.concat(F.lit("Critical Ecological Need: Score "), one, F.lit(" reflects severe vegetative deficit with "), text("%.0f%%", impervious * 100, "High"), F.lit(" impervious cover and "), text("%.1f°C", temperature, "Elevated"), F.lit(" surface temperature.")))
+        .when(score < 50, F.concat(F.lit("High Intervention Need: Score "), one, F.lit(" indicates high thermal and vegetative vulnerability (tree density: "), text("%.2f", tree_density, "Low"), F.lit(", population heat exposure: "), F.format_string("%.2f", F.coalesce(population, F.lit(0.0))), F.lit(").")))
+        .when(score < 75, F.concat(F.lit("Moderate Stress: Score "), one, F.lit(" with canopy baseline of "), text("%.0f m²", canopy_m2, "Moderate"), F.lit(". Secondary candidate for selective canopy infill.")))
+        .otherwise(F.concat(F.lit("Low Need / Stable: Score "), one, F.lit(" indicates preserved vegetation ("), text("%.1f t CO₂e", stock_t, "Substantial"), F.lit(" standing carbon). Priority is canopy conservation.")))
+    )
+
+
+# Display labels of candidate classes, and the tags that make a class.
+CLASS_LABELS = {
+    "candidate_other_open_space": "Other open space",
+    "candidate_public_like": "Public-like open space",
+    "candidate_context_dependent": "Context-dependent",
+    "other_open_space": "Other open space",
+    "public_like": "Public-like open space",
+    "context_dependent": "Context-dependent",
+}
+PUBLIC_LIKE = ("park", "garden", "recreation_ground", "pitch", "village_green")
+CONTEXT = "farmland cemetery school college university hospital graveyard institutional education residential commercial industrial allotments retail".split()
 
 
 def class_display(c: Column) -> Column:
+    """The label of a known class, else its words in title case."""
     known = F.lit(None).cast("string")
     for k, label in CLASS_LABELS.items():
         known = F.when(c == k, label).otherwise(known)
-    return F.coalesce(known, F.initcap(F.replace(F.replace(c, F.lit("candidate_"), F.lit("")), F.lit("_"), F.lit(" "))))
+    words = F.initcap(F.replace(F.replace(c, F.lit("candidate_"), F.lit("")), F.lit("_"), F.lit(" ")))
+    return F.coalesce(known, words)
 
 
 def candidate_class(landuse: Column, leisure: Column, amenity: Column) -> Column:
-    return F.when(leisure.isin("park", "garden") | landuse.isin("recreation_ground"), "candidate_public_like_open_space").when(amenity.isin("school", "university") | landuse.isin("grass", "forest"), "candidate_context_dependent_open_space").otherwise("candidate_other")
+    return F.when(leisure.isin(*PUBLIC_LIKE) | landuse.isin(*PUBLIC_LIKE), "candidate_public_like_open_space").when(landuse.isin(*CONTEXT) | amenity.isin(*CONTEXT), "context_dependent").otherwise("candidate_other_open_space")
 
 
 def source_landuse(landuse: Column, leisure: Column, amenity: Column) -> Column:

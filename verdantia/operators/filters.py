@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAD_LAND_USE = ("military", "railway", "quarry", "landfill")
-ACTIVITY_TYPES = ("click", "view", "purchase", "signup")
+# Fixed values of the activity log and of the class layers.
+ACTIVITY_TYPES = ("viewed_block", "analyzed_study_area", "viewed_carbon", "viewed_scenario", "viewed_planting_opportunity", "exported_report", "research_saved")
+CATEGORIES = ("explore", "carbon", "analysis", "planting")
+ACTIONS = ("viewed", "analyzed", "saved", "exported")
+ENTITY_TYPES = ("block", "study_area", "ward", "scenario", "planting_unit", "report", "session")
+LAND_COVER = {0: "water", 1: "trees", 2: "grass", 3: "flooded_vegetation", 4: "crops", 5: "shrub_and_scrub", 6: "built", 7: "bare", 8: "snow_and_ice"}
+SEGMENTATION = {0: "canopy", 1: "impervious", 2: "pervious", 3: "water"}
 
 
 def cloud_scenes(df: DataFrame, d0: str, d1: str, pct: int) -> DataFrame:
@@ -139,9 +145,15 @@ def carbon_violations(df: DataFrame) -> DataFrame:
     )
 
 
-def activity_status(df: DataFrame) -> DataFrame:
-    """Checked events: allowed type, title of 1 to 120 characters; long descriptions and ids are cut."""
-    ok = F.col("event_type").isin(*ACTIVITY_TYPES) & F.length("title").between(1, 120)
+def activity_status(df: DataFrame, types: tuple = ACTIVITY_TYPES) -> DataFrame:
+    """Checked events: allowed type, category, action and entity type where there is one, title of 1 to 120 characters.
+
+    Long descriptions and ids are cut.
+    """
+    ok = F.col("event_type").isin(*types) & F.length("title").between(1, 120)
+    for column, allowed in (("category", CATEGORIES), ("action_type", ACTIONS), ("entity_type", ENTITY_TYPES)):
+        if column in df.columns:
+            ok = ok & (F.col(column).isNull() | F.col(column).isin(*allowed))
     return df.withColumns({"ok": F.coalesce(ok, F.lit(False)), "description": F.substring("description", 1, 300), "entity": F.substring("entity", 1, 100)})
 
 
@@ -159,8 +171,14 @@ def lookup(column: Column, table: dict) -> Column:
 
 
 def result_type(kind: Column) -> Column:
-    k = F.lower(kind)
-    return (
-        F.when(k.isin("suburb", "neighbourhood", "quarter", "village", "town"), "Locality").when(k.isin("road", "street", "residential", "primary"), "Road")
-        .when(k.isin("attraction", "monument", "park"), "Landmark").when(k.isin("administrative", "city", "county"), "Area").when(k.isNull() | (k == ""), "Place").otherwise(F.initcap(F.replace(k, F.lit("_"), F.lit(" "))))
-    )
+    # Place types by group.
+    groups = {
+        "Locality": "residential neighbourhood suburb village quarter city_block",
+        "Road": "secondary primary tertiary trunk road street highway motorway",
+        "Landmark": "historic attraction museum monument ruins tourism place_of_worship park",
+        "Area": "city town county state administrative",
+    }
+    k, out = F.lower(kind), F.when(kind.isNull() | (kind == ""), "Place")
+    for name, words in groups.items():
+        out = out.when(k.isin(*words.split()), name)
+    return out.otherwise(F.concat(F.upper(F.substring(k, 1, 1)), k.substr(F.lit(2), F.length(k))))

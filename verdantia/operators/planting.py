@@ -13,7 +13,7 @@ from .spatial import distance_pairs
 from .windows import nested_prefixes, within_budget
 
 
-def carbon_chain(canopy: Column, height: Column, model: str = "general") -> dict[str, Column]:
+def carbon_chain(canopy: Column, height: Column, model: str = "urban_generic") -> dict[str, Column]:
     """trees, agb_kg and co2_t of a canopy area and height: crown 0.6 h, its area at least 1 m2."""
     crown = 0.6 * height
     area = F.greatest(math.pi * (crown / 2) * (crown / 2), F.lit(1.0))
@@ -30,7 +30,7 @@ def height_policy(blocks: DataFrame, heights: DataFrame, allow_fallback: bool) -
     return met.withColumns({"height": F.coalesce("measured", S.height_fallback(F.col("canopy_m2") / F.col("block_area"))), "height_source": F.when(F.col("measured").isNotNull(), "measured").otherwise("fallback")}).drop("measured")
 
 
-def block_co2(blocks: DataFrame, model: str = "general") -> DataFrame:
+def block_co2(blocks: DataFrame, model: str = "urban_generic") -> DataFrame:
     made = blocks.withColumns(carbon_chain(F.col("canopy_m2"), F.col("height"), model))
     return made.withColumns({"trees": F.round("trees", 1), "agb_kg": F.round("agb_kg", 2), "co2_t": F.round("co2_t", 4), "allometry": F.lit(model)})
 

@@ -9,7 +9,7 @@ from .catalog import query
 from .q_joins import over
 
 CHAIN = """chain AS (SELECT *, CASE WHEN height > 0.01 AND canopy_m2 > 0 THEN canopy_m2 / greatest(pi() * (0.6::DOUBLE * height / 2) * (0.6::DOUBLE * height / 2), 1.0) ELSE 0.0 END AS trees,
-  CASE WHEN height > 0 THEN 0.0673::DOUBLE * pow(0.6::DOUBLE * height * 100 / 20.0, 2.59::DOUBLE) ELSE 0.0 END AS one FROM carbon), co AS (SELECT *, trees * one AS agb, trees * one * 0.47::DOUBLE * (44.0::DOUBLE / 12.0) / 1000 AS co2 FROM chain)"""
+  CASE WHEN height > 0 THEN 0.1066::DOUBLE * pow(0.6::DOUBLE * height * 100 / 20.0, 2.4572::DOUBLE) ELSE 0.0 END AS one FROM carbon), co AS (SELECT *, trees * one AS agb, trees * one * 0.47::DOUBLE * (44.0::DOUBLE / 12.0) / 1000 AS co2 FROM chain)"""
 
 
 @query(f", {CHAIN} SELECT block_id, round(trees, 4) AS trees, round(agb, 3) AS agb_kg, round(co2, 4) AS co2_t FROM co")
@@ -18,7 +18,7 @@ def cb_chain(v):
     return got.select("block_id", F.round("trees", 4).alias("trees"), F.round("agb_kg", 3).alias("agb_kg"), F.round("co2_t", 4).alias("co2_t"))
 
 
-@query(f", {CHAIN} SELECT block_id, round(trees, 1) AS trees, round(agb, 2) AS agb_kg, round(co2, 4) AS co2_t, 'general' AS allometry FROM co")
+@query(f", {CHAIN} SELECT block_id, round(trees, 1) AS trees, round(agb, 2) AS agb_kg, round(co2, 4) AS co2_t, 'urban_generic' AS allometry FROM co")
 def cb_block_co2(v):
     return O.block_co2(v.carbon).select("block_id", "trees", "agb_kg", "co2_t", "allometry")
 
@@ -34,7 +34,7 @@ def cb_height_policy(v):
     return O.height_policy(v.carbon.drop("height"), heights, True).select("block_id", F.round("height", 6).alias("height"), "height_source")
 
 
-@query("SELECT feat_id, round(0.0673::DOUBLE * pow(cbrt(6.0 * (maxx - minx) * 3 / pi()) * 5, 2.59::DOUBLE), 4) AS agb FROM feats WHERE kind = 'canopy'")
+@query("SELECT feat_id, round(0.1066::DOUBLE * pow(cbrt(6.0 * (maxx - minx) * 3 / pi()) * 5, 2.4572::DOUBLE), 4) AS agb FROM feats WHERE kind = 'canopy'")
 def cb_volume_co2(v):
     volume = ((F.col("maxx") - F.col("minx")) * 3).cast("double")
     return v.feats.filter("kind = 'canopy'").select("feat_id", F.round(S.agb(S.dbh_from_volume(volume)), 4).alias("agb"))
@@ -49,7 +49,7 @@ def cb_independent_check(v):
 
 
 @query(f""", o AS (SELECT a.area_id, {over('a', 'f')} AS area FROM areas a JOIN feats f ON f.kind = 'canopy' AND {over('a', 'f')} > 0), s AS (SELECT area_id, CAST(sum(area) AS BIGINT) AS canopy FROM o GROUP BY area_id)
-SELECT area_id, canopy, round(canopy / greatest(pi() * 9, 1.0) * 0.0673::DOUBLE * pow(30.0, 2.59::DOUBLE) * 0.47::DOUBLE * (44.0::DOUBLE / 12.0) / 1000, 3) AS co2_t FROM s""")
+SELECT area_id, canopy, round(canopy / greatest(pi() * 9, 1.0) * 0.1066::DOUBLE * pow(30.0, 2.4572::DOUBLE) * 0.47::DOUBLE * (44.0::DOUBLE / 12.0) / 1000, 3) AS co2_t FROM s""")
 def cb_study_area(v):
     o = P.overlaps(v.areas, v.feats.filter("kind = 'canopy'")).groupBy(F.col("a_area_id").alias("area_id")).agg(F.sum("area").cast("long").alias("canopy"))
     return o.select("area_id", "canopy", F.round(O.carbon_chain(F.col("canopy"), F.lit(10.0))["co2_t"], 3).alias("co2_t"))

@@ -138,7 +138,7 @@ def val_carbon_invariants(v):
 def val_activity_event(v):
     n = F.col("event_id").cast("int")
     made = v.activity.withColumns({"title": F.repeat(F.lit("t"), n % 130), "description": F.repeat(F.lit("d"), n % 400)})
-    return O.activity_status(made).select("event_id", "ok", F.length("description").cast("long").alias("described"))
+    return O.activity_status(made, ("click", "view", "purchase", "signup")).select("event_id", "ok", F.length("description").cast("long").alias("described"))
 
 
 @query("SELECT event_type <> 'purchase' OR role IN ('researcher', 'admin') AS accepted, count(*) AS n FROM activity GROUP BY 1")
@@ -148,12 +148,9 @@ def flt_role(v):
     return yes.withColumn("accepted", F.lit(True)).unionByName(no.withColumn("accepted", F.lit(False))).groupBy("accepted").agg(F.count("*").alias("n"))
 
 
-LABELS = {0: "canopy", 1: "impervious", 2: "bare", 3: "water"}
-
-
-@query("SELECT CASE seg WHEN 0 THEN 'canopy' WHEN 1 THEN 'impervious' WHEN 2 THEN 'bare' WHEN 3 THEN 'water' END AS label, count(*) AS n FROM px GROUP BY 1")
+@query("SELECT CASE seg WHEN 0 THEN 'canopy' WHEN 1 THEN 'impervious' WHEN 2 THEN 'pervious' WHEN 3 THEN 'water' END AS label, count(*) AS n FROM px GROUP BY 1")
 def prj_class_label(v):
-    return v.px.groupBy(O.lookup(F.col("seg").cast("int"), LABELS).alias("label")).agg(F.count("*").alias("n"))
+    return v.px.groupBy(O.lookup(F.col("seg").cast("int"), O.SEGMENTATION).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE scl WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 4 THEN 2 WHEN 6 THEN 1 WHEN 0 THEN 3 END AS target, count(*) AS n FROM obs GROUP BY 1")
@@ -181,7 +178,7 @@ def prj_coalesce_unknown(v):
     return v.feats.select("feat_id", *(F.coalesce(c, F.lit("unknown")).alias(c) for c in ("landuse", "leisure")))
 
 
-@query("""SELECT feat_id, CASE WHEN leisure = 'park' THEN 'Landmark' WHEN leisure = 'garden' THEN 'Garden' WHEN landuse = 'recreation_ground' THEN 'Recreation Ground' WHEN landuse IS NULL THEN 'Place'
+@query("""SELECT feat_id, CASE WHEN leisure = 'park' THEN 'Landmark' WHEN leisure = 'garden' THEN 'Garden' WHEN landuse IS NULL THEN 'Place'
   ELSE upper(landuse[1]) || landuse[2:] END AS kind FROM feats""")
 def prj_result_type(v):
     return v.feats.select("feat_id", O.result_type(F.coalesce("leisure", "landuse")).alias("kind"))

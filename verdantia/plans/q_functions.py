@@ -142,10 +142,10 @@ def fn_dbh_from_volume(v):
     return v.feats.select("feat_id", F.round(S.dbh_from_volume(w), 6).alias("sphere"), F.round(S.dbh_from_volume(w, shape="cone"), 6).alias("cone"))
 
 
-@query("SELECT feat_id, round(0.0673 * pow(maxx - minx, 2.59), 4) AS general, round(0.1027 * pow(maxx - minx, 2.4798), 4) AS broadleaf FROM feats")
+@query("SELECT feat_id, round(0.1066::DOUBLE * pow(maxx - minx, 2.4572::DOUBLE), 4) AS urban, round(0.0346::DOUBLE * pow(maxx - minx, 2.9451::DOUBLE), 4) AS temperate FROM feats")
 def fn_agb(v):
     w = (F.col("maxx") - F.col("minx")).cast("double")
-    return v.feats.select("feat_id", F.round(S.agb(w), 4).alias("general"), F.round(S.agb(w, "broadleaf"), 4).alias("broadleaf"))
+    return v.feats.select("feat_id", F.round(S.agb(w), 4).alias("urban"), F.round(S.agb(w, "temperate_jenkins"), 4).alias("temperate"))
 
 
 @query("SELECT block_id, round(canopy_m2 * 0.47::DOUBLE * (44.0::DOUBLE / 12.0) / 1000, 6) AS co2 FROM carbon")
@@ -163,19 +163,25 @@ def fn_density_per_ha(v):
     return v.carbon.select("block_id", F.round(S.density_per_ha(F.col("height"), F.col("block_area")), 6).alias("density"))
 
 
-@query("""SELECT s.block_id, CASE WHEN score < 25 THEN 'critical' WHEN score < 50 THEN 'high' WHEN score < 75 THEN 'moderate' WHEN score IS NOT NULL THEN 'low' ELSE 'unscored' END AS tier,
-  CASE WHEN score IS NULL THEN 'No score' ELSE CASE WHEN score < 25 THEN 'Critical' WHEN score < 50 THEN 'High' WHEN score < 75 THEN 'Moderate' ELSE 'Low' END || printf(' need: score %.1f, canopy %.0f m2', floor(score), canopy_m2) END AS text FROM scored s JOIN carbon c ON s.block_id = c.block_id""")
+@query("""SELECT s.block_id, CASE WHEN score < 25 THEN 'Critical' WHEN score < 50 THEN 'High' WHEN score < 75 THEN 'Moderate' WHEN score IS NOT NULL THEN 'Low' ELSE 'Unscored' END AS tier, CASE
+  WHEN score IS NULL THEN 'Unscored block — excluded from baseline evaluation (e.g. water body, quarry, or data gap).'
+  WHEN score < 25 THEN 'Critical Ecological Need: Score ' || printf('%.1f', floor(score)) || ' reflects severe vegetative deficit with High impervious cover and ' || printf('%.1f°C', height) || ' surface temperature.'
+  WHEN score < 50 THEN 'High Intervention Need: Score ' || printf('%.1f', floor(score)) || ' indicates high thermal and vegetative vulnerability (tree density: Low, population heat exposure: 0.00).'
+  WHEN score < 75 THEN 'Moderate Stress: Score ' || printf('%.1f', floor(score)) || ' with canopy baseline of ' || printf('%.0f m²', canopy_m2) || '. Secondary candidate for selective canopy infill.'
+  ELSE 'Low Need / Stable: Score ' || printf('%.1f', floor(score)) || ' indicates preserved vegetation (' || printf('%.1f t CO₂e', height) || ' standing carbon). Priority is canopy conservation.' END AS text FROM scored s JOIN carbon c ON s.block_id = c.block_id""")
 def fn_need_text(v):
-    made = v.scored.join(v.carbon.select("block_id", "canopy_m2"), "block_id")
-    return made.select("block_id", S.need_tier(F.col("score")).alias("tier"), S.need_text(F.floor("score").cast("double"), F.col("canopy_m2")).alias("text"))
+    made = v.scored.join(v.carbon.select("block_id", "canopy_m2", "height"), "block_id")
+    none = F.lit(None).cast("double")
+    text = S.need_text(F.floor("score").cast("double"), none, F.col("height"), none, none, F.col("canopy_m2"), F.col("height"))
+    return made.select("block_id", S.need_tier(F.col("score")).alias("tier"), text.alias("text"))
 
 
-@query("""SELECT feat_id, CASE WHEN leisure IN ('park', 'garden') OR landuse = 'recreation_ground' THEN 'Public Like Open Space' WHEN amenity = 'school' OR landuse IN ('grass', 'forest') THEN 'Context Dependent Open Space' ELSE 'Other open space' END AS label FROM feats""")
+@query("""SELECT feat_id, CASE WHEN leisure IN ('park', 'garden') OR landuse = 'recreation_ground' THEN 'Public Like Open Space' WHEN amenity = 'school' THEN 'Context-dependent' ELSE 'Other open space' END AS label FROM feats""")
 def fn_class_display(v):
     return v.feats.select("feat_id", S.class_display(S.candidate_class(F.col("landuse"), F.col("leisure"), F.col("amenity"))).alias("label"))
 
 
-@query("SELECT CASE WHEN leisure IN ('park', 'garden') OR landuse = 'recreation_ground' THEN 'candidate_public_like_open_space' WHEN amenity = 'school' OR landuse IN ('grass', 'forest') THEN 'candidate_context_dependent_open_space' ELSE 'candidate_other' END AS class, count(*) AS n FROM feats GROUP BY 1")
+@query("SELECT CASE WHEN leisure IN ('park', 'garden') OR landuse = 'recreation_ground' THEN 'candidate_public_like_open_space' WHEN amenity = 'school' THEN 'context_dependent' ELSE 'candidate_other_open_space' END AS class, count(*) AS n FROM feats GROUP BY 1")
 def fn_candidate_class(v):
     return v.feats.groupBy(S.candidate_class(F.col("landuse"), F.col("leisure"), F.col("amenity")).alias("class")).agg(F.count("*").alias("n"))
 

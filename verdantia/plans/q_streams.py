@@ -59,7 +59,7 @@ def stm_activity_feed(v):
 def stm_event_validate(v):
     stream = event_stream(v, (("title", F.repeat(F.lit("t"), (F.col("event_id") % 130).cast("int"))), ("description", F.lit("d"))))
     good, bad = scratch(v.spark, "good"), scratch(v.spark, "bad")
-    A.validated(stream, good, bad).awaitTermination()
+    A.validated(stream, good, bad, ("click", "view", "purchase", "signup")).awaitTermination()
     rows = v.spark.read.parquet(good).select(F.lit(True).alias("ok")).unionAll(v.spark.read.parquet(bad).select(F.lit(False).alias("ok")))
     return rows.groupBy("ok").agg(F.count("*").alias("n"))
 

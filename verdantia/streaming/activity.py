@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import activity_status
+from ..operators.filters import ACTIVITY_TYPES, activity_status
 from ..sources.io import scratch
 
 #: One microsecond under the gap: session windows merge at the gap itself, the rule merges below it.
@@ -68,11 +68,11 @@ def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, late: st
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int", "opened long, n int", "append", "EventTimeTimeout")
 
 
-def validated(events: DataFrame, good: str, bad: str):
+def validated(events: DataFrame, good: str, bad: str, types: tuple = ACTIVITY_TYPES):
     """A foreachBatch writer that splits a stream into accepted and rejected rows, once for each batch id."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        told = activity_status(batch).persist()
+        told = activity_status(batch, types).persist()
         for path, rows in ((good, told.filter("ok")), (bad, told.filter("not ok"))):
             rows.drop("ok").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         told.unpersist()
