@@ -71,8 +71,8 @@ SELECT s.scenario, q.unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY p
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'e' || CAST(event_id % 5 AS STRING) END AS entity, value, props, CASE WHEN user_id % 3 = 0 THEN 'admin' WHEN user_id % 3 = 1 THEN 'researcher' ELSE 'visitor' END AS role
 FROM events""",
     "feats": """
-SELECT p_partkey AS feat_id, 300000 + (p_partkey * 37) % 2900 AS minx, 2000000 + (p_partkey * 53) % 2900 AS miny, 300000 + (p_partkey * 37) % 2900 + 5 + p_size AS maxx,
-  2000000 + (p_partkey * 53) % 2900 + 10 + p_size % 30 AS maxy, CASE WHEN p_partkey % 3 = 0 THEN 'building' WHEN p_partkey % 3 = 1 THEN 'canopy' ELSE 'impervious' END AS kind,
+SELECT p_partkey AS feat_id, 300000 + (p_partkey * 37) % 2900 AS minx, 2000000 + (p_partkey * 53) % 2900 AS miny, 300000 + (p_partkey * 37) % 2900 + 5 + p_size + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 40 END AS maxx,
+  2000000 + (p_partkey * 53) % 2900 + 10 + p_size % 30 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 60 END AS maxy, CASE WHEN p_partkey % 3 = 0 THEN 'building' WHEN p_partkey % 3 = 1 THEN 'canopy' ELSE 'impervious' END AS kind,
   CASE p_partkey % 7 WHEN 0 THEN 'military' WHEN 1 THEN 'grass' WHEN 2 THEN 'quarry' WHEN 3 THEN 'forest' WHEN 4 THEN NULL WHEN 5 THEN 'recreation_ground' ELSE 'landfill' END AS landuse,
   CASE p_partkey % 5 WHEN 0 THEN 'park' WHEN 1 THEN 'garden' ELSE NULL END AS leisure, CASE WHEN p_partkey % 11 = 0 THEN 'school' END AS amenity, p_name AS name, p_brand AS brand
 FROM part""",
