@@ -13,7 +13,7 @@ Sets are collapsed to their hash first: copies are one node. Candidates that sha
 their smallest member only, and verified exactly on the shingles. Where such a check fails, the group's members that are
 still in different components are compared with each other (block by block if there are many; a parity bitmap bounds the
 difference from below), so no link between components is missed. An entry that a map task sees more than `HOT` times is
-combined there.
+combined there. Pairs are screened first: sizes, and parity bitmaps, bound a difference from below.
 
 Null or empty texts have no shingles and are their own component; a null id stays null but its text still links; other
 columns are ignored; an empty table gives an empty result. Shingles are compared as 64-bit hashes.
@@ -34,6 +34,8 @@ WORDS, P, Q = 5, 3, 4
 #: Sizes of a band grow by this ratio; segments beyond H + 1, so that empty ones can be left out.
 RATIO, SPARE = 1.5, 1.25
 HOT, BLOCK = 32, 1000
+#: Pairs that are told apart by bitmaps in one step.
+STEP = 500_000
 #: Index records that a map task combines before they are sent on.
 FLUSH = 1_200_000
 #: Representatives that are broadcast at most (24 bytes each); beyond, the join shuffles.
@@ -86,6 +88,44 @@ def set_ids(tok: np.ndarray, off: np.ndarray) -> np.ndarray:
     return C.mix(acc[off[1:]] - acc[off[:-1]] + n * C.MIX_A).view(np.int64)
 
 
+def bitmap(tok: np.ndarray) -> bytes:
+    """Parity bits, two to four for each element: two sets differ in at least as many elements as their bitmaps in bits.
+
+    The number of bits is a power of two, so a larger bitmap folds onto a smaller one by exclusive or.
+    """
+    bits = max(256, 1 << int(2 * len(tok) - 1).bit_length()) if len(tok) else 256
+    odd = np.bincount((C.mix(tok + SIG_SALT) >> C.U64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def gaps(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits bitmaps i and j differ, the larger folded onto the smaller."""
+    wide = np.array([len(b) for b in bits])
+    place, stacks = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == w)
+        place[own] = np.arange(len(own))
+        stacks[w] = np.frombuffer(b"".join([bits[x] for x in own]), C.U64).reshape(len(own), w // 8)
+
+    def fold(x: np.ndarray, w: int) -> np.ndarray:
+        while x.shape[1] * 8 > w:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+    out = np.zeros(len(i), np.int64)
+    kind = wide[i] * (1 << 32) + wide[j]
+    for k in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == k)
+        a, b = stacks[k >> 32], stacks[k & 0xFFFFFFFF]
+        least = min(k >> 32, k & 0xFFFFFFFF)
+        a, b = fold(a, least), fold(b, least)
+        some = max(1, (1 << 22) // least)
+        for s in range(0, len(own), some):
+            x = own[s : s + some]
+            out[x] = np.bitwise_count(a[place[i[x]]] ^ b[place[j[x]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 # --- pigeonhole index ---------------------------------------------------------------------------------------------------
 
 
@@ -223,7 +263,7 @@ def map_index(n: int, k: int, p: int, q: int):
                 tok, o = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 size, sid = np.diff(o), set_ids(tok, o)
                 ids = batch.column(0).slice(lo, hi - lo)
-                yield batch_of(DOC, hi - lo, a=ids, n=size.astype(np.int32), b=pa.array(sid, mask=size == 0), bucket=C.bucket_of(C.mix(sid.view(C.U64)), n))
+                yield batch_of(DOC, hi - lo, a=ids, n=size.astype(np.int32), b=pa.array(sid, mask=size == 0), data=[bitmap(tok[i:j]) for i, j in zip(o[:-1], o[1:])], bucket=C.bucket_of(C.mix(sid.view(C.U64)), n))
                 key, row = index_keys(tok, o, p, q)
                 keys.append(key)
                 sids.append(sid[row])
@@ -270,12 +310,6 @@ def meet_index(batches):
 # --- verification -------------------------------------------------------------------------------------------------------
 
 
-def bitmap(tok: np.ndarray) -> np.ndarray:
-    """256 parity bits: two sets differ in at least as many elements as their bitmaps differ in bits."""
-    odd = np.bincount((C.mix(tok + SIG_SALT) >> C.U64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8))
-
-
 def map_sets(k: int):
     def run(batches):
         for batch in batches:
@@ -283,7 +317,7 @@ def map_sets(k: int):
             for lo, hi in C.pieces(off):
                 tok, o = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 rows = [tok[i:j] for i, j in zip(o[:-1], o[1:])]
-                yield pa.record_batch([pa.array(set_ids(tok, o)), pa.array(np.diff(o).astype(np.int32)), pa.array([bitmap(x).tobytes() for x in rows], pa.binary()), pa.array([x.tobytes() for x in rows], pa.binary())], ["sid", "n", "bits", "tok"])
+                yield pa.record_batch([pa.array(set_ids(tok, o)), pa.array(np.diff(o).astype(np.int32)), pa.array([x.tobytes() for x in rows], pa.binary())], ["sid", "n", "tok"])
 
     return run
 
@@ -307,41 +341,87 @@ def similar(p: int, q: int):
     return run
 
 
+def plausible(p: int, q: int):
+    """Pairs whose sizes and bitmaps leave room for the similarity; the others are told apart without their sets."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            bits = batch.column("a_bits").to_pylist() + batch.column("b_bits").to_pylist()
+            gap = gaps(bits, np.arange(len(na)), len(na) + np.arange(len(na)))
+            ok = (gap <= differ(na, nb, p, q)) & (p * np.maximum(na, nb) <= q * np.minimum(na, nb))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "maybe"])
+
+    return run
+
+
+def screen(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    side = lambda c: nodes.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(plausible(p, q), "a long, b long, maybe boolean")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("tok").alias(f"{c}_tok"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tok", "b_tok").mapInArrow(similar(p, q), "a long, b long, ok boolean")
 
 
 def cross_pairs(p: int, q: int):
-    """Over members sorted by block pair: pairs in different components that the bitmaps don't rule out."""
-
-    def pairs(rows):
-        sid, comp, n, part = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 5))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), C.U64).reshape(-1, 4)
-        i, j = np.flatnonzero(part != 2), np.flatnonzero(part != 1)
-        out = []
-        for x in i:
-            gap = np.bitwise_count(bits[j] ^ bits[x]).sum(axis=1)
-            hit = j[(comp[j] != comp[x]) & (gap <= differ(n[j] + 0, n[x], p, q)) & (p * np.maximum(n[j], n[x]) <= q * np.minimum(n[j], n[x]))]
-            out.append(np.stack([np.minimum(sid[hit], sid[x]), np.maximum(sid[hit], sid[x])], axis=1))
-        ab = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(ab[:, 0].astype(np.int64)), pa.array(ab[:, 1].astype(np.int64))], ["a", "b"])
+    """Over members sorted by block pair: pairs in different components that sizes and bitmaps don't rule out."""
+
+    def told_apart(rows: tuple, i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
+        sid, n, bits = rows
+        i, j = np.concatenate(i), np.concatenate(j)
+        lo, hi = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+        ab, one = np.unique(np.stack([lo, hi], axis=1), axis=0, return_index=True)
+        i, j = i[one], j[one]
+        use = np.unique(np.concatenate([i, j]))
+        spot = np.zeros(len(sid), np.int64)
+        spot[use] = np.arange(len(use))
+        near = gaps([bits[x].as_py() for x in use.tolist()], spot[i], spot[j]) <= differ(n[i].astype(np.int64), n[j], p, q)
+        return pa.record_batch([pa.array(ab[near, 0]), pa.array(ab[near, 1])], ["a", "b"])
 
     def run(batches):
-        last, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if r[0] != last:
-                    if len(rows) > 1:
-                        yield pairs(rows)
-                    last, rows = r[0], []
-                rows.append(r)
-        if len(rows) > 1:
-            yield pairs(rows)
+        carry = None
+        for last, batch in marked(batches):
+            t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+            block = t.column("block").to_numpy()
+            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+            if not last and len(edge):
+                carry, t = t.slice(edge[-1]), t.slice(0, edge[-1])
+                block, edge = block[: edge[-1]], edge[:-1]
+            t = t.combine_chunks()
+            if not len(t):
+                continue
+            sid, comp, n, part = (t.column(c).to_numpy() for c in ("sid", "comp", "n", "part"))
+            rows, held, gi, gj = (sid, n, t.column("bits").chunk(0)), 0, [], []
+            for s, e in zip(edge, np.append(edge[1:], len(block))):
+                x, y = s + np.flatnonzero(part[s:e] != 2), s + np.flatnonzero(part[s:e] != 1)
+                for at in range(0, len(x), 500):
+                    xs = x[at : at + 500]
+                    ok = (comp[xs][:, None] != comp[y]) & (p * np.maximum(n[xs][:, None], n[y]) <= q * np.minimum(n[xs][:, None], n[y]))
+                    a, b = np.nonzero(ok)
+                    gi.append(xs[a])
+                    gj.append(y[b])
+                    held += len(a)
+                    if held > STEP:
+                        yield told_apart(rows, gi, gj)
+                        held, gi, gj = 0, [], []
+            if held:
+                yield told_apart(rows, gi, gj)
 
     return run
 
 
+def marked(batches):
+    """(whether it is the last, batch)."""
+    it = iter(batches)
+    now = next(it, None)
+    while now is not None:
+        nxt = next(it, None)
+        yield nxt is None, now
+        now = nxt
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(sid, comp) of every node of edges (a, b): smallest node of its component, by alternating star contraction."""
     now = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -358,21 +438,29 @@ def components(edges: DataFrame) -> DataFrame:
         now = made
 
 
+def sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(sid, n, tok) of every set in pairs, made again from the text of one of its documents."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    one = C.cut(members.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id").distinct())
+    n = one.count()
+    twice = members.select("id").join(one, "id", "left_semi").groupBy("id").count().filter("count > 1")
+    told = F.broadcast(one) if n <= BROADCAST_ROWS else one
+    sets = rows.join(told, rows["id"].eqNullSafe(told["id"]), "left_semi").select("body").mapInArrow(map_sets(k), "sid long, n int, tok binary").filter("n > 0")
+    return sets if twice.isEmpty() and one.filter("id is null").isEmpty() else sets.dropDuplicates(["sid"])
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, p: int = P, q: int = Q) -> DataFrame:
     """(key, n_shingles, component_id) of every row; key is a long."""
     spark: SparkSession = docs.sparkSession
     n = 2 * C.parts(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    met = C.cut(rows.mapInArrow(map_index(n, k, p, q), OUT).repartitionById(n, "bucket").mapInArrow(meet_index, OUT).drop("bucket", "data"))
+    met = C.cut(rows.mapInArrow(map_index(n, k, p, q), OUT).repartitionById(n, "bucket").mapInArrow(meet_index, OUT).drop("bucket"))
     members = met.filter(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("sid"), "n")
-    pairs = met.filter(f"kind = {PAIR}").select("a", "b").distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    one = C.cut(members.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id").distinct())
-    if one.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
-    told = rows.join(one, rows["id"].eqNullSafe(one["id"]), "left_semi").select("body")
-    sets = C.cut(told.mapInArrow(map_sets(k), "sid long, n int, bits binary, tok binary").filter("n > 0").dropDuplicates(["sid"]))
-    checked = C.cut(verify(pairs, sets, p, q))
+    nodes = met.filter(f"kind = {DOC} and b is not null").select(F.col("b").alias("sid"), "n", F.col("data").alias("bits")).dropDuplicates(["sid"])
+    screened = C.cut(screen(met.filter(f"kind = {PAIR}").select("a", "b").distinct(), nodes, p, q))
+    pairs = screened.filter("maybe").select("a", "b")
+    sets = C.cut(sets_of(rows, members, pairs, k))
+    checked = C.cut(verify(pairs, sets, p, q).unionByName(screened.filter("not maybe").select("a", "b", F.lit(False).alias("ok"))))
     links = checked.filter("ok").select("a", "b")
     comp = components(links)
     doubt = checked.filter("not ok").select("a").distinct()
@@ -388,9 +476,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             F.xxhash64("gid", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "sid", "comp",
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("part"),
         )
-        more = spread.join(sets.select("sid", "n", "bits"), "sid").select("block", "sid", "comp", "n", "bits", "part")
+        more = spread.join(nodes, "sid").select("block", "sid", "comp", "n", "bits", "part")
         more = more.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q), "a long, b long").distinct()
-        more = C.cut(verify(more.join(checked, ["a", "b"], "left_anti"), sets, p, q)).filter("ok").select("a", "b")
+        more = C.cut(more.join(checked, ["a", "b"], "left_anti"))
+        more = C.cut(verify(more, sets_of(rows, members, more, k), p, q)).filter("ok").select("a", "b")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     whole = members.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
