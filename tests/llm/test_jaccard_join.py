@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from verdantia.llm import jaccard_join as J
@@ -82,6 +83,37 @@ def test_index_misses_no_pair():
         assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), (len(x), len(y), len(x ^ y))
 
 
+def test_members_of_an_entry_share_a_group(monkeypatch):
+    monkeypatch.setattr(J, "HOT", 4)
+    line = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    text = [" ".join(f"{line} {i}" for line in (line, line.upper(), line)) for i in range(24)]
+    tasks, made, by_key = [text[:12], text[12:15], text[15:]], [], {}
+    for i, own in enumerate(tasks):
+        made += J.map_index(1, 5, 3, 4)([pa.record_batch([pa.array(range(100 * i, 100 * i + len(own))), pa.array(own)], ["id", "body"])])
+        buf, off = J.C.flat(pa.array(own))
+        tok, o = J.shingles(buf, off)
+        key, row = J.index_keys(tok, o)
+        for k, s in zip(key.tolist(), J.set_ids(tok, o)[row].tolist()):
+            by_key.setdefault(k, [set(), set(), set()])[i].add(s)
+    groups = {}
+    for b in J.meet_index(made):
+        for r in b.to_pylist():
+            if r["kind"] == J.GROUP:
+                groups.setdefault(r["b"], set()).update(r["members"])
+    mixed = [x for x in by_key.values() if len(x[0]) > 4 and x[1]]  # hot in one task and cold in another
+    assert mixed
+    for x in mixed:
+        assert any(set.union(*x) <= g for g in groups.values())
+
+
+def test_hot_and_cold_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 2)
+    monkeypatch.setattr(J, "FLUSH", 10)
+    rows = near_copies(4, 600)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert got(J.jaccard_components(df)) == brute(rows)
+
+
 def test_on_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert got(J.jaccard_components(df)) == brute([(r.doc_id, r.text) for r in df.collect()])

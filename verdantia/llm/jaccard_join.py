@@ -41,6 +41,8 @@ FLUSH = 1_200_000
 #: Representatives that are broadcast at most (24 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 SIG_SALT = C.U64(0xD6E8FEB86659FD93)
+#: The bits of a key that pack() sends; they name a hot entry's group for map tasks and the reducer alike.
+LOW = C.U64((1 << 40) - 1)
 
 
 # --- shingles -----------------------------------------------------------------------------------------------------------
@@ -245,7 +247,7 @@ def map_index(n: int, k: int, p: int, q: int):
         if many.any():
             s, e = start[many], end[many]
             yield star(sid, s, e)
-            yield batch_of(GROUP, len(s), a=sid[s], b=key[s].view(np.int64), members=[sid[i:j] for i, j in zip(s, e)], bucket=C.bucket_of(key[s], n))
+            yield batch_of(GROUP, len(s), a=sid[s], b=(key[s] & LOW).view(np.int64), members=[sid[i:j] for i, j in zip(s, e)], bucket=C.bucket_of(key[s], n))
             hot[s] = True
             drop = np.zeros(len(key) + 1, np.int8)
             np.add.at(drop, s + 1, 1)
