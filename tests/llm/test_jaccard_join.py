@@ -106,6 +106,12 @@ def test_members_of_an_entry_share_a_group(monkeypatch):
         assert any(set.union(*x) <= g for g in groups.values())
 
 
+def test_doubt_opens_all_rows_of_a_group(spark):
+    groups = spark.createDataFrame([(1, 7, [1, 2]), (3, 7, [3, 4]), (1, 8, [1, 9]), (5, 9, [5, 6, 7])], "a long, b long, members array<long>")
+    found = J.opened(groups, spark.createDataFrame([(3,)], "a long")).collect()
+    assert sorted((r.gid, r.members) for r in found) == [(7, [1, 2]), (7, [3, 4])]
+
+
 def test_hot_and_cold_tasks(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT", 2)
     monkeypatch.setattr(J, "FLUSH", 10)

@@ -440,6 +440,12 @@ def components(edges: DataFrame) -> DataFrame:
         now = made
 
 
+def opened(groups: DataFrame, doubt: DataFrame) -> DataFrame:
+    """(gid, members) of all rows of each group with a centre in doubt; a hot entry has a row, and a centre, for each flush."""
+    gids = groups.select("a", F.col("b").alias("gid")).distinct().join(doubt, "a", "left_semi").select("gid").distinct()
+    return groups.select(F.col("b").alias("gid"), "members").join(gids, "gid", "left_semi")
+
+
 def sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(sid, n, tok) of every set in pairs, made again from the text of one of its documents."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -466,8 +472,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = checked.filter("ok").select("a", "b")
     comp = components(links)
     doubt = checked.filter("not ok").select("a").distinct()
-    open_ = met.filter(f"kind = {GROUP}").join(doubt, "a", "left_semi")
-    open_ = open_.select(F.col("b").alias("gid"), F.explode("members").alias("sid")).distinct()
+    open_ = opened(met.filter(f"kind = {GROUP}"), doubt).select("gid", F.explode("members").alias("sid")).distinct()
     open_ = open_.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     sizes = open_.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     sizes = C.cut(sizes)
