@@ -131,6 +131,18 @@ def test_rate_limit_windows(spark):
     assert got == [(True, 0), (True, 0), (False, 40), (False, 1), (True, 0)]
 
 
+def test_rate_limit_stream_decides_every_request(spark):
+    from types import SimpleNamespace
+
+    from verdantia.plans.q_streams import event_stream
+    from verdantia.streaming import activity
+
+    rows = spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7919 % 600 * 3600).alias("ts")).repartition(12)
+    decided = activity.run_now(activity.rate_limit(event_stream(SimpleNamespace(spark=spark, activity=rows)), "user_id", 2, 86400), "limits")
+    want = W.fixed_window_counter(rows, "user_id", "ts", 2, 86400)
+    assert sorted(map(tuple, decided.collect())) == sorted(map(tuple, want.select(decided.columns).collect()))
+
+
 @pytest.mark.parametrize("seconds,n", [((0, 59.999999), 1), ((0, 60), 2), ((0, 50, 100), 1)])
 def test_sessions_are_strict(spark, seconds, n):
     df = spark.createDataFrame([("u", i, float(s)) for i, s in enumerate(seconds)], "k string, event_id long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("decimal(20,0)").cast("long")))

@@ -9,11 +9,9 @@ from .catalog import query
 
 
 def event_stream(v, extra: tuple = ()):
-    """The activity view written as files and read as a stream."""
-    path = scratch(v.spark, "events")
+    """The activity view written as files and read as a stream, in time order."""
     made = v.activity.withColumns(dict(extra)) if extra else v.activity
-    made.write.parquet(path)
-    return A.read_stream(v.spark, path, v.spark.read.parquet(path).schema)
+    return A.replay(made, scratch(v.spark, "events"))
 
 
 @query("""SELECT user_id, event_type, entity, arg_min(event_id, ts) AS event_id, count(*) AS merged FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type, entity ORDER BY ts, event_id) AS s FROM
