@@ -77,6 +77,17 @@ def test_ann_recall_and_ties(spark, monkeypatch):
         assert all(s == pytest.approx(np.sqrt(((vec[i] - vec[q]) ** 2).sum()), abs=1e-12) for i, s in near if i != 5)
 
 
+def test_ann_recall_in_a_cluster_of_near_copies(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((4000, 16))
+    x[::3] = x[0] + 1e-3 * r.standard_normal((len(x[::3]), 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    want = exact_nearest(good(rows, False), 100, 10)
+    got = A.nearest(table(spark, rows)).collect()
+    for q in want:
+        assert {i.vec_id for i in got if i.query_id == q} == {i for i, _ in want[q]}
+
+
 def test_ann_recall_on_table(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     want = exact_nearest([(r.vec_id, np.array(r.embedding, np.float64)) for r in e], 100, 10)

@@ -3,7 +3,8 @@
 Euclidean neighbours are a maximum inner product: 2 q.x - |x|^2. Vectors are coded by subspace in four bits; codes and
 codebooks minimise a loss in which the residual's part along the vector weighs more than the part across it, because that
 part moves the inner products that matter. Codebooks are fitted in numpy on a bounded sample; every row is coded. A query
-looks its tables up for all codes of a block, and the best of the block are ranked again by exact distances.
+looks its tables up for all codes of a block, and the best of the block are ranked again by exact distances; so are all
+rows that their code and the length of its residual still allow nearer than the k-th of those.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a repeated
 id counts once, at its nearest row; an empty table gives an empty result; equal distances go to smaller ids.
@@ -24,7 +25,7 @@ SAMPLE = 8000
 CODES, ROUNDS, SEED, K = 16, 6, 5, 10
 #: Share of a vector's length from which inner products count in full; sets the weight of the parallel residual.
 THRESHOLD = 0.2
-#: Candidates of a block that are ranked by exact distances.
+#: Candidates of a block that are ranked by exact distances first.
 RERANK = 128
 
 
@@ -116,6 +117,14 @@ def first_best(score: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == at)[: k - len(above)]])
 
 
+def ranked(x: np.ndarray, ids: np.ndarray, near: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact distances of rows near, and the places of the k nearest ids among them."""
+    dist = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
+    top = np.lexsort((ids[near], dist))
+    _, one = np.unique(ids[near][top], return_index=True)
+    return dist, top[np.sort(one)[:k]]
+
+
 def scan(books: list[np.ndarray], k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -127,17 +136,24 @@ def scan(books: list[np.ndarray], k: int):
             two = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             codes = [np.ascontiguousarray(c) for c in np.stack([two & 15, two >> 4], axis=2).reshape(len(ids), -1).T[: len(books)]]
             parts = split(x.shape[1])
+            inner = sum((b * b).sum(axis=1)[c] for b, c in zip(books, codes))
+            gap = np.sqrt(sum(((x[:, s] - b[c]) ** 2).sum(axis=1) for s, b, c in zip(parts, books, codes)))
+            length = np.sqrt(norm)
             for q_id, q in zip(right.column("vec_id").to_numpy(), V.matrix(right.column("vec"))):
                 score = -norm
                 for s, b, c in zip(parts, books, codes):
                     score = score + (2 * (b @ q[s]))[c]
+                far = np.sqrt(np.maximum(q @ q + inner - score - norm, 0))  # from the query to the coded row
                 score[ids == q_id] = -np.inf
                 near = first_best(score, RERANK)
                 near = near[ids[near] != q_id]
-                dist = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-                top = np.lexsort((ids[near], dist))
-                _, one = np.unique(ids[near][top], return_index=True)
-                top = top[np.sort(one)[:k]]
+                dist, top = ranked(x, ids, near, q, k)
+                if len(near) < len(ids):
+                    kth = dist[top[-1]] if len(top) == k else np.inf
+                    maybe = (far - gap <= kth + 1e-6 * (np.sqrt(q @ q) + length)) & (ids != q_id)  # a margin for rounding
+                    maybe[near] = False
+                    near = np.concatenate([near, np.flatnonzero(maybe)])
+                    dist, top = ranked(x, ids, near, q, k)
                 out += [(q_id, i, d) for i, d in zip(ids[near][top], dist[top])]
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
