@@ -24,7 +24,7 @@ def rasterize_boxes(feats: DataFrame, value: str, order: str, x0: int, y0: int,
     return at.groupBy("r", "c").agg(F.max_by(value, order).alias("value"))
 
 
-def vectorise(px: DataFrame, column: str, rounds: int = 200) -> DataFrame:
+def vectorise(px: DataFrame, column: str) -> DataFrame:
     """(r, c, column, region): connected same-class regions over four neighbours, named by their smallest pixel.
 
     Labels spread to neighbours and then jump to their label's label, so long regions settle in few rounds. Every round is
@@ -37,7 +37,7 @@ def vectorise(px: DataFrame, column: str, rounds: int = 200) -> DataFrame:
     pairs = ahead.join(cells.select(F.col("id").alias("other"), F.col("class").alias("c2")), "other").filter("class = c2").select("id", "other")
     edges = _written(pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))))
     label = _written(cells.select("id", F.col("id").alias("region")))
-    for _ in range(rounds):
+    while True:  # labels only fall
         near = edges.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("region").alias("near"))
         step = label.join(near, "id", "left").select("id", "region", F.least("region", F.coalesce("near", "region")).alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("newer"))
