@@ -108,8 +108,61 @@ def test_members_of_an_entry_share_a_group(monkeypatch):
 
 def test_doubt_opens_all_rows_of_a_group(spark):
     groups = spark.createDataFrame([(1, 7, [1, 2]), (3, 7, [3, 4]), (1, 8, [1, 9]), (5, 9, [5, 6, 7])], "a long, b long, members array<long>")
-    found = J.opened(groups, spark.createDataFrame([(3,)], "a long")).collect()
-    assert sorted((r.gid, r.members) for r in found) == [(7, [1, 2]), (7, [3, 4])]
+    found = J.doubtful(groups, spark.createDataFrame([(3,)], "a long")).collect()
+    assert sorted((r.unit, r.sid) for r in found) == [(1, 1), (1, 2), (1, 3), (1, 4)]
+
+
+def test_united(spark):
+    comp = J.united(spark.createDataFrame([(2, 1), (3, 1), (6, 5)], "sid long, comp long"), spark.createDataFrame([(3, 6), (7, 6), (8, 9), (2, 3)], "a long, b long"))
+    assert sorted((r.sid, r.comp) for r in comp.collect()) == [(2, 1), (3, 1), (5, 1), (6, 1), (7, 1), (9, 8)]
+
+
+def bridges():
+    """Six families: 58 near copies of a base (each with its own end), and one text that is similar to the base only."""
+    r = random.Random(11)
+    family, bridge = [], []
+    for f in range(6):
+        base = [f"f{f}x{i}" for i in range(104)]
+        for i in range(58):
+            family.append((1000 * f + i, " ".join([*base, *(f"f{f}y{i}z{j}" for j in range(r.randint(1, 14)))] if i else base)))
+        bridge.append((1000 * f + 900, " ".join([*base[:80], *(f"f{f}b{i}" for i in range(0, 4))])))
+    return family, bridge
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 8])
+def test_no_link_is_lost_between_tasks(spark, tasks):
+    family, bridge = bridges()
+    want = brute(family + bridge)
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    df = make(family + bridge).coalesce(1) if tasks == 1 else make(family).repartition(tasks - 1).unionByName(make(bridge).coalesce(1))
+    assert got(J.jaccard_components(df)) == want
+
+
+@pytest.mark.parametrize("nearest", [(1, None), (1, 2, 4, None)])
+def test_rounds_of_nearest_partners(spark, monkeypatch, nearest):
+    """Near copies of one base that are mostly just below the similarity of each other: links are sparse."""
+    monkeypatch.setattr(J, "NEAREST", nearest)
+    monkeypatch.setattr(J, "BLOCK", 40)
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(70)], []
+    for i in range(300):
+        x = list(base)
+        for _ in range(r.randint(1, 3)):
+            x[r.randrange(70)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    want = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < 300
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    x = [f"v{r.randrange(5000)}" for _ in range(200_000)]
+    y = list(x)
+    for i in range(0, 200_000, 40):
+        y[i] = "other"
+    rows = [(1, " ".join(x)), (2, " ".join(y)), (3, " ".join(x[:100_000])), (4, "short text of five words")]
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
 def test_hot_and_cold_tasks(spark, monkeypatch):

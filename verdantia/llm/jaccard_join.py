@@ -10,10 +10,11 @@ that differs in H elements agrees on all but H of them. A set is indexed by the
   makes each filled segment count twice.
 
 Sets are collapsed to their hash first: copies are one node. Candidates that share an index entry are linked through
-their smallest member only, and verified exactly on the shingles. Where such a check fails, the group's members that are
-still in different components are compared with each other (block by block if there are many; a parity bitmap bounds the
-difference from below), so no link between components is missed. An entry that a map task sees more than `HOT` times is
-combined there. Pairs are screened first: sizes, and parity bitmaps, bound a difference from below.
+their smallest member only, and verified exactly on the shingles. Where such a check fails, the members of all groups with
+that smallest member form one unit, and those still in different components are told apart by sizes and parity bitmaps,
+which bound a difference from below (block by block if there are many). Each member first brings its nearest partner to
+the exact check, then its nearest few; what these link needs no further pair, and the last round brings all that is left,
+so no link between components is missed. An entry that a map task sees more than `HOT` times is combined there.
 
 Null or empty texts have no shingles and are their own component; a null id stays null but its text still links; other
 columns are ignored; an empty table gives an empty result. Shingles are compared as 64-bit hashes.
@@ -34,6 +35,8 @@ WORDS, P, Q = 5, 3, 4
 #: Sizes of a band grow by this ratio; segments beyond H + 1, so that empty ones can be left out.
 RATIO, SPARE = 1.5, 1.25
 HOT, BLOCK = 32, 1000
+#: How many nearest partners each member brings to the exact check, round by round; the last round brings all.
+NEAREST = (1, 8, 64, None)
 #: Pairs that are told apart by bitmaps in one step.
 STEP = 500_000
 #: Index records that a map task combines before they are sent on.
@@ -367,25 +370,45 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tok", "b_tok").mapInArrow(similar(p, q), "a long, b long, ok boolean")
 
 
-def cross_pairs(p: int, q: int):
-    """Over members sorted by block pair: pairs in different components that sizes and bitmaps don't rule out."""
+def nearest_few(i: np.ndarray, j: np.ndarray, gap: np.ndarray, sid: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs (i, j) are among the `most` nearest of one of their ends; equal gaps by the other end's id."""
+    own, other = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort((sid[other], np.concatenate([gap, gap]), own))
+    new = np.append(True, own[order][1:] != own[order][:-1])
+    rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = np.zeros(len(i), bool)
+    keep[order[rank < most] % len(i)] = True
+    return keep
+
+
+def cross_pairs(p: int, q: int, most: int | None):
+    """Over members sorted by block: pairs in different components that sizes and bitmaps don't rule out.
+
+    With `most`, only the nearest of each member; a row without a pair names each unit that has more.
+    """
 
     def told_apart(rows: tuple, i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
-        sid, n, bits = rows
+        unit, sid, n, bits = rows
         i, j = np.concatenate(i), np.concatenate(j)
-        lo, hi = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-        ab, one = np.unique(np.stack([lo, hi], axis=1), axis=0, return_index=True)
-        i, j = i[one], j[one]
         use = np.unique(np.concatenate([i, j]))
         spot = np.zeros(len(sid), np.int64)
         spot[use] = np.arange(len(use))
-        near = gaps([bits[x].as_py() for x in use.tolist()], spot[i], spot[j]) <= differ(n[i].astype(np.int64), n[j], p, q)
-        return pa.record_batch([pa.array(ab[near, 0]), pa.array(ab[near, 1])], ["a", "b"])
+        gap = gaps([bits[x].as_py() for x in use.tolist()], spot[i], spot[j])
+        near = gap <= differ(n[i].astype(np.int64), n[j], p, q)
+        i, j, gap, left = i[near], j[near], gap[near], np.zeros(0, np.int64)
+        if most is not None and len(i):
+            keep = nearest_few(i, j, gap, sid, most)
+            left = np.unique(unit[i[~keep]])
+            i, j = i[keep], j[keep]
+        ab = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1), axis=0)
+        none = pa.nulls(len(left), pa.int64())
+        return pa.record_batch([pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(left)]), *(pa.concat_arrays([pa.array(np.ascontiguousarray(c)), none]) for c in ab.T)], ["unit", "a", "b"])
 
     def run(batches):
         carry = None
         for last, batch in marked(batches):
             t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+            carry = None
             block = t.column("block").to_numpy()
             edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
             if not last and len(edge):
@@ -394,13 +417,16 @@ def cross_pairs(p: int, q: int):
             t = t.combine_chunks()
             if not len(t):
                 continue
-            sid, comp, n, part = (t.column(c).to_numpy() for c in ("sid", "comp", "n", "part"))
-            rows, held, gi, gj = (sid, n, t.column("bits").chunk(0)), 0, [], []
+            unit, sid, comp, n, part = (t.column(c).to_numpy() for c in ("unit", "sid", "comp", "n", "part"))
+            rows, held, gi, gj = (unit, sid, n, t.column("bits").chunk(0)), 0, [], []
             for s, e in zip(edge, np.append(edge[1:], len(block))):
+                one = part[s] == 0  # a block with itself: each pair once
                 x, y = s + np.flatnonzero(part[s:e] != 2), s + np.flatnonzero(part[s:e] != 1)
                 for at in range(0, len(x), 500):
                     xs = x[at : at + 500]
                     ok = (comp[xs][:, None] != comp[y]) & (p * np.maximum(n[xs][:, None], n[y]) <= q * np.minimum(n[xs][:, None], n[y]))
+                    if one:
+                        ok &= xs[:, None] < y
                     a, b = np.nonzero(ok)
                     gi.append(xs[a])
                     gj.append(y[b])
@@ -440,10 +466,39 @@ def components(edges: DataFrame) -> DataFrame:
         now = made
 
 
-def opened(groups: DataFrame, doubt: DataFrame) -> DataFrame:
-    """(gid, members) of all rows of each group with a centre in doubt; a hot entry has a row, and a centre, for each flush."""
-    gids = groups.select("a", F.col("b").alias("gid")).distinct().join(doubt, "a", "left_semi").select("gid").distinct()
-    return groups.select(F.col("b").alias("gid"), "members").join(gids, "gid", "left_semi")
+def united(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (sid, comp) after more links (a, b)."""
+    root = lambda c: comp.select(F.col("sid").alias(c), F.col("comp").alias(f"{c}_comp"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    edges = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b")
+    # components() names no node that is its own root, so a node moved now is no sid of comp
+    moved = components(edges)
+    now = comp.join(moved.select(F.col("sid").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return C.cut(now.select("sid", F.coalesce("to", "comp").alias("comp")).unionByName(moved))
+
+
+def doubtful(groups: DataFrame, doubt: DataFrame) -> DataFrame:
+    """(unit, sid): the members of all groups in doubt, put together by the smallest member of each group.
+
+    A hot entry has a row, and a centre, for each flush: all its rows are opened if one centre is in doubt.
+    """
+    rows = groups.select("a", F.col("b").alias("gid"), "members")
+    gids = rows.select("a", "gid").join(doubt, "a", "left_semi").select("gid").distinct()
+    unit = rows.select("a", "gid").join(gids, "gid", "left_semi").groupBy("gid").agg(F.min("a").alias("unit"))
+    return rows.join(unit, "gid").select("unit", F.explode("members").alias("sid")).distinct()
+
+
+def blocks_apart(apart: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block, unit, sid, comp, n, bits, part) of units in several components; large ones in all pairs of their blocks."""
+    now = apart.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    sizes = now.groupBy("unit").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = C.cut(sizes.filter("x < y").select("unit", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
+    spread = now.join(sizes, "unit").join(nodes, "sid").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select(
+        F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "unit", "sid", "comp", "n", "bits",
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("part"),
+    )
 
 
 def sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -469,28 +524,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     pairs = screened.filter("maybe").select("a", "b")
     sets = C.cut(sets_of(rows, members, pairs, k))
     checked = C.cut(verify(pairs, sets, p, q).unionByName(screened.filter("not maybe").select("a", "b", F.lit(False).alias("ok"))))
-    links = checked.filter("ok").select("a", "b")
-    comp = components(links)
+    C.drop_cut(sets)
+    C.drop_cut(screened)
+    comp = components(checked.filter("ok").select("a", "b"))
     doubt = checked.filter("not ok").select("a").distinct()
-    open_ = opened(met.filter(f"kind = {GROUP}"), doubt).select("gid", F.explode("members").alias("sid")).distinct()
-    open_ = open_.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    sizes = open_.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    sizes = C.cut(sizes)
-    if not sizes.isEmpty():
-        mine = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
-        spread = open_.join(sizes, "gid").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select(
-            F.xxhash64("gid", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "sid", "comp",
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("part"),
-        )
-        more = spread.join(nodes, "sid").select("block", "sid", "comp", "n", "bits", "part")
-        more = more.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q), "a long, b long").distinct()
-        more = C.cut(more.join(checked, ["a", "b"], "left_anti"))
-        more = C.cut(verify(more, sets_of(rows, members, more, k), p, q)).filter("ok").select("a", "b")
-        if not more.isEmpty():
-            comp = components(links.unionByName(more))
+    apart = C.cut(doubtful(met.filter(f"kind = {GROUP}"), doubt))
+    for most in NEAREST:
+        blocks = blocks_apart(apart, comp, nodes)
+        near = C.cut(blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q, most), "unit long, a long, b long").distinct())
+        new = C.cut(near.filter("unit is null").select("a", "b").join(checked, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            told = C.cut(verify(new, sets_of(rows, members, new, k), p, q))
+            checked = checked.unionByName(told)
+            comp = united(comp, told.filter("ok").select("a", "b"))
+        left = near.filter("unit is not null").select("unit")
+        if left.isEmpty():
+            break
+        apart = apart.join(left, "unit", "left_semi")
     whole = members.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = whole.groupBy("comp").agg(F.min("id").alias("least"))
+    # a table of its own, so that a hot component's side of the join can be split
+    least = C.cut(whole.groupBy("comp").agg(F.min("id").alias("least")))
     out = whole.join(least, "comp", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
