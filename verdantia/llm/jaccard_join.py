@@ -34,7 +34,7 @@ from . import common as C
 WORDS, P, Q = 5, 3, 4
 #: Sizes of a band grow by this ratio; segments beyond H + 1, so that empty ones can be left out.
 RATIO, SPARE = 1.5, 1.25
-HOT, BLOCK = 32, 1000
+HOT, BLOCK = 32, 4000
 #: How many nearest partners each member brings to the exact check, round by round; the last round brings all.
 NEAREST = (1, 8, 64, None)
 #: Pairs that are told apart by bitmaps in one step.
@@ -384,11 +384,11 @@ def nearest_few(i: np.ndarray, j: np.ndarray, gap: np.ndarray, sid: np.ndarray,
 def cross_pairs(p: int, q: int, most: int | None):
     """Over members sorted by block: pairs in different components that sizes and bitmaps don't rule out.
 
-    With `most`, only the nearest of each member; a row without a pair names each unit that has more.
+    With `most`, only the nearest of each member; a row without a pair names each block that has more.
     """
 
     def told_apart(rows: tuple, i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
-        unit, sid, n, bits = rows
+        block, sid, n, bits = rows
         i, j = np.concatenate(i), np.concatenate(j)
         use = np.unique(np.concatenate([i, j]))
         spot = np.zeros(len(sid), np.int64)
@@ -398,11 +398,11 @@ def cross_pairs(p: int, q: int, most: int | None):
         i, j, gap, left = i[near], j[near], gap[near], np.zeros(0, np.int64)
         if most is not None and len(i):
             keep = nearest_few(i, j, gap, sid, most)
-            left = np.unique(unit[i[~keep]])
+            left = np.unique(block[i[~keep]])
             i, j = i[keep], j[keep]
         ab = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1), axis=0)
         none = pa.nulls(len(left), pa.int64())
-        return pa.record_batch([pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(left)]), *(pa.concat_arrays([pa.array(np.ascontiguousarray(c)), none]) for c in ab.T)], ["unit", "a", "b"])
+        return pa.record_batch([pa.concat_arrays([pa.nulls(len(ab), pa.int64()), pa.array(left)]), *(pa.concat_arrays([pa.array(np.ascontiguousarray(c)), none]) for c in ab.T)], ["more", "a", "b"])
 
     def run(batches):
         carry = None
@@ -417,8 +417,8 @@ def cross_pairs(p: int, q: int, most: int | None):
             t = t.combine_chunks()
             if not len(t):
                 continue
-            unit, sid, comp, n, part = (t.column(c).to_numpy() for c in ("unit", "sid", "comp", "n", "part"))
-            rows, held, gi, gj = (unit, sid, n, t.column("bits").chunk(0)), 0, [], []
+            sid, comp, n, part = (t.column(c).to_numpy() for c in ("sid", "comp", "n", "part"))
+            rows, held, gi, gj = (block, sid, n, t.column("bits").chunk(0)), 0, [], []
             for s, e in zip(edge, np.append(edge[1:], len(block))):
                 one = part[s] == 0  # a block with itself: each pair once
                 x, y = s + np.flatnonzero(part[s:e] != 2), s + np.flatnonzero(part[s:e] != 1)
@@ -488,15 +488,15 @@ def doubtful(groups: DataFrame, doubt: DataFrame) -> DataFrame:
     return rows.join(unit, "gid").select("unit", F.explode("members").alias("sid")).distinct()
 
 
-def blocks_apart(apart: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(block, unit, sid, comp, n, bits, part) of units in several components; large ones in all pairs of their blocks."""
+def blocks_apart(apart: DataFrame, comp: DataFrame) -> DataFrame:
+    """(block, sid, part) of units in several components; large ones in all pairs of their blocks."""
     now = apart.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     sizes = now.groupBy("unit").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     sizes = C.cut(sizes.filter("x < y").select("unit", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
-    spread = now.join(sizes, "unit").join(nodes, "sid").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = apart.join(sizes, "unit").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select(
-        F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "unit", "sid", "comp", "n", "bits",
+        F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "sid",
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("part"),
     )
 
@@ -519,7 +519,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
     met = C.cut(rows.mapInArrow(map_index(n, k, p, q), OUT).repartitionById(n, "bucket").mapInArrow(meet_index, OUT).drop("bucket"))
     members = met.filter(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("sid"), "n")
-    nodes = met.filter(f"kind = {DOC} and b is not null").select(F.col("b").alias("sid"), "n", F.col("data").alias("bits")).dropDuplicates(["sid"])
+    nodes = C.cut(met.filter(f"kind = {DOC} and b is not null").select(F.col("b").alias("sid"), "n", F.col("data").alias("bits")).dropDuplicates(["sid"]))
     screened = C.cut(screen(met.filter(f"kind = {PAIR}").select("a", "b").distinct(), nodes, p, q))
     pairs = screened.filter("maybe").select("a", "b")
     sets = C.cut(sets_of(rows, members, pairs, k))
@@ -528,19 +528,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     C.drop_cut(screened)
     comp = components(checked.filter("ok").select("a", "b"))
     doubt = checked.filter("not ok").select("a").distinct()
-    apart = C.cut(doubtful(met.filter(f"kind = {GROUP}"), doubt))
+    open_ = C.cut(blocks_apart(C.cut(doubtful(met.filter(f"kind = {GROUP}"), doubt)), comp))
     for most in NEAREST:
-        blocks = blocks_apart(apart, comp, nodes)
-        near = C.cut(blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q, most), "unit long, a long, b long").distinct())
-        new = C.cut(near.filter("unit is null").select("a", "b").join(checked, ["a", "b"], "left_anti"))
+        blocks = open_.join(comp, "sid", "left").join(nodes, "sid").select("block", "sid", F.coalesce("comp", "sid").alias("comp"), "n", "bits", "part")
+        near = C.cut(blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q, most), "more long, a long, b long").distinct())
+        new = C.cut(near.filter("more is null").select("a", "b").join(checked, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             told = C.cut(verify(new, sets_of(rows, members, new, k), p, q))
             checked = checked.unionByName(told)
             comp = united(comp, told.filter("ok").select("a", "b"))
-        left = near.filter("unit is not null").select("unit")
+        left = near.filter("more is not null").select(F.col("more").alias("block"))
         if left.isEmpty():
             break
-        apart = apart.join(left, "unit", "left_semi")
+        open_ = open_.join(left, "block", "left_semi")
     whole = members.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     # a table of its own, so that a hot component's side of the join can be split
     least = C.cut(whole.groupBy("comp").agg(F.min("id").alias("least")))
