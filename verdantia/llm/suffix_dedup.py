@@ -31,7 +31,9 @@ LENGTH, GROUP = 200, 4096
 #: Words of eight bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 2
 #: Map-side records that are combined before they are sent on.
-FLUSH = 400_000
+FLUSH = 200_000
+#: Bytes of slices, or of texts, that leave a task at once.
+OUTPUT = 4 << 20
 ANCHOR = np.dtype([("kh", "<u8"), ("sh", "<u8"), ("rid", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("done", "u1")])
 WINDOW = np.dtype([("h", "<u8"), ("rid", "<i8"), ("p", "<i4")])
 
@@ -293,18 +295,20 @@ def meet_anchors(batches):
 
 
 def cut_slices(length: int):
+    """The bytes of the slices of each row; slices overlap, so they leave in steps of about `OUTPUT` bytes."""
+
     def run(batches):
         for batch in batches:
             buf, off = C.flat(batch.column("body"))
             spots = batch.column("spots")
             flat, soff = spots.flatten(), spots.offsets.to_numpy()
             row = np.repeat(np.arange(len(batch)), np.diff(soff))
-            f = [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]  # kind, kh, a, lo, hi
-            view = memoryview(buf)
-            s, e = off[row] + f[3], off[row] + f[4] + length
-            data = pa.array([bytes(view[i:j]) for i, j in zip(s.tolist(), e.tolist())], pa.binary())
-            rid = batch.column("rid").to_numpy()[row]
-            yield pa.record_batch([pa.array(f[1]), pa.array(rid), pa.array(f[0] == DECIDE), pa.array(f[2]), pa.array(f[3]), pa.array(f[4]), data], ["kh", "rid", "decide", "a", "lo", "hi", "data"])
+            kind, kh, a, lo, hi = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+            rid, view = batch.column("rid").to_numpy()[row], memoryview(buf)
+            s, e = off[row] + lo, off[row] + hi + length
+            for x, y in C.pieces(np.append(0, np.cumsum(e - s)), OUTPUT):
+                data = pa.array([view[i:j] for i, j in zip(s[x:y].tolist(), e[x:y].tolist())], pa.binary())
+                yield pa.record_batch([*(pa.array(c[x:y]) for c in (kh, rid, kind == DECIDE, a, lo, hi)), data], ["kh", "rid", "decide", "a", "lo", "hi", "data"])
 
     return run
 
@@ -398,21 +402,24 @@ def strip_spans(length: int, keep_text: bool):
     def run(batches):
         for batch in batches:
             buf, off = C.flat(batch.column("body"))
-            view, out = memoryview(buf), []
-            for i, runs in enumerate(batch.column("runs").to_pylist()):
-                body, spans = view[off[i] : off[i + 1]], []
-                if runs:
-                    spans = merged(np.array([(x["lo"], x["hi"]) for x in runs], np.int64), length).tolist()
-                cut, kept = 0, []
-                for s, e in spans:
-                    kept.append(body[cut:s])
-                    cut = e
-                kept.append(body[cut:])
-                data = b"".join(kept)
-                out.append((len(body), len(body) - len(data), len(spans), hashlib.sha256(data).hexdigest(), data if keep_text else None))
-            cols = list(zip(*out)) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.record_batch([batch.column(c) for c in range(batch.num_columns - 2)] + [pa.array(c, t) for c, t in zip(cols, types)], [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for x, y in C.pieces(off, OUTPUT):
+                yield stripped(batch.slice(x, y - x), memoryview(buf), off[x : y + 1].tolist())
+
+    def stripped(batch: pa.RecordBatch, view: memoryview, off: list[int]) -> pa.RecordBatch:
+        out = []
+        for i, runs in enumerate(batch.column("runs").to_pylist()):
+            body, spans = view[off[i] : off[i + 1]], []
+            if runs:
+                spans = merged(np.array([(x["lo"], x["hi"]) for x in runs], np.int64), length).tolist()
+            cut, kept = 0, []
+            for s, e in spans:
+                kept.append(body[cut:s])
+                cut = e
+            kept.append(body[cut:])
+            data = b"".join(kept)
+            out.append((len(body), len(body) - len(data), len(spans), hashlib.sha256(data).hexdigest(), data if keep_text else None))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        return pa.record_batch([batch.column(c) for c in range(batch.num_columns - 2)] + [pa.array(c, t) for c, t in zip(zip(*out), types)], [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
