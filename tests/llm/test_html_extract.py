@@ -1,4 +1,4 @@
-import re
+import time
 from html.parser import HTMLParser
 
 from verdantia.llm import html_extract as H
@@ -62,3 +62,51 @@ def test_consensus_and_chrome(spark):
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STORY = "Words that make up prose, number {i} of many, with enough of them to be read as a text and not as a label. "
+
+
+def layout(n, doubt, lines=4, links=False):
+    """A page whose article holds a container with a doubtful class."""
+    inner = "".join(f"<p>{STORY.format(i=f'{n}.{i}')}</p>" for i in range(lines))
+    if links:
+        inner = "".join(f"<a href=x>{STORY.format(i=f'{n}.{i}')}</a> " for i in range(lines))
+    return f'<body><div class="top-nav">Home</div><article><h1>Title {n}</h1><p>{STORY.format(i=n) * 3}</p><div class="{doubt}">{inner}</div></article></body>', inner
+
+
+def test_doubtful_words_are_settled_by_the_host(spark):
+    rows, want = [], {}
+    head = lambda n: f"Title {n} " + " ".join((STORY.format(i=n) * 3).split())
+    for n in range(6):
+        for host, doubt, kept, links in (("a", "login-story social", True, False), ("b", "search-results", True, False), ("c", "related", False, True), ("d", "comments", False, False), ("e", "cookie-notice", False, False)):
+            page, _ = layout(n, doubt, links=links)
+            rows.append((f"{host}{n}", f"http://{host}.example/{n}", page))
+            want[f"{host}{n}"] = head(n) + (" " + " ".join(" ".join(STORY.format(i=f"{n}.{i}").split()) for i in range(4)) if kept else "")
+        page, _ = layout("same", "widget", lines=8)  # the same text on every page of the host
+        rows.append((f"f{n}", f"http://f.example/{n}", page))
+        want[f"f{n}"] = head("same")
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == want
+
+
+def test_long_and_deep_pages_take_linear_time():
+    n = 100_000
+    hard = ["<a " * 350_000, '<a "> ' * n, "<div>" * n, "<div>" * n + "</ul>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<div " + "a" * 10 * n + ">x", "<!-- " * n, "</" * n, "<p a='" * n, "<header>" * n]
+    for page in hard:
+        start = time.time()
+        H.Page(page).doubts()
+        assert time.time() - start < 20, page[:20]
+    deep = H.Page("<div>" * n + "deep" + "</div>" * n + "<p>end")
+    assert len(deep.nodes) == n + 1 and [t for _, t, _ in deep.blocks] == ["deep", "end"]
+    long = "word " * 400_000
+    assert H.Page(f"<article><p>{long}</p></article>").blocks[0][1] == long.strip()
+
+
+def test_malformed_tags():
+    read = lambda h: [t for _, t, _ in H.Page(h).blocks]
+    assert read("a < b and 3 <4 <p>x") == ["a < b and 3 <4", "x"]
+    assert read('<p title="it\'s 5" tall">one</p><p>two</p>') == ["one", "two"]
+    assert read("<table><tr><td>1<td><b>2<td>3<tr><td>4</table>5") == ["1", "2", "3", "4", "5"]
+    assert read("<p>x<button>no</button>y<select><option>no</select>z") == ["x", "y", "z"]
+    assert read('<svg/><p hidden>no</p><p style="display : none">no</p><p aria-hidden=true>no</p>yes') == ["yes"]
