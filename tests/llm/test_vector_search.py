@@ -3,6 +3,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdantia.llm import anisotropic_ann as A
 from verdantia.llm import max_score as M
@@ -99,3 +100,31 @@ def test_ann_recall_on_table(spark, sf):
 def test_empty(spark):
     assert M.top_k(table(spark, [])).count() == 0 and A.nearest(table(spark, [])).count() == 0
     assert A.nearest(table(spark, [(0, [1.0, 2.0], 1), (3, [1.0, 2.5], 1)])).collect()[0].vec_id == 3
+
+
+def test_clashing_columns_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROW_BLOCK", 150)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    rows = odd_rows()
+    plain = table(spark, rows)
+    named = plain.withColumns({c: F.lit(c) for c in ("codes", "norm", "block", "salt", "score", "rank", "query_id", "vec")})
+    for find in (M.top_k, A.nearest):
+        assert sorted(map(tuple, find(named).collect())) == sorted(map(tuple, find(plain).collect()))
+
+
+def test_large_components_do_not_overflow(spark):
+    rows = [(0, [1e30, 1.0], 0), (1, [1e30, -1e30], 0), (2, [-1e30, 1.0], 0), (3, [0.5, 2.0], 0)]
+    most = math.isqrt(2**61)
+    clip = lambda v: [max(-most, min(most, math.floor(256 * c))) for c in v]
+    x = {i: clip([float(np.float32(c)) for c in v]) for i, v, _ in rows}
+    got = M.top_k(table(spark, rows)).collect()
+    want = sorted(((sum(a * b for a, b in zip(x[0], v)), -i) for i, v in x.items() if i), reverse=True)
+    assert [(r.score, -r.vec_id) for r in got] == want
+
+
+def test_float_tables_cover_an_odd_number_of_codes(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(r.standard_normal((500, 9)).astype(np.float32))]
+    want = exact_nearest([(i, np.array(v)) for i, v, _ in rows], 100, 10)
+    got = A.nearest(table(spark, rows)).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q, near in want.items() for i, _ in near}

@@ -7,7 +7,8 @@ looks its tables up for all codes of a block, and the best of the block are rank
 rows that their code and the length of its residual still allow nearer than the k-th of those.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; a repeated
-id counts once, at its nearest row; an empty table gives an empty result; equal distances go to smaller ids.
+id counts once, at its nearest row; an empty table gives an empty result; equal distances go to smaller ids; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -134,15 +135,18 @@ def scan(books: list[np.ndarray], k: int):
             ids, x = ids[order], V.matrix(left.column("vec"))[order]
             norm = left.column("norm").to_numpy()[order]
             two = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            codes = [np.ascontiguousarray(c) for c in np.stack([two & 15, two >> 4], axis=2).reshape(len(ids), -1).T[: len(books)]]
+            packed = [np.ascontiguousarray(c) for c in two.T]  # two codes to a byte: one lookup for both
             parts = split(x.shape[1])
+            codes = [c for p in packed for c in (p & 15, p >> 4)][: len(books)]
             inner = sum((b * b).sum(axis=1)[c] for b, c in zip(books, codes))
             gap = np.sqrt(sum(((x[:, s] - b[c]) ** 2).sum(axis=1) for s, b, c in zip(parts, books, codes)))
-            length = np.sqrt(norm)
+            del codes
+            length, none = np.sqrt(norm), np.zeros(CODES)
             for q_id, q in zip(right.column("vec_id").to_numpy(), V.matrix(right.column("vec"))):
+                table = [2 * (b @ q[s]) for s, b in zip(parts, books)] + [none] * (len(books) % 2)
                 score = -norm
-                for s, b, c in zip(parts, books, codes):
-                    score = score + (2 * (b @ q[s]))[c]
+                for p, low, high in zip(packed, table[::2], table[1::2]):
+                    score = score + (high[:, None] + low[None]).ravel()[p]
                 far = np.sqrt(np.maximum(q @ q + inner - score - norm, 0))  # from the query to the coded row
                 score[ids == q_id] = -np.inf
                 near = first_best(score, RERANK)

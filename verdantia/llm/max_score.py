@@ -8,7 +8,8 @@ are probed in the remaining lists, one at a time while they compete, and then sc
 best are merged.
 
 Vectors that are null, of another length than most, or hold null or non-finite components take no part; a repeated id
-counts once, at its best row; equal scores go to smaller ids; an empty table gives an empty result.
+counts once, at its best row; equal scores go to smaller ids; an empty table gives an empty result; other columns are
+ignored. Integers beyond the square root of 2**62 / dimensions (2**28 at 64) count as that, so that no score overflows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
+        self.repeats = bool((ids[1:] == ids[:-1]).any())
         self.rows, self.values, self.top = {}, {}, {}
         for t in range(x.shape[1]):
             for sign in (1, -1):
@@ -47,7 +49,8 @@ class Shard:
         bound = np.concatenate([[0], np.cumsum([b for b, _, _ in terms])]).astype(np.int64)
         head = [self.rows[t, s][:HEAD] for _, t, s in terms[-3:]]
         seen = np.unique(np.concatenate(head)) if head else np.zeros(0, np.int64)
-        least = self.kth(self.exact(seen[self.ids[seen] != q_id], q), k)
+        seen = seen[self.ids[seen] != q_id]
+        least = self.kth(self.ids[seen], self.exact(seen, q), k)
         # terms[:first] are non-essential: together they stay below the threshold
         first = int(np.searchsorted(bound, least, side="left")) - 1 if least is not None else 0
         first = max(0, min(first, len(terms)))
@@ -76,13 +79,13 @@ class Shard:
     def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         return self.x[rows] @ q
 
-    def kth(self, score: np.ndarray, k: int):
-        """A k-th best score is a bound only where ids don't repeat."""
-        return None if len(score) < k or self.repeats else int(np.partition(score, len(score) - k)[len(score) - k])
-
-    @property
-    def repeats(self) -> bool:
-        return bool((self.ids[1:] == self.ids[:-1]).any())
+    def kth(self, ids: np.ndarray, score: np.ndarray, k: int):
+        """The k-th best score of different ids, a bound for all others; None of fewer."""
+        if self.repeats:
+            order = np.lexsort((-score, ids))
+            ids, score = ids[order], score[order]
+            score = score[np.append(True, ids[1:] != ids[:-1])] if len(ids) else score
+        return None if len(score) < k else int(np.partition(score, len(score) - k)[len(score) - k])
 
 
 def search(k: int):
@@ -103,7 +106,9 @@ def search(k: int):
 def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", step: int = 50, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, exactly."""
     rows = V.clean(df, key, vector, zero=True)
-    rows = cut(rows.select("vec_id", F.transform("vec", lambda v: F.floor(v * scale).cast("double")).alias("vec")))
+    most = F.floor(F.sqrt(F.lit(2.0**62) / F.size("vec"))).cast("double")
+    whole = F.transform("vec", lambda v: F.greatest(F.least(F.floor(v * scale).cast("double"), most), -most))
+    rows = cut(rows.select("vec_id", whole.alias("vec")))
     return V.meet(rows, V.one_each(rows, step), search(k), k, "query_id long, vec_id long, score long", "desc")
 
 

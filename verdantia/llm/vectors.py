@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows, and queries, that meet in one task step; both are dealt by a hash of their id.
-ROW_BLOCK, QUERY_BLOCK = 4096, 512
+from .common import parts
+
+#: Rows, and queries, that meet in one task on average; both are dealt by a hash of their id. Each row is sent once for
+#: every block of queries, and each query once for every block of rows, so blocks are as large as a task takes with ease
+#: (16 MB each at 64 dimensions).
+ROW_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 15
+#: Small tables are dealt to all tasks, but in no smaller blocks of rows than these.
+LEAST_BLOCK = 1 << 12
 
 
 def clean(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
@@ -39,7 +45,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 def meet(rows: DataFrame, queries: DataFrame, step: Callable, k: int, schema: str, best: str) -> DataFrame:
     """step(row table, query table) for every block pair, then the k best candidates of each query by `best`, vec_id."""
     n, m = rows.count(), queries.count()
-    salts, blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(m / QUERY_BLOCK))
+    blocks = max(1, math.ceil(m / QUERY_BLOCK))
+    salts = max(1, math.ceil(n / ROW_BLOCK), min(parts(rows.sparkSession) // blocks, math.ceil(n / LEAST_BLOCK)))
     place = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(salts)).cast("int")
     left = rows.withColumn("salt", place).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
