@@ -58,3 +58,15 @@ def test_empty(spark, sf):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_repeated_ids_and_signs(spark, sf):
+    """Stages tell rows apart by id and text; replacement characters that a text had from the start stay."""
+    text = ["".join(f"{c}{i} " for i in range(40)) for c in "abcd"]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (None, text[2]), (None, text[3]), (5, text[3]), (6, None), (7, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_duplicates(spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", text[0]), ("2", text[1]), ("None", text[2]), ("5", text[3]), ("6", ""), ("7", "")])
+    passage = "é" * 150
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in ((1, "� one " + passage), (2, "x�" + passage + " � two"), (3, "�"))], docs.schema)
+    assert {r.doc_id: r.text for r in P.repeated_passages(spark, docs, sf).collect()} == {1: "� one ", 2: "x� � two", 3: "�"}

@@ -6,7 +6,8 @@ through time on words of a bounded sample of documents with a known language. St
 `UNIT` bytes, so a word's labels depend on the word alone; each task keeps the sums of the words it has seen.
 
 Text that is null or has no letter is `und` with score 0, as is every text when nothing could be learned; duplicated ids
-are predicted row by row; other columns are ignored.
+are predicted row by row; equal shares go to the first language by name; an empty table gives an empty result; a very long
+text is read in pieces and every byte counts; other columns are ignored.
 """
 
 from __future__ import annotations

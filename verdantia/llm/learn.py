@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Labelled texts that a model is fitted on, at most. The only bound here: scoring covers every text.
 SAMPLE = 4000
-#: Bytes of the sampled texts that reach the driver, at most; rows come in the order of a hash of their id.
-SAMPLE_BYTES = 40_000_000
+#: Bytes of the sampled texts that reach the driver, at most, and of one text; rows come in the order of a hash of their id.
+SAMPLE_BYTES, TEXT_BYTES = 40_000_000, 1_000_000
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -19,15 +18,28 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def taught(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> list[tuple[bytes, object]]:
-    """(text, label) of at most `most` rows that may teach, in the order of a hash of the id."""
-    ids = labels.select(F.col(key).alias("id"), F.col(label).alias("label")).filter(F.col("label").isNotNull()).withColumnRenamed("id", key).filter(~held_out(key))
+    """(text, label) of at most `most` ids that may teach, in the order of a hash of the id.
+
+    A repeated id teaches once, with its smallest label and text. Texts above TEXT_BYTES, and those that would pass
+    SAMPLE_BYTES together, teach nothing; later ones still do.
+    """
+    ids = labels.select(F.col(key), F.col(label).alias("label")).filter(F.col("label").isNotNull()).filter(~held_out(key))
     order = F.xxhash64(key, F.lit("sample"))
-    ids = ids.select(key, "label", order.alias("place")).orderBy("place", key).limit(most)  # bounded by `most`, so it may be broadcast
-    body = docs.select(F.col(key), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    rows = body.join(F.broadcast(ids), key).select("place", key, "label", "body")
-    upto = F.sum(F.length("body")).over(W.orderBy("place", key, "label", "body"))
-    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).orderBy("place", key, "label", "body").select("body", "label")
-    return [(bytes(r.body), r.label) for r in rows.collect()]
+    ids = ids.groupBy(key).agg(F.min("label").alias("label")).withColumn("place", order).orderBy("place", key).limit(most)
+    body = docs.select(F.col(key), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body")).filter(F.length("body") <= TEXT_BYTES)
+    # `most` bounds the ids, so they may be broadcast, and what comes back of them is small
+    rows = body.join(F.broadcast(ids), key).groupBy("place", key, "label").agg(F.min("body").alias("body"))
+    sizes = rows.select("place", key, F.length("body").alias("size")).orderBy("place", key).collect()
+    held, pick = 0, []
+    for r in sizes:
+        if held + r["size"] <= SAMPLE_BYTES:
+            held += r["size"]
+            pick.append((r[key],))
+    if not pick:
+        return []
+    told = docs.sparkSession.createDataFrame(pick, docs.select(key).schema)
+    rows = rows.join(F.broadcast(told), key, "left_semi").orderBy("place", key)
+    return [(bytes(r.body), r.label) for r in rows.select("body", "label").collect()]
 
 
 def sigmoid(x):

@@ -1,13 +1,17 @@
 """Sampled segmentation into the pieces of a SentencePiece vocabulary, and lossless decoding (operator 9).
 
-Texts split into units: a run of spaces with the characters up to the next space or line feed. Each different unit's
+Texts split into units: a run of spaces with the characters up to the next space or line feed, `UNIT` of them at most (a
+longer run is several units, so that no text takes more than UNIT steps). Each different unit's
 lattice of pieces is filtered forward once per task and kept; every occurrence is then sampled backward from it, all
 occurrences of a batch together, one piece a step. A draw depends on the row key, the place of the unit in its text, the
-step and the seed alone, so reruns and other partitionings give the same pieces. Piece i weighs 1 / (i + 10): the files
-rank pieces by id and hold no probabilities. Characters outside the vocabulary, and literal U+2581, are their UTF-8 bytes.
+step and the seed alone, so reruns and other partitionings give the same pieces. Piece i has a probability in proportion to
+1 / (i + 10): the files rank pieces by id and hold none. A segmentation is drawn in proportion to its probability to the
+power `ALPHA`; at 1 nearly every draw would be the one with the fewest pieces. Characters outside the vocabulary, and literal U+2581, are their UTF-8 bytes.
 
 Decoding maps U+2581 back to a space and byte pieces to bytes, so any text comes back exactly. A null text has null
-pieces; an empty text has none; the vocabulary is read on the driver (its size is the file's) and broadcast.
+pieces; an empty text has none; the vocabulary is read on the driver (its size is the file's) and broadcast. Rows with the
+same key and text get the same pieces; equal draws go to the arc that comes first; other columns stay, except those with
+the names of the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MODEL, SEED = "piece_bpe_32k.model", 1
-#: Units a task keeps; when more have been seen, it starts over.
-KEEP = 250_000
+MODEL, SEED, ALPHA = "piece_bpe_32k.model", 1, 0.3
+#: Characters of a unit, at most.
+UNIT = 256
+#: Units, and their characters, that a task keeps; when more have been seen, it starts over.
+KEEP, KEEP_STATES = 250_000, 4_000_000
 SPACE_MARK = "▁"
 
 
@@ -56,7 +62,7 @@ class Lattices:
         self.ids = {p.replace(SPACE_MARK, " "): i for i, (p, kind) in enumerate(pieces) if kind == 1}
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(pieces) if kind == 6}
         self.weight = 1.0 / (np.arange(len(pieces)) + 10.0)
-        self.weight /= self.weight[sorted(self.ids.values())].sum()
+        self.weight = (self.weight / self.weight[sorted(self.ids.values())].sum()) ** ALPHA
         # every beginning of a piece, by hash: the piece's id, or -1 where only longer pieces go on
         ends: dict[str, int] = {t[:m]: -1 for t in self.ids for m in range(1, len(t))}
         ends.update(self.ids)
@@ -161,11 +167,13 @@ def prefix(cp: np.ndarray) -> np.ndarray:
 
 
 def unit_bounds(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the units: a space after another character, a line feed, what follows one, and every row."""
+    """Starts of the units: a space after another character, a line feed, what follows one, every row, and each UNIT more."""
     start = np.zeros(len(cp), bool)
     start[off[:-1][off[:-1] < len(cp)]] = True
     start[1:] |= ((cp[1:] == 32) & (cp[:-1] != 32)) | (cp[1:] == 10) | (cp[:-1] == 10)
-    return np.flatnonzero(start)
+    start = np.flatnonzero(start)
+    n = -(-np.diff(np.append(start, len(cp))) // UNIT)
+    return np.repeat(start, n) + UNIT * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
 def uniform(row: np.ndarray, place: np.ndarray, step: int, seed: int) -> np.ndarray:
@@ -184,7 +192,7 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattices, seed: int) -> tupl
     row = np.searchsorted(off, start, side="right") - 1
     h = C.span_hash(prefix(raw), start, end)
     uniq, one, at = np.unique(h, return_index=True, return_inverse=True)
-    if len(lat.first) > KEEP:
+    if len(lat.first) > KEEP or lat.count > KEEP_STATES:
         lat.clear()
     new = np.array([u not in lat.first for u in uniq.tolist()], bool)
     if new.any():

@@ -2,11 +2,12 @@
 
 Words and character 3- and 4-grams are hashed to vectors; a document is their average, and a softmax layer on it gives
 the class. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
-rows; a fifth of it is kept apart to move the bias so that the cut with the fewest errors scores the threshold. As the average and the layer are linear, a trained model is one number per hashed feature, and a whole text is
+rows; a fifth of it is kept apart to move the bias so that the cut with the fewest errors scores the threshold. As the
+average and the layer are linear, a trained model is one number per hashed feature, and a whole text, however long, is
 scored by summing them in its task.
 
 Null and empty texts get the score of the bias alone; without labelled rows every score is 0.5; duplicated ids are scored
-row by row; other columns are ignored.
+row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -398,7 +398,7 @@ def merged(runs: np.ndarray, length: int) -> np.ndarray:
     return np.stack([runs[first, 0], end[np.append(first[1:], len(runs)) - 1]], axis=1)
 
 
-def strip_spans(length: int, keep_text: bool):
+def strip_spans(length: int, keep_text: bool, whole: bool):
     def run(batches):
         for batch in batches:
             buf, off = C.flat(batch.column("body"))
@@ -417,7 +417,8 @@ def strip_spans(length: int, keep_text: bool):
                 cut = e
             kept.append(body[cut:])
             data = b"".join(kept)
-            out.append((len(body), len(body) - len(data), len(spans), hashlib.sha256(data).hexdigest(), data if keep_text else None))
+            kept = b"".join(bytes(x).decode("utf-8", "ignore").encode() for x in kept) if whole and spans else data
+            out.append((len(body), len(body) - len(data), len(spans), hashlib.sha256(data).hexdigest(), kept if keep_text else None))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.record_batch([batch.column(c) for c in range(batch.num_columns - 2)] + [pa.array(c, t) for c, t in zip(zip(*out), types)], [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -450,13 +451,16 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     return runs.unionByName(few.mapInArrow(sort_slices(length, k), "rid long, lo int, hi int"))
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep_text: bool = True, group: int = GROUP) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if keep_text, the remaining bytes as kept."""
+def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep_text: bool = True, group: int = GROUP, whole: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, if keep_text, the remaining bytes as kept.
+
+    With `whole`, kept lacks the halves of UTF-8 characters that the removed spans have cut.
+    """
     rest = [c for c in docs.columns if c.lower() not in OWN and c != text] if keep_text else [key]
     rows = docs.select(F.xxhash64(key, text).alias("rid"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"), F.struct(*rest).alias("rest"))
     runs = C.cut(repeated_runs(rows, length, group)).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     full = rows.join(runs, "rid", "left").select("rest", "body", "runs")
-    out = full.mapInArrow(strip_spans(length, keep_text), f"rest {full.dtypes[0][1]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = full.mapInArrow(strip_spans(length, keep_text, whole), f"rest {full.dtypes[0][1]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if keep_text else out.drop("kept")
 

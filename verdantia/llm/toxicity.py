@@ -6,7 +6,8 @@ gradient descent on a bounded sample of labelled rows. On rows kept apart from t
 each language, which is guessed from function words of the text itself; scores are shifted so that it falls on 0.5.
 
 A trained filter is a table by hashed word, so scoring a text is looking up and adding. Null and empty texts get the
-score of no evidence; without labelled rows every score is 0; duplicated ids are scored row by row.
+score of no evidence; without labelled rows every score is 0; duplicated ids are scored row by row; equally likely languages
+are the first of the list; very long texts are scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
