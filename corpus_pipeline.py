@@ -25,33 +25,25 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group that links join; rows without an id stay."""
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    kept = rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "text"]) if has_repeats(docs) else kept
+    """Keeps one document, the one with the smallest id, of each group that links join.
 
-
-def has_repeats(docs: DataFrame) -> bool:
-    """Whether an id stands in several rows; then equal rows are one document."""
-    return not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    Documents are told apart by id and text: one text of a repeated id may go and another stay; rows equal in both are one.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.jaccard_components(rows.select("row", "text"), key="row").select("row", "component_id").distinct()
+    ids = rows.select("row", "doc_id").distinct()
+    stays = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.dropDuplicates(["row"]).join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes in strings of 200 bytes that start elsewhere too; cut characters and texts left empty go."""
-    found = suffix_dedup.dedup_substrings(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(whole_characters("kept"))
-    clean = found.withColumn("text", text)
+    found = suffix_dedup.dedup_substrings(docs.select(*COLUMNS), whole=True)
+    clean = found.withColumn("text", F.col("kept").cast("string"))
     clean = clean.filter((F.length("text") > 0) | (F.col("n_removed") == 0))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def whole_characters(column: str):
-    """Bytes as text without the halves of characters that a cut has left."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(column).cast("string")), "�", "")
-
-
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix begins to take it; those it takes no word of go."""
     keyed = cut(docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS)))
