@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     """docs with lang_pred and score."""
     told = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    rows = docs.select(F.struct(*rest).alias("rest"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col(text).alias("body"))
+    rows = C.short_batches(docs).select(F.struct(*rest).alias("rest"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col(text).alias("body"))
 
     def run(batches):
         sums = Sums(told.value[0]) if told.value else None
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
                     lang[lo:hi][use], score[lo:hi][use] = names[share.argmax(axis=1)], share.max(axis=1)
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["rest", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"rest {rows.dtypes[0][1]}, lang_pred string, score double").select("rest.*", "lang_pred", "score")
+    return rows.mapInArrow(C.tidy(run), f"rest {rows.dtypes[0][1]}, lang_pred string, score double").select("rest.*", "lang_pred", "score")
 
 
 def learn_languages(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang"):

@@ -276,21 +276,21 @@ OWN = {"pieces", "n_pieces", "pieces_crc32", "lossless"}
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     rest = [c for c in docs.columns if c.lower() not in OWN]
-    return docs.select(F.struct(*rest).alias("rest"), F.xxhash64(key).alias("rid"), F.col(text).alias("body"))
+    return C.short_batches(docs).select(F.struct(*rest).alias("rest"), F.xxhash64(key).alias("rid"), F.col(text).alias("body"))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """docs with pieces array<int>, a sampled segmentation of each text."""
     rows = _rows(docs, text, key)
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
-    return rows.mapInArrow(_encode(pieces, seed, False), f"rest {rows.dtypes[0][1]}, pieces array<int>").select("rest.*", "pieces")
+    return rows.mapInArrow(C.tidy(_encode(pieces, seed, False)), f"rest {rows.dtypes[0][1]}, pieces array<int>").select("rest.*", "pieces")
 
 
 def decoded(coded: DataFrame, path: str, column: str = "pieces", text: str = "text") -> DataFrame:
     """coded with its pieces put back together as `text`."""
     pieces = coded.sparkSession.sparkContext.broadcast(read_pieces(path))
     rest = [c for c in coded.columns if c != text]
-    rows = coded.select(F.struct(*rest).alias("rest"), F.col(column).alias("ids"))
+    rows = C.short_batches(coded).select(F.struct(*rest).alias("rest"), F.col(column).alias("ids"))
 
     def run(batches):
         table = byte_table(pieces.value)
@@ -305,7 +305,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     """docs with the number of pieces, their CRC-32 as little-endian int32, and whether decoding gave the text back."""
     rows = _rows(docs, text, key)
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
-    made = rows.mapInArrow(_encode(pieces, seed, True), f"rest {rows.dtypes[0][1]}, n_pieces long, pieces_crc32 long, lossless boolean")
+    made = rows.mapInArrow(C.tidy(_encode(pieces, seed, True)), f"rest {rows.dtypes[0][1]}, n_pieces long, pieces_crc32 long, lossless boolean")
     return made.select("rest.*", "n_pieces", "pieces_crc32", "lossless")
 
 
