@@ -166,10 +166,54 @@ def test_prefix_sum_matches_a_plain_window(spark):
     for lead, i, v in sorted(((r.lead, r.id, r.v) for r in df.collect()), key=lambda x: (-x[0], x[1])):
         total += v
         want[i] = total
-    assert {r.id: r.running for r in W.prefix_sum(df, "lead", "v", ("id",), descending=True, parts=9).collect()} == want
+    assert {r.id: r.running for r in W.prefix_sum(df, "lead", "v", ("id",), descending=True, rows=30).collect()} == want
 
 
 def test_upsert_keeps_what_the_batch_lacks(spark):
     t = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, n int, s string")
     b = spark.createDataFrame([("b", None), ("c", 3)], "k string, n int")
     assert sorted(map(str, io.upsert(t, b, "k").collect())) == ["Row(k='a', n=1, s='x')", "Row(k='b', n=2, s='y')", "Row(k='c', n=3, s=None)"]
+
+
+def rings(spark, polygons):
+    """(ward_id, rings, holes) of {id: (outer rings, holes)} with corners as pairs."""
+    rows = [(k, [[(float(x), float(y)) for x, y in r] for r in outer], [[(float(x), float(y)) for x, y in r] for r in holes]) for k, (outer, holes) in polygons.items()]
+    ring = "array<array<struct<x:double,y:double>>>"
+    return spark.createDataFrame(rows, f"ward_id string, rings {ring}, holes {ring}")
+
+
+def square(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def test_wards_with_rings(spark):
+    """Slanted, concave, holed and two-part wards against areas worked out by hand; blocks are 250 m squares."""
+    x, y = spatial.X0, spatial.Y0
+    wards = rings(spark, {
+        "slant": ([[(x, y), (x + 250, y), (x, y + 250)]], []),  # half of block 0
+        "rest": ([[(x + 250, y), (x + 250, y + 250), (x, y + 250)]], []),  # the other half
+        "bay": ([[(x + 250, y), (x + 500, y), (x + 500, y + 250), (x + 375, y + 125), (x + 250, y + 250)]], []),  # three quarters of block 1
+        "ring": ([square(x + 500, y, x + 750, y + 250)], [square(x + 525, y + 25, x + 725, y + 225)]),  # block 2 but for a hole of 200 x 200
+        "core": ([square(x + 525, y + 25, x + 725, y + 225)], []),
+        "pair": ([square(x + 750, y, x + 800, y + 250), square(x + 900, y, x + 1000, y + 250)], []),  # two parts of block 3
+    })
+    blocks = spark.createDataFrame([(f"b{i}", x + 250 * i, y, x + 250 * i + 250, y + 250) for i in range(5)], "block_id string, minx long, miny long, maxx long, maxy long")
+    area = {(r.a_block_id, r.b_ward_id): r.area for r in spatial.ring_overlaps(blocks, "block_id", wards, "ward_id").collect()}
+    want = {("b0", "slant"): 31250, ("b0", "rest"): 31250, ("b1", "bay"): 46875, ("b2", "ring"): 22500, ("b2", "core"): 40000, ("b3", "pair"): 37500}
+    assert set(area) == set(want) and all(abs(area[k] - a) < 1e-6 for k, a in want.items())
+    got = {r.block_id: (r.ward_id, r.status) for r in spatial.ward_assign(blocks, wards).collect()}
+    assert got == {"b0": (None, "ambiguous_overlap"), "b1": ("bay", "assigned"), "b2": ("core", "assigned"), "b3": ("pair", "assigned"), "b4": (None, "no_overlap")}
+
+
+def test_points_in_rings(spark):
+    x, y = spatial.X0, spatial.Y0
+    wards = rings(spark, {"bay": ([[(x, y), (x + 600, y), (x + 600, y + 600), (x + 300, y + 300), (x, y + 600)]], []), "ring": ([square(x, y, x + 600, y + 600)], [square(x + 200, y + 200, x + 400, y + 400)])})
+    points = spark.createDataFrame([(1, x + 300, y + 100), (2, x + 300, y + 350), (3, x + 50, y + 500), (4, x + 300, y + 500), (5, x + 700, y + 100), (6, None, y)], "id long, x long, y long")
+    got = {(r.id, r.b_ward_id) for r in spatial.points_in_rings(points, wards).collect()}
+    assert got == {(1, "bay"), (1, "ring"), (3, "bay"), (3, "ring"), (4, "ring")}
+
+
+def test_nearest_distance_ends_without_coordinates(spark):
+    points = spark.createDataFrame([(1, 300000.0, 2000000.0), (2, None, 2000000.0), (3, 330000.0, 2000000.0)], "id long, x double, y double")
+    lines = spark.createDataFrame([(300010.0, 2000000.0, 300020.0, 2000000.0), (None, 2000000.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert {r.id: r.distance for r in spatial.nearest_distance(points, lines, "id").collect()} == {1: 10.0, 2: None, 3: 29980.0}

@@ -83,10 +83,13 @@ def vote_merge(preds: DataFrame) -> DataFrame:
     return sums.groupBy("r", "c").agg(F.when(F.sum("w") > 0, F.max_by("class", F.struct("score", -F.col("class")))).alias("class"))
 
 
-def tile_plan(spark, height: int, width: int, patch: int, stride: int, margin: int) -> DataFrame:
-    """(top, left) of tiles with a margin around the image, the last of a row reaching its end."""
-    starts = lambda n: F.explode(F.sequence(F.lit(-margin), F.lit(max(-margin, n + margin - patch + stride - 1)), F.lit(stride)))
-    return spark.range(1).select(starts(height).alias("top")).withColumn("left", starts(width))
+def tile_plan(px: DataFrame, patch: int, stride: int, margin: int) -> DataFrame:
+    """(top, left) of tiles with a margin around the image of pixels px, the last of a row reaching its end."""
+    low = F.lit(-margin).cast("long")
+    starts = lambda n: F.explode(F.sequence(low, F.greatest(low, F.col(n) + margin - patch + stride), F.lit(stride).cast("long")))
+    size = px.agg((F.max("r") + 1).cast("long").alias("h"), (F.max("c") + 1).cast("long").alias("w")).filter("h is not null")
+    last = lambda n, at: F.col(at) < F.greatest(low + 1, F.col(n) + margin - patch + stride)
+    return size.withColumn("top", starts("h")).withColumn("left", starts("w")).filter(last("h", "top") & last("w", "left")).select("top", "left")
 
 
 def spatial_split(left: Column, train_end: int, val_end: int, patch: int = 256, buffer: int = 256) -> Column:

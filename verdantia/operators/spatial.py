@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.clip import clip_area
+from ..functions.scalar import ring_contains
+from ..sources import io
+
 X0, Y0, CELL = 300000, 2000000, 250
 
 
@@ -51,6 +55,31 @@ def points_in(points: DataFrame, boxes: DataFrame, strict: bool = False, size: i
     return both.filter(x.between(F.col("b_minx"), F.col("b_maxx")) & y.between(F.col("b_miny"), F.col("b_maxy")))
 
 
+def ring_boxes(polygons: DataFrame) -> DataFrame:
+    """polygons with the box of their outer rings; rings and holes are array<array<struct<x double, y double>>>."""
+    points = F.flatten("rings")
+    ends = {f"{f}{c}": getattr(F, f"array_{f}")(F.transform(points, lambda p: p[c])) for c in "xy" for f in ("min", "max")}  # noqa: B023
+    return polygons.withColumns({"minx": ends["minx"], "miny": ends["miny"], "maxx": ends["maxx"], "maxy": ends["maxy"]})
+
+
+def points_in_rings(points: DataFrame, polygons: DataFrame, size: int = CELL) -> DataFrame:
+    """Points (x, y) with the polygons that hold them: cells, then boxes, then a ray cast over all rings and holes."""
+    both = points_in(points, ring_boxes(polygons), size=size)
+    rings = F.concat("b_rings", F.coalesce("b_holes", F.array()))
+    crossed = F.transform(rings, lambda r: ring_contains(r, F.col("x"), F.col("y")).cast("int"))
+    return both.filter(F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1)
+
+
+def ring_overlaps(boxes: DataFrame, box_key: str, polygons: DataFrame, key: str, size: int = CELL) -> DataFrame:
+    """(a_<box_key>, b_<key>, area) of boxes and the polygons that share area with them; holes count off."""
+    both = overlaps(boxes.select(box_key, "minx", "miny", "maxx", "maxy"), ring_boxes(polygons.select(key, "rings", "holes")), size=size).drop("area")
+    signed = lambda c, s: F.transform(F.coalesce(c, F.array()), lambda r: F.struct(r.alias("ring"), F.lit(s).alias("sign")))
+    parts = both.withColumn("part", F.explode(F.concat(signed("b_rings", 1), signed("b_holes", -1))))
+    corner = [F.col(f"a_{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")]
+    area = F.col("part.sign") * clip_area(F.col("part.ring"), *corner)
+    return parts.groupBy(f"a_{box_key}", f"b_{key}").agg(F.sum(area).alias("area")).filter("area > 0")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
@@ -77,20 +106,35 @@ def within_buffer(points: DataFrame, lines: DataFrame, distance: float, key: str
 
 
 def nearest_distance(points: DataFrame, lines: DataFrame, key: str, ring: int = CELL) -> DataFrame:
-    """(key, distance) to the nearest segment; -1 if there is none. The ring doubles until every point has a hit within it."""
+    """(key, distance) to the nearest segment; -1 if there is none, NULL for a point without coordinates.
+
+    The ring grows fourfold until every point has a hit within it; each round goes on from a table of what is left.
+    """
     if lines.isEmpty():
         return points.select(key, F.lit(-1.0).alias("distance"))
-    todo, found = points, None
+    lines = lines.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
+    found = points.filter(nowhere).select(key, F.lit(None).cast("double").alias("distance"))
+    if lines.isEmpty():
+        return found.unionByName(points.filter(~nowhere).select(key, F.lit(-1.0).alias("distance")))
+    todo = points.filter(~nowhere)
     while not todo.isEmpty():
         at = todo.withColumns({"cx": cell(F.col("x"), X0, ring), "cy": cell(F.col("y"), Y0, ring)})
         near = at.join(prefixed(cover(segment_boxes(lines), ring, ring), "b_"), ["cx", "cy"])
-        got = near.groupBy(key).agg(F.min(segment_distance(F.col("x"), F.col("y"), "b_")).alias("distance")).filter(F.col("distance") <= ring)
-        found = got if found is None else found.unionByName(got)
-        todo = todo.join(got, key, "left_anti")
+        got = written(near.groupBy(key).agg(F.min(segment_distance(F.col("x"), F.col("y"), "b_")).alias("distance")).filter(F.col("distance") <= ring))
+        found = found.unionByName(got)
+        todo = written(todo.join(got, key, "left_anti"))
         ring *= 4
     return found
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = io.scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def distance_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
     """(i, j, distance) with i < j of all points closer than r: cells of side r, each point offered to its nine neighbours."""
     at = points.select(F.col(key).alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.floor(F.col("x") / r).alias("cx"), F.floor(F.col("y") / r).alias("cy"))
@@ -111,8 +155,14 @@ def block_name(bi: Column, bj: Column) -> Column:
 
 
 def ward_assign(blocks: DataFrame, wards: DataFrame, gap_share: float = 0.01, least: float = 1e-4) -> DataFrame:
-    """(block_id, ward_id, status): largest overlap; ambiguous if the second is within gap_share of the block's area."""
-    over = overlaps(blocks.select("block_id", "minx", "miny", "maxx", "maxy"), wards.select("ward_id", "minx", "miny", "maxx", "maxy"))
+    """(block_id, ward_id, status): largest overlap; ambiguous if the second is within gap_share of the block's area.
+
+    Wards are boxes, or polygons where they have rings and holes.
+    """
+    if "rings" in wards.columns:
+        over = ring_overlaps(blocks, "block_id", wards, "ward_id")
+    else:
+        over = overlaps(blocks.select("block_id", "minx", "miny", "maxx", "maxy"), wards.select("ward_id", "minx", "miny", "maxx", "maxy"))
     rank = F.row_number().over(W.partitionBy("a_block_id").orderBy(F.desc("area"), "b_ward_id"))
     top = over.withColumn("rank", rank).filter("rank <= 2").groupBy(F.col("a_block_id").alias("block_id")).agg(
         F.max(F.when(F.col("rank") == 1, F.col("area"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("area"))).alias("second"), F.max(F.when(F.col("rank") == 1, F.col("b_ward_id"))).alias("ward"),

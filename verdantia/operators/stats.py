@@ -19,9 +19,11 @@ def stability(pairs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def tier_change(pairs: DataFrame, old: str, new: str, key: str) -> DataFrame:
+    """How many of all changed their tier, on each row of those that moved by two tiers or more (one row without a key if none did)."""
     rank = lambda c: F.try_element_at(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv)), F.col(c))
     both = pairs.select(key, F.abs(rank(new) - rank(old)).alias("move")).filter("move is not null")
-    return both.agg(F.count_if(F.col("move") > 0).alias("changed"), (100.0 * F.count_if(F.col("move") > 0) / F.count("*")).alias("pct"), F.count_if(F.col("move") >= 2).alias("big_moves"), F.array_sort(F.collect_list(F.when(F.col("move") >= 2, F.col(key)))).alias("ids"))
+    whole = both.agg(F.count_if(F.col("move") > 0).alias("changed"), (100.0 * F.count_if(F.col("move") > 0) / F.count("*")).alias("pct"), F.count_if(F.col("move") >= 2).alias("big_moves"))
+    return whole.join(both.filter("move >= 2").select(key, "move"), F.lit(True), "left")
 
 
 def distribution_audit(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -111,7 +111,7 @@ def val_pm25_present(v):
     return O.pm25_problem(v.factors.withColumn("pm25", F.when(~F.col("block_id").endswith("_3"), F.col("pm25"))))
 
 
-@query("SELECT true AS sums_to_one, true AS in_range, count(*) = 0 AS directions_known FROM region WHERE r_regionkey = 4")
+@query("SELECT abs(sum(0.2) - 1) < 1e-6 AS sums_to_one, bool_and(0.2 >= 0 AND 0.2 <= 1) AS in_range, bool_and(CASE WHEN r_regionkey = 4 THEN 'sideways' ELSE 'positive' END IN ('positive', 'negative')) AS directions_known FROM region")
 def val_config(v):
     made = v.region.select(F.col("r_name").alias("factor"), F.lit(0.2).alias("weight"), F.when(F.col("r_regionkey") == 4, "sideways").otherwise("positive").alias("direction"))
     return O.config_problem(made)

@@ -70,6 +70,24 @@ def jn_point_in_polygon(v):
     return O.points_in(v.units.drop("area_id"), v.areas).select(F.col("b_area_id").alias("area_id"), "unit_id")
 
 
+#: Corners of an area with a notch from its upper edge to its middle, as SQL.
+NOTCHED = [("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("(minx + maxx) / 2.0E0", "(miny + maxy) / 2.0E0"), ("minx", "maxy")]
+
+
+def crossing(a: tuple, b: tuple) -> str:
+    (ax, ay), (bx, by) = a, b
+    return f"CASE WHEN (({ay}) > y) <> (({by}) > y) AND x < (({bx}) - ({ax})) * ((y - ({ay})) / CAST(nullif(({by}) - ({ay}), 0) AS DOUBLE)) + ({ax}) THEN 1 ELSE 0 END"
+
+
+@query("SELECT a.area_id, u.unit_id FROM areas a JOIN units u ON u.x BETWEEN a.minx AND a.maxx AND u.y BETWEEN a.miny AND a.maxy WHERE (" + " + ".join(crossing(a, b) for a, b in zip(NOTCHED, NOTCHED[1:] + NOTCHED[:1])) + ") % 2 = 1")
+def jn_point_in_ring(v):
+    """As jn_point_in_polygon, for rings that are no boxes."""
+    ring = F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in NOTCHED))
+    none = F.expr("cast(array() as array<array<struct<x:double,y:double>>>)")
+    rings = v.areas.select("area_id", F.array(ring).alias("rings"), none.alias("holes"))
+    return O.points_in_rings(v.units.drop("area_id"), rings).select(F.col("b_area_id").alias("area_id"), "unit_id")
+
+
 @query("""SELECT unit_id, area_id FROM (SELECT u.unit_id, a.area_id, row_number() OVER (PARTITION BY u.unit_id ORDER BY CASE WHEN u.x > a.minx AND u.x < a.maxx AND u.y > a.miny AND u.y < a.maxy THEN 0 ELSE 1 END, a.area_id) AS k
 FROM areas a JOIN units u ON u.x BETWEEN a.minx AND a.maxx AND u.y BETWEEN a.miny AND a.maxy) t WHERE k = 1""")
 def jn_lateral_first(v):

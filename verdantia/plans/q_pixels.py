@@ -47,10 +47,9 @@ def px_tile_vote_merge(v):
     return O.vote_merge(v.obs.select("r", "c", F.col("seg").alias("class"), F.col("people").alias("weight"), F.col("dn").alias("probability")))
 
 
-@query('SELECT t.top, l."left" FROM (SELECT unnest(range(-96, 1024 + 96 - 256 + 128, 128)) AS top) t, (SELECT unnest(range(-96, 768 + 96 - 256 + 128, 128)) AS "left") l, (SELECT count(*) AS n FROM region) r WHERE r.n > 0')
+@query(', size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM px) SELECT t.top, l."left" FROM (SELECT unnest(range(-24, h + 24 - 64 + 32, 32)) AS top FROM size) t, (SELECT unnest(range(-24, w + 24 - 64 + 32, 32)) AS "left" FROM size) l')
 def px_tile_plan(v):
-    plan = O.tile_plan(v.spark, 1024, 768, 256, 128, 96)
-    return plan.join(v.region.agg(F.count("*").alias("n")).filter("n > 0"), how="cross").select("top", "left")
+    return O.tile_plan(v.px, 64, 32, 24)
 
 
 @query("""SELECT top, "left", count(*) AS n FROM (SELECT top, unnest(range(greatest(CAST(ceil((c - 255) / 64) AS BIGINT), 0), CAST(floor(c / 64) AS BIGINT) + 1)) * 64 AS "left" FROM (SELECT c, unnest(range(greatest(CAST(ceil((r - 255) / 64) AS BIGINT), 0), CAST(floor(r / 64) AS BIGINT) + 1)) * 64 AS top FROM px) a) b GROUP BY top, "left" """)

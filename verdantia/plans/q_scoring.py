@@ -59,11 +59,13 @@ def sc_modal_share(v):
 
 @query(f", {LONG}, {SHARE}, {entropy_sql()}, {weights_sql('raww', 'final')} SELECT factor, round(w, 6) AS w FROM final")
 def sc_entropy_weights(v):
+    v.hold("factors")
     return S.entropy_weights(v.factors).select("factor", F.round("w", 6).alias("w"))
 
 
 @query(f", {LONG}, {SHARE}, {FIXED} SELECT factor, round(w, 6) AS w FROM fixed")
 def sc_fixed_weight(v):
+    v.hold("factors")
     return S.fixed_weight(v.factors).select("factor", F.round("w", 6).alias("w"))
 
 
@@ -74,6 +76,7 @@ def sc_config_weights(v):
 
 
 def scored_chain(v):
+    v.hold("px", "factors")
     return S.score_blocks(v.factors, S.fixed_weight(v.factors))
 
 
@@ -105,6 +108,7 @@ SELECT l.factor, round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(avg(x), 6
   round(max(share), 6) AS modal_share, max(share) > 0.95 AS degenerate, round(max(f.w), 6) AS weight
 FROM longf l JOIN shares s ON l.factor = s.factor JOIN final f ON l.factor = f.factor GROUP BY l.factor""")
 def sc_diagnostics(v):
+    v.hold("factors")
     d = S.diagnostics(v.factors)
     return d.select("factor", *(F.round(c, 6).alias(c) for c in ("lo", "hi", "mean", "median", "sd")), "n_unique", F.round("modal_share", 6).alias("modal_share"), "degenerate", F.round("weight", 6).alias("weight"))
 

@@ -13,15 +13,17 @@ RANKS = "(CASE {r} WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Moderate' THE
 @query("""SELECT round(corr(old_score, score), 6) AS pearson, round(corr(ro, rn), 6) AS spearman, round(max(abs(score - old_score)), 6) AS max_abs, round(median(abs(score - old_score)), 6) AS median_abs, round(avg(abs(score - old_score)), 6) AS mean_abs FROM
 (SELECT *, rank() OVER (ORDER BY old_score) + (count(*) OVER (PARTITION BY old_score) - 1) / 2 AS ro, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rn FROM scored WHERE score IS NOT NULL) t""")
 def st_score_stability(v):
+    v.hold("scored")
     got = O.stability(v.scored, "old_score", "score")
     return got.select(*(F.round(c, 6).alias(c) for c in got.columns))
 
 
-@query(f"""SELECT count(CASE WHEN m > 0 THEN 1 END) AS changed, round(100.0::DOUBLE * count(CASE WHEN m > 0 THEN 1 END) / count(*), 6) AS pct, count(CASE WHEN m >= 2 THEN 1 END) AS big_moves, string_agg(CASE WHEN m >= 2 THEN block_id END, ',' ORDER BY block_id) AS ids FROM
-(SELECT block_id, abs({RANKS.format(r='risk')} - {RANKS.format(r='old_risk')}) AS m FROM (SELECT block_id, {RISK} AS risk, {RISK.replace('score', 'old_score')} AS old_risk FROM scored) a) b WHERE m IS NOT NULL""")
+@query(f""", moves AS (SELECT * FROM (SELECT block_id, abs({RANKS.format(r='risk')} - {RANKS.format(r='old_risk')}) AS move FROM (SELECT block_id, {RISK} AS risk, {RISK.replace('score', 'old_score')} AS old_risk FROM scored) a) b WHERE move IS NOT NULL),
+whole AS (SELECT count(CASE WHEN move > 0 THEN 1 END) AS changed, round(100.0::DOUBLE * count(CASE WHEN move > 0 THEN 1 END) / count(*), 6) AS pct, count(CASE WHEN move >= 2 THEN 1 END) AS big_moves FROM moves)
+SELECT changed, pct, big_moves, block_id, move FROM whole LEFT JOIN moves ON move >= 2""")
 def st_tier_change(v):
     both = v.scored.select("block_id", scoring.risk_level(F.col("score")).alias("new"), scoring.risk_level(F.col("old_score")).alias("old"))
-    return O.tier_change(both, "old", "new", "block_id").select("changed", F.round("pct", 6).alias("pct"), "big_moves", F.array_join("ids", ",").alias("ids"))
+    return O.tier_change(both, "old", "new", "block_id").withColumn("pct", F.round("pct", 6))
 
 
 @query("SELECT round(corr(c.canopy_m2, s.score), 6) AS with_score, round(corr(c.canopy_m2, s.old_score), 6) AS with_old FROM carbon c JOIN scored s ON c.block_id = s.block_id WHERE s.score IS NOT NULL")
@@ -74,18 +76,25 @@ def _checks(v):
     ])
 
 
-@query("SELECT * FROM (VALUES ('ids_unique', true), ('scores_in_range', true), ('canopy_fits', true), ('all_years', false)) t(name, ok) UNION ALL SELECT 'some_excluded', count(*) > count(score) FROM scored")
+CHECKS = """checked AS (SELECT 'ids_unique' AS name, count(*) = count(DISTINCT block_id) AS ok FROM scored
+UNION ALL SELECT 'scores_in_range', count(CASE WHEN score < 0 OR score > 100 THEN 1 END) = 0 FROM scored
+UNION ALL SELECT 'some_excluded', count(*) > count(score) FROM scored
+UNION ALL SELECT 'canopy_fits', count(CASE WHEN canopy_m2 > 62501 THEN 1 END) = 0 FROM carbon
+UNION ALL SELECT 'all_years', count(DISTINCT year(ts)) > 100 FROM obs)"""
+
+
+@query(f", {CHECKS} SELECT * FROM checked")
 def st_consistency_gate(v):
     return _checks(v)
 
 
-@query("SELECT false AS promote, CAST(5 AS BIGINT) AS checks, (SELECT count(*) FROM units WHERE area_id NOT IN (SELECT area_id FROM areas)) AS orphans")
+@query(f", {CHECKS} SELECT (SELECT bool_and(ok) FROM checked) AS promote, (SELECT count(*) FROM checked) AS checks, (SELECT count(*) FROM units WHERE area_id NOT IN (SELECT area_id FROM areas)) AS orphans")
 def st_publish_invariants(v):
     orphans = v.units.join(v.areas.select(F.col("area_id").cast("int")), "area_id", "left_anti").agg(F.count("*").alias("orphans"))
     return O.gate(_checks(v)).crossJoin(orphans)
 
 
-@query("SELECT true AS conflict FROM (SELECT count(*) AS n FROM scored WHERE run_id <> 'run_1') t WHERE n > 0")
+@query("SELECT count(CASE WHEN run_id <> 'run_1' THEN 1 END) > 0 AS conflict FROM scored")
 def st_cross_run_conflict(v):
     return O.cross_run_conflict(v.scored, "run_1")
 

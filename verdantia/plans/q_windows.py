@@ -139,6 +139,11 @@ def set_impervious_masked(v):
     return v.px.groupBy(O.impervious_masked("seg", "bldg", "road").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query()
+COVER = "{t}c AS (SELECT DISTINCT {k}cx, unnest(range(CAST(floor((miny - 2000000) / 50.0) AS BIGINT), CAST(floor((maxy - 2000000) / 50.0) AS BIGINT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor((minx - 300000) / 50.0) AS BIGINT), CAST(floor((maxx - 300000) / 50.0) AS BIGINT) + 1)) AS cx FROM {t}) t)"
+
+
+@query(f""", {COVER.format(t='wards', k='ward_id, ')}, {COVER.format(t='areas', k='')}, per AS (SELECT cx, cy, count(*) AS n FROM wardsc GROUP BY cx, cy)
+SELECT count(CASE WHEN n IS NULL THEN 1 END) AS gap, count(CASE WHEN b IS NULL THEN 1 END) AS extension, count(CASE WHEN n > 1 THEN 1 END) AS overlap
+FROM per FULL JOIN (SELECT *, 1 AS b FROM areasc) a ON per.cx = a.cx AND per.cy = a.cy""")
 def set_mask_gap_overlap(v):
     return O.mask_gap_overlap(P.cover(v.wards, 50), P.cover(v.areas, 50))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import io
+
 VIEWS: dict[str, str] = {
     # one row per observation of a pixel
     "obs": """
@@ -66,7 +68,7 @@ FROM orders""",
     "scen": """
 SELECT 'a_100' AS scenario, 100 AS k UNION ALL SELECT 'b_250' AS scenario, 250 AS k UNION ALL SELECT 'c_500' AS scenario, 500 AS k UNION ALL SELECT 'd_none' AS scenario, 0 AS k""",
     "bridge": """
-SELECT s.scenario, q.unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY priority DESC, unit_id) AS rank FROM ranked) q JOIN scen s ON q.rank <= s.k""",
+SELECT s.scenario, q.unit_id FROM (SELECT unit_id, row_number() OVER (ORDER BY priority DESC, unit_id) AS rank FROM (SELECT unit_id, priority FROM ranked ORDER BY priority DESC, unit_id LIMIT 500) t) q JOIN scen s ON q.rank <= s.k""",
     "activity": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'e' || CAST(event_id % 5 AS STRING) END AS entity, value, props, CASE WHEN user_id % 3 = 0 THEN 'admin' WHEN user_id % 3 = 1 THEN 'researcher' ELSE 'visitor' END AS role
 FROM events""",
@@ -99,6 +101,14 @@ class Views:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]
 
+    def hold(self, *names: str) -> None:
+        """Write views that a query reads more than once to the shared folder, in this order; they are read back from there."""
+        for name in names:
+            path = io.scratch(self.spark, name)
+            made = getattr(self, name)
+            made.write.parquet(path)
+            self._made[name] = self.spark.read.schema(made.schema).parquet(path)
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables and views that text names."""
         words = set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", text, re.I))
