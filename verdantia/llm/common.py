@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -55,21 +52,6 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidy(run):
-    """run for mapInArrow, giving freed memory back to the system after each task: workers live on and wait for the next."""
-
-    def tidied(batches):
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return tidied
-
-
 def short_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands at most BATCH_ROWS rows to Python at once: rows hold whole texts."""
     conf = df.sparkSession.conf

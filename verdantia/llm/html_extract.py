@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches, tidy
+from .common import cut, short_batches
 
 #: Hosts whose winners are broadcast at most (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -276,7 +276,7 @@ def extract_at(batches):
 
 def winners(pages: DataFrame) -> DataFrame:
     """(host, path, kept): the path with the most votes, and the doubtful paths that hold prose."""
-    votes = cut(pages.select("host", "source").mapInArrow(tidy(vote), VOTE))
+    votes = cut(pages.select("host", "source").mapInArrow(vote, VOTE))
     counted = votes.filter("not doubtful").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.floor("score")).alias("score"))
     first = F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path"))
     won = counted.withColumn("first", first).filter("first = 1").select("host", "path")
@@ -295,7 +295,7 @@ def extract(pages: DataFrame, source: str = "html", url: str = "url") -> DataFra
     if won.count() <= BROADCAST_ROWS:
         won = F.broadcast(won)
     met = rows.join(won, "host", "left").select("rest", "source", "path", "kept")
-    return met.mapInArrow(tidy(extract_at), f"rest {rows.dtypes[0][1]}, text string, n_chars long").select("rest.*", "text", "n_chars")
+    return met.mapInArrow(extract_at, f"rest {rows.dtypes[0][1]}, text string, n_chars long").select("rest.*", "text", "n_chars")
 
 
 def op8_html_extract(spark, sf_dir: str) -> DataFrame:

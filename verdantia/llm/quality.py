@@ -126,7 +126,7 @@ def score_texts(docs: DataFrame, model, text: str = "text", key: str = "doc_id")
                     out[lo:hi] = sigmoid(log_odds(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], *told.value))
             yield pa.record_batch([batch.column(0), pa.array(out)], [key, "score"])
 
-    return C.short_batches(docs).select(F.col(key), F.col(text)).mapInArrow(C.tidy(run), f"`{key}` {kind}, score double")
+    return C.short_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -194,7 +194,7 @@ def score_texts(docs: DataFrame, model, text: str = "text", key: str = "doc_id")
                     out[lo:hi] = sigmoid(z - cuts[languages(h, row, hi - lo, table)])
             yield pa.record_batch([batch.column(0), pa.array(out)], [key, "score"])
 
-    return C.short_batches(docs).select(F.col(key), F.col(text)).mapInArrow(C.tidy(run), f"`{key}` {kind}, score double")
+    return C.short_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
