@@ -56,6 +56,21 @@ def test_risk(spark, score, risk):
     assert value(spark, scoring.risk_level(F.lit(score).cast("double"))) == risk
 
 
+def test_nine_checks(spark):
+    from verdantia.operators import stats
+
+    weights = spark.createDataFrame([(c, 1 / 6) for c in scoring.FACTORS], "factor string, w double")
+    config = spark.createDataFrame([(c, up, "satellite") for c, up in scoring.POSITIVE.items()], "factor string, positive boolean, source string")
+    scored = spark.createDataFrame([(1.0,), (None,)], "score double")
+    failed = lambda *a: {r.name for r in stats.consistency(*a).filter("not ok").collect()}
+    assert stats.consistency(weights, config, scored, 2).count() == 9 and failed(weights, config, scored, 2) == set()
+    other = weights.filter("factor != 'pm25'").unionByName(spark.createDataFrame([("water_availability", 0.5)], "factor string, w double"))
+    assert failed(other, config, scored, 2) == {"weights_sum_to_one", "no_water_factor", "pm25_active", "directions_correct", "all_have_provenance"}
+    made_up = config.withColumns({"source": F.lit("Synthetic"), "positive": ~F.col("positive")})
+    assert failed(weights.limit(5), made_up, scored.unionByName(spark.createDataFrame([(float("nan"),)], "score double")), 2) == {"weights_sum_to_one", "directions_correct", "no_synthetic_source", "factor_count", "scores_finite", "block_count"}
+    assert not stats.gate(stats.consistency(weights, made_up, scored, 2)).first().promote
+
+
 def test_rounding_is_half_even(spark):
     assert value(spark, scoring.round2(F.lit(0.125))) == 0.12 and value(spark, scoring.round2(F.lit(2.675))) == pytest.approx(2.68)
 

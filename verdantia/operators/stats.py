@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scoring import FACTORS, POSITIVE
 from .windows import average_rank
 
 TIERS = {"Critical": 0, "High": 1, "Moderate": 2, "Low": 3}
@@ -62,6 +63,26 @@ def checks(rows: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     return out
 
 
+def consistency(weights: DataFrame, config: DataFrame, scored: DataFrame, expected: int) -> DataFrame:
+    """(name, ok) of the nine checks of a scored run, from one aggregate over factors and one over blocks.
+
+    weights (factor, w); config (factor, positive, source), a row for each factor; scored (score), NULL for excluded
+    blocks; expected: the number of blocks.
+    """
+    f = weights.join(config, "factor", "left")
+    up = F.try_element_at(F.create_map(*(F.lit(x) for kv in POSITIVE.items() for x in kv)), F.col("factor"))
+    whole = lambda c: F.coalesce(F.every(F.coalesce(c, F.lit(False))), F.lit(False))
+    told = f.agg(
+        F.coalesce(F.abs(F.sum("w") - 1) <= 1e-9, F.lit(False)).alias("weights_sum_to_one"), (F.count_if(F.col("factor") == "water_availability") == 0).alias("no_water_factor"),
+        (F.count_if(F.col("factor") == "pm25") > 0).alias("pm25_active"), whole(F.col("positive") == up).alias("directions_correct"),
+        (F.count_if(F.lower("source").contains("synthetic")) == 0).alias("no_synthetic_source"), whole(F.col("source").isNotNull()).alias("all_have_provenance"),
+        (F.count("*") == len(FACTORS)).alias("factor_count"),
+    )
+    x = F.col("score")
+    blocks = scored.agg((F.count_if(F.isnan(x) | (F.abs(x) == float("inf"))) == 0).alias("scores_finite"), (F.count("*") == expected).alias("block_count"))
+    return told.crossJoin(blocks).unpivot([], [*told.columns, *blocks.columns], "name", "ok")  # one row each
+
+
 def gate(found: DataFrame) -> DataFrame:
     return found.agg(F.every("ok").alias("promote"), F.count("*").alias("checks"))
 

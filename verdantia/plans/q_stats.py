@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring
 from ..operators import stats as O
 from .catalog import query
-from .q_scoring import RISK
+from .q_scoring import FIXED, LONG, RISK, SHARE
 
 RANKS = "(CASE {r} WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3 END)"
 
@@ -83,9 +83,24 @@ UNION ALL SELECT 'canopy_fits', count(CASE WHEN canopy_m2 > 62501 THEN 1 END) =
 UNION ALL SELECT 'all_years', count(DISTINCT year(ts)) > 100 FROM obs)"""
 
 
-@query(f", {CHECKS} SELECT * FROM checked")
+@query(f""", {LONG}, {SHARE}, {FIXED}, config AS (SELECT CASE n_nationkey WHEN 0 THEN 'ndvi' WHEN 1 THEN 'tree_density' WHEN 2 THEN 'pm25' WHEN 3 THEN 'temperature' WHEN 4 THEN 'impervious_surfaces' ELSE 'population_exposure' END AS factor,
+  n_nationkey < 2 AS positive, CASE WHEN n_nationkey <> 5 THEN n_name END AS source FROM nation WHERE n_nationkey < 6),
+active AS (SELECT f.factor, f.w, c.positive, c.source, f.factor IN ('ndvi', 'tree_density') AS up FROM fixed f LEFT JOIN config c ON f.factor = c.factor)
+SELECT 'weights_sum_to_one' AS name, abs(sum(w) - 1) <= 1e-9 AS ok FROM active
+UNION ALL SELECT 'no_water_factor', count(CASE WHEN factor = 'water_availability' THEN 1 END) = 0 FROM active
+UNION ALL SELECT 'pm25_active', count(CASE WHEN factor = 'pm25' THEN 1 END) > 0 FROM active
+UNION ALL SELECT 'directions_correct', bool_and(coalesce(positive = up, false)) FROM active
+UNION ALL SELECT 'no_synthetic_source', count(CASE WHEN lower(source) LIKE '%synthetic%' THEN 1 END) = 0 FROM active
+UNION ALL SELECT 'all_have_provenance', bool_and(source IS NOT NULL) FROM active
+UNION ALL SELECT 'factor_count', count(*) = 6 FROM active
+UNION ALL SELECT 'scores_finite', count(CASE WHEN isnan(score) OR isinf(score) THEN 1 END) = 0 FROM scored
+UNION ALL SELECT 'block_count', count(*) = (SELECT count(*) FROM blocks) FROM scored""")
 def st_consistency_gate(v):
-    return _checks(v)
+    """The last factor has no source here, so that one check fails."""
+    v.hold("factors")
+    name = F.element_at(F.array(*map(F.lit, scoring.FACTORS)), (F.col("n_nationkey") + 1).cast("int"))
+    config = v.nation.filter("n_nationkey < 6").select(name.alias("factor"), (F.col("n_nationkey") < 2).alias("positive"), F.when(F.col("n_nationkey") != 5, F.col("n_name")).alias("source"))
+    return O.consistency(scoring.fixed_weight(v.factors), config, v.scored, v.blocks.count())
 
 
 @query(f", {CHECKS} SELECT (SELECT bool_and(ok) FROM checked) AS promote, (SELECT count(*) FROM checked) AS checks, (SELECT count(*) FROM units WHERE area_id NOT IN (SELECT area_id FROM areas)) AS orphans")
