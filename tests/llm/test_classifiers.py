@@ -113,3 +113,52 @@ def test_backpropagation_matches_differences():
             down = loss()
             part[s] = keep
             assert got.seen[name][s] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=2e-4)
+
+
+def plain_shares(net, text: bytes):
+    """One byte at a time, in plain floats: both layers over their stretch with its warm-up, probabilities summed."""
+
+    def run(layer, body):
+        h, out = [0.0] * L.HIDDEN, []
+        for b in body:
+            a = layer.look[b].astype(float) + layer.bias
+            g = [1 / (1 + np.exp(-(a[j] + sum(h[i] * layer.back[i, j] for i in range(L.HIDDEN))))) for j in range(2 * L.HIDDEN)]
+            z, r = g[: L.HIDDEN], g[L.HIDDEN :]
+            n = [np.tanh(a[2 * L.HIDDEN + j] + sum(r[i] * h[i] * layer.back[i, 2 * L.HIDDEN + j] for i in range(L.HIDDEN))) for j in range(L.HIDDEN)]
+            h = [h[i] + z[i] * (n[i] - h[i]) for i in range(L.HIDDEN)]
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.bias))
+    for lo in range(0, len(text), L.CORE):
+        hi = min(len(text), lo + L.CORE)
+        before, after = max(0, lo - L.WARM), hi if hi == len(text) else min(len(text), hi + L.WARM)
+        ahead = run(net.ahead, text[before:hi])[lo - before :]
+        behind = run(net.behind, text[lo:after][::-1])[::-1][: hi - lo]
+        for b, f, g in zip(text[lo:hi], ahead, behind):
+            if chr(b) not in " \t\n\v\f\r":
+                p = np.exp(np.concatenate([f, g]) @ net.out + net.bias)
+                total += p / p.sum()
+    return total
+
+
+def test_stretches_match_a_plain_network():
+    """Texts below, at and above the limits of stretches, read together, against one byte at a time."""
+    net = L.Network(3)
+    net.out *= 20
+    r = np.random.default_rng(5)
+    texts = [bytes(r.choice([97, 98, 99, 32, 195, 169], n).astype(np.uint8)) for n in (1, 0, 40, L.CORE - 1, L.CORE, L.CORE + 1, L.CORE + L.WARM + 5, 2 * L.CORE + 3)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = L.shares(net, np.frombuffer(b"".join(texts), np.uint8), off)
+    for row, text in zip(got, texts):
+        assert row == pytest.approx(plain_shares(net, text), rel=1e-4, abs=1e-4)
+
+
+def test_language_of_very_long_texts_and_other_columns(spark):
+    docs, _ = small(spark)
+    model = L.learn_languages(docs)
+    long = spark.createDataFrame([(1, "né" * 400_000, "a", 5), (1, "né" * 400_000, "b", 6), (2, "1 " * 300_000, "c", 7)], "doc_id long, text string, rest string, LANG_PRED int")
+    got = L.predict(long, model).orderBy("doc_id", "rest").collect()
+    assert [r.rest for r in got] == ["a", "b", "c"] and "LANG_PRED" not in got[0].asDict()
+    assert got[0].lang_pred == got[1].lang_pred != "und" and got[0].score == got[1].score and got[2].lang_pred == "und"
+    assert L.predict(long.limit(0), model).count() == 0

@@ -1,13 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 6).
 
-Two gated recurrent layers read the bytes of a word, one from each end; every byte gets class probabilities, and a
-document's are the average over all its bytes outside white space. The network is trained in numpy by backpropagation
-through time on words of a bounded sample of documents with a known language. State starts anew at white space and after
-`UNIT` bytes, so a word's labels depend on the word alone; each task keeps the sums of the words it has seen.
+Two gated recurrent layers read a text's bytes, one from each end, across word limits; every byte gets class
+probabilities, and a document's are the average over all its bytes outside white space. The network is trained in numpy by
+backpropagation through time on windows of a bounded sample of documents with a known language. A text is labelled in
+stretches of `CORE` bytes; each layer's state is warmed up over the `WARM` bytes before the stretch in its direction, so a
+text of any length takes steps of bounded size, and one of at most `CORE` bytes is read by a single run of both layers.
 
 Text that is null or has no letter is `und` with score 0, as is every text when nothing could be learned; duplicated ids
 are predicted row by row; equal shares go to the first language by name; an empty table gives an empty result; a very long
-text is read in pieces and every byte counts; other columns are ignored.
+text is read in stretches and every byte counts; other columns are kept, except those with the names of the result.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .learn import Adagrad, held_out, taught
 
-HIDDEN, UNIT, EPOCHS, BATCH, RATE, SEED = 16, 24, 3, 256, 0.05, 3
-#: Documents, and words of each language, that the network is fitted on, at most.
-DOCUMENTS, WORDS = 1500, 8000
-#: Words whose sums a task keeps; when more have been seen, it starts over.
-KEEP = 200_000
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 2, 128, 0.05, 3
+#: Bytes of a stretch and of the warm-up before it, and stretches labelled together.
+CORE, WARM, TOGETHER = 224, 32, 1024
+#: Documents, and windows of each language and their bytes, that the network is fitted on, at most.
+DOCUMENTS, WINDOWS, WIDE = 1500, 2000, 64
 
 
 def sigmoid(x):
@@ -57,11 +58,35 @@ class Direction:
             states.append(state)
         return np.stack(states, axis=1), seen
 
+    def steps(self, x: np.ndarray, mask: np.ndarray):
+        """The state after each step of x (steps, rows), as in forward(); sigmoid(a) = (1 + tanh(a / 2)) / 2."""
+        h = HIDDEN
+        look = self.look + self.bias
+        gates, mine = np.ascontiguousarray(look[:, : 2 * h] / 2), np.ascontiguousarray(look[:, 2 * h :])
+        to_gates, to_mine = np.ascontiguousarray(self.back[:, : 2 * h] / 2), np.ascontiguousarray(self.back[:, 2 * h :])
+        state = np.zeros((x.shape[1], h), np.float32)
+        for t in range(len(x)):
+            zr = gates[x[t]]
+            zr += state @ to_gates
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            n = mine[x[t]]
+            n += (zr[:, h:] * state) @ to_mine
+            np.tanh(n, out=n)
+            n -= state
+            n *= zr[:, :h]
+            if not mask[t].all():
+                n *= mask[t, :, None]
+            state += n
+            yield state
+
     def backward(self, x, mask, seen, grad, opt: Adagrad, name: str) -> None:
         """Backpropagation through time of the gradients of all states."""
         h = HIDDEN
-        g_look, g_back, g_bias = np.zeros_like(self.look), np.zeros_like(self.back), np.zeros_like(self.bias)
+        g_look, g_back = np.zeros_like(self.look), np.zeros_like(self.back)
         flow = np.zeros((len(x), h), np.float32)
+        made = []
         for t in range(x.shape[1] - 1, -1, -1):
             state, z, r, n = seen[t]
             m = mask[:, t, None]
@@ -70,12 +95,17 @@ class Direction:
             dn = g * m * z * (1 - n * n)
             drs = dn @ self.back[:, 2 * h :].T
             dr = drs * state * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], axis=1)
-            flow = g * (1 - m * z) + drs * r + gates[:, : 2 * h] @ self.back[:, : 2 * h].T
-            g_back[:, : 2 * h] += state.T @ gates[:, : 2 * h]
-            g_back[:, 2 * h :] += (r * state).T @ dn
-            g_bias += gates.sum(axis=0)
-            np.add.at(g_look, x[:, t], gates)
+            made.append(np.concatenate([dz, dr, dn], axis=1))
+            flow = g * (1 - m * z) + drs * r + made[-1][:, : 2 * h] @ self.back[:, : 2 * h].T
+        gates = np.concatenate(made[::-1])
+        state, reset = np.concatenate([k[0] for k in seen]), np.concatenate([k[2] for k in seen])
+        g_back[:, : 2 * h] = state.T @ gates[:, : 2 * h]
+        g_back[:, 2 * h :] = (reset * state).T @ gates[:, 2 * h :]
+        g_bias = gates.sum(axis=0)
+        there, which = np.unique(x.T.ravel(), return_inverse=True)
+        one = np.zeros((len(which), len(there)), np.float32)  # a gate's part of its byte, summed by a product
+        one[np.arange(len(which)), which] = 1
+        g_look[there] = one.T @ gates
         for part, g in (("look", g_look), ("back", g_back), ("bias", g_bias)):
             opt.step(name + part, getattr(self, part), g)
 
@@ -92,13 +122,25 @@ class Network:
         b, sb = self.behind.forward(x[:, ::-1], mask[:, ::-1], keep)
         return np.concatenate([a, b[:, ::-1]], axis=2), sa, sb
 
-    def label(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Class probabilities of every byte, summed by word."""
-        mask = (np.arange(x.shape[1]) < size[:, None]).astype(np.float32)
-        z = self.states(x, mask)[0] @ self.out + self.bias
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        return (p * mask[:, :, None]).sum(axis=1)
+    def label(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Class probabilities, summed over the bytes outside white space, of each stretch start : start + size of texts lo : hi."""
+        wide, h = int(size.max()), HIDDEN
+        at = start + np.arange(-WARM, wide + WARM)[:, None]
+        inside = (at >= lo) & (at < hi)
+        x = buf[np.clip(at, 0, len(buf) - 1)]
+        z = np.empty((wide, len(self.bias), len(start)), np.float32)
+        for t, state in enumerate(self.ahead.steps(x[: WARM + wide], inside[: WARM + wide])):
+            if t >= WARM:
+                np.matmul(self.out[:h].T, state.T, out=z[t - WARM])
+        for t, state in enumerate(self.behind.steps(x[:WARM - 1 : -1], inside[:WARM - 1 : -1])):
+            if t >= WARM:
+                z[wide - 1 - (t - WARM)] += self.out[h:].T @ state.T
+        z += self.bias[:, None]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        use = (np.arange(wide)[:, None] < size) & ~C.SPACE[x[WARM : WARM + wide]]
+        z *= (use / z.sum(axis=1)).astype(np.float32)[:, None]
+        return z.sum(axis=0, dtype=np.float64).T
 
     def learn(self, x, size, y, opt: Adagrad) -> None:
         mask = (np.arange(x.shape[1]) < size[:, None]).astype(np.float32)
@@ -115,21 +157,23 @@ class Network:
         self.behind.backward(x[:, ::-1], mask[:, ::-1], sb, g[:, ::-1, HIDDEN:], opt, "behind")
 
 
-def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of the words, those longer than UNIT bytes cut into pieces."""
-    s, e, row = C.words(buf, off)
-    n = np.maximum(1, -(-(e - s) // UNIT))
-    if (n > 1).any():
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, e, row = np.repeat(s, n) + k * UNIT, np.repeat(e, n), np.repeat(row, n)
-        e = np.minimum(e, s + UNIT)
-    return s, e, row
+def stretches(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, row) of the stretches of rows off[i]:off[i+1]; an empty row has none."""
+    n = -(-np.diff(off) // CORE)
+    row = np.repeat(np.arange(len(n)), n)
+    start = off[row] + CORE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return start, np.minimum(CORE, off[row + 1] - start), row
 
 
-def matrix(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    wide = int((e - s).max())
-    at = s[:, None] + np.arange(wide)
-    return np.where(at < e[:, None], buf[np.minimum(at, len(buf) - 1)], 0)
+def shares(net: Network, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Summed class probabilities of every row; stretches of like length run together."""
+    start, size, row = stretches(off)
+    out = np.zeros((len(off) - 1, len(net.bias)))
+    order = np.argsort(size, kind="stable")
+    for i in range(0, len(order), TOGETHER):
+        o = order[i : i + TOGETHER]
+        np.add.at(out, row[o], net.label(buf, start[o], size[o], off[row[o]], off[row[o] + 1]))
+    return out
 
 
 def fit(rows: list[tuple[bytes, str]]):
@@ -140,14 +184,13 @@ def fit(rows: list[tuple[bytes, str]]):
     for k, name in enumerate(names):
         body = b" ".join(b for b, y in rows if y == name)
         buf = np.frombuffer(body, np.uint8)
-        s, e, _ = units(buf, np.array([0, len(buf)]))
-        if not len(s):
+        if not len(buf):
             continue
-        pick = r.integers(0, len(s), WORDS)
-        x = matrix(buf, s[pick], e[pick])
-        xs.append(np.pad(x, ((0, 0), (0, UNIT - x.shape[1]))))
-        sizes.append(e[pick] - s[pick])
-        ys.append(np.full(WORDS, k))
+        first = r.integers(0, max(1, len(buf) - WIDE + 1), WINDOWS)
+        at = first[:, None] + np.arange(WIDE)
+        xs.append(np.where(at < len(buf), buf[np.minimum(at, len(buf) - 1)], 0))
+        sizes.append(np.minimum(WIDE, len(buf) - first))
+        ys.append(np.full(WINDOWS, k))
     if not xs:
         return None
     x, size, y = np.concatenate(xs), np.concatenate(sizes), np.concatenate(ys)
@@ -156,39 +199,10 @@ def fit(rows: list[tuple[bytes, str]]):
         order = r.permutation(len(x))
         for i in range(0, len(x), BATCH):
             p = order[i : i + BATCH]
-            net.learn(x[p, : size[p].max()], size[p], y[p], opt)
+            net.learn(x[p], size[p], y[p], opt)
     return net, names
 
 
-class Sums:
-    """Label sums of the words seen so far, by hash."""
-
-    def __init__(self, net: Network):
-        self.net, self.key, self.value = net, np.zeros(0, C.U64), np.zeros((0, len(net.bias)), np.float32)
-
-    def of(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        uniq, one, at = np.unique(h, return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.key, uniq)
-        known = spot < len(self.key)
-        known[known] = self.key[spot[known]] == uniq[known]
-        out = np.zeros((len(uniq), self.value.shape[1]), np.float32)
-        out[known] = self.value[spot[known]]
-        new = np.flatnonzero(~known)
-        new = new[np.argsort((e - s)[one[new]], kind="stable")]  # words of like length together
-        for i in range(0, len(new), 4096):
-            n = new[i : i + 4096]
-            a, b = s[one[n]], e[one[n]]
-            out[n] = self.net.label(matrix(buf, a, b), b - a)
-        if len(new):
-            if len(self.key) > KEEP:
-                self.key, self.value = self.key[:0], self.value[:0]
-                new = np.arange(len(uniq))
-            key = np.concatenate([self.key, uniq[new]])
-            order = np.argsort(key, kind="stable")
-            self.key, self.value = key[order], np.concatenate([self.value, out[new]])[order]
-        return out[at]
-
-
 def predict(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with lang_pred and score."""
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -196,20 +210,15 @@ def predict(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     rows = C.short_batches(docs).select(F.struct(*rest).alias("rest"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col(text).alias("body"))
 
     def run(batches):
-        sums = Sums(told.value[0]) if told.value else None
         for batch in batches:
             letter = batch.column(1).to_numpy(zero_copy_only=False)
             buf, off = C.flat(batch.column(2))
             lang, score = np.full(len(batch), "und", object), np.zeros(len(batch))
-            if sums:
+            if told.value:
                 names = np.array(told.value[1], object)
                 for lo, hi in C.pieces(off):
                     b, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                    s, e, row = units(b, o)
-                    if not len(s):
-                        continue
-                    p = sums.of(C.span_hash(C.prefix_hash(b), s, e), b, s, e)
-                    total = np.stack([np.bincount(row, p[:, k], minlength=hi - lo) for k in range(p.shape[1])], axis=1)
+                    total = shares(told.value[0], b, o)
                     use = letter[lo:hi] & (total.sum(axis=1) > 0)
                     share = total[use] / total[use].sum(axis=1, keepdims=True)
                     lang[lo:hi][use], score[lo:hi][use] = names[share.argmax(axis=1)], share.max(axis=1)
