@@ -22,8 +22,8 @@ from . import common as C
 from .learn import Adagrad, held_out, taught
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 2, 128, 0.05, 3
-#: Bytes of a stretch and of the warm-up before it, and stretches labelled together.
-CORE, WARM, TOGETHER = 224, 32, 1024
+#: Bytes of a stretch and of the warm-up before it, and stretches labelled together: so few that products use one thread.
+CORE, WARM, TOGETHER = 224, 32, 384
 #: Documents, and windows of each language and their bytes, that the network is fitted on, at most.
 DOCUMENTS, WINDOWS, WIDE = 1500, 2000, 64
 
