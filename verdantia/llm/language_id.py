@@ -23,7 +23,7 @@ from .learn import Adagrad, held_out, taught
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 2, 128, 0.05, 3
 #: Bytes of a stretch and of the warm-up before it, and stretches labelled together: so few that products use one thread.
-CORE, WARM, TOGETHER = 224, 32, 384
+CORE, WARM, TOGETHER = 448, 32, 960
 #: Documents, and windows of each language and their bytes, that the network is fitted on, at most.
 DOCUMENTS, WINDOWS, WIDE = 1500, 2000, 64
 
@@ -61,22 +61,29 @@ class Direction:
     def steps(self, x: np.ndarray, mask: np.ndarray):
         """The state after each step of x (steps, rows), as in forward(); sigmoid(a) = (1 + tanh(a / 2)) / 2."""
         h = HIDDEN
-        look = self.look + self.bias
-        gates, mine = np.ascontiguousarray(look[:, : 2 * h] / 2), np.ascontiguousarray(look[:, 2 * h :])
-        to_gates, to_mine = np.ascontiguousarray(self.back[:, : 2 * h] / 2), np.ascontiguousarray(self.back[:, 2 * h :])
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
+        look = (self.look + self.bias) * half
+        look_z, look_r, look_n = (np.ascontiguousarray(look[:, i * h : i * h + h]) for i in range(3))
+        back_z, back_r, back_n = (np.ascontiguousarray(self.back[:, i * h : i * h + h]) / 2 for i in range(3))
         state = np.zeros((x.shape[1], h), np.float32)
-        for t in range(len(x)):
-            zr = gates[x[t]]
-            zr += state @ to_gates
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= 0.5
-            n = mine[x[t]]
-            n += (zr[:, h:] * state) @ to_mine
+        whole = mask.all(axis=1)
+        for t in range(len(x)):  # gates apart, each without gaps in memory; r and z are doubled, which back_n and 0.5 undo
+            r = look_r.take(x[t], axis=0)
+            r += state @ back_r
+            np.tanh(r, out=r)
+            r += 1
+            r *= state
+            n = look_n.take(x[t], axis=0)
+            n += r @ back_n
             np.tanh(n, out=n)
             n -= state
-            n *= zr[:, :h]
-            if not mask[t].all():
+            z = look_z.take(x[t], axis=0)
+            z += state @ back_z
+            np.tanh(z, out=z)
+            z += 1
+            n *= z
+            n *= 0.5
+            if not whole[t]:
                 n *= mask[t, :, None]
             state += n
             yield state
