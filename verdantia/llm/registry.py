@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .anisotropic_ann import op5_anisotropic_ann
+from .exact_dedup import ORACLE as OP12_ORACLE
+from .exact_dedup import op12_exact_dedup
 from .html_extract import op8_html_extract
 from .jaccard_join import op2_jaccard_join
 from .language_id import op6_language_id
@@ -26,8 +28,10 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_piece_sampling": op9_piece_sampling,
     "op10_toxicity": op10_toxicity,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_ORACLE,
     "op7_max_score": OP7_ORACLE,
+    "op12_exact_dedup": OP12_ORACLE,
 }
