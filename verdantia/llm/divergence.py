@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, prefix_hash, short_batches, span_hash
-from .tokens import blocks, coded, codes, runs
+from .common import U64, cut, mix, short_batches
+from .tokens import blocks, coded, codes, keys_of, runs
 
 #: Bytes of terms: letters of ASCII and all bytes of other characters.
 TERM = np.zeros(256, bool)
@@ -37,18 +37,6 @@ TERM_TILE, SOURCE_TILE = 512, 256
 LEVELS = 40
 
 
-def term_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), off[:-1], off[1:])
-
-
-def keys_of(terms: pa.Array) -> np.ndarray:
-    if not len(terms):
-        return np.zeros(0, U64)
-    off = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
-    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
-    return term_keys(data[off[0] : off[-1]], off - off[0])
-
-
 class PerfectHash:
     """A minimal perfect hash of distinct terms, which it stores in the order of their slots."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .anisotropic_ann import op5_anisotropic_ann
+from .collocations import ORACLE as OP11_ORACLE
+from .collocations import op11_collocations
 from .divergence import ORACLE as OP13_ORACLE
 from .divergence import op13_source_divergence
 from .exact_dedup import ORACLE as OP12_ORACLE
@@ -30,12 +32,14 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_piece_sampling": op9_piece_sampling,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_ORACLE,
     "op7_max_score": OP7_ORACLE,
+    "op11_collocations": OP11_ORACLE,
     "op12_exact_dedup": OP12_ORACLE,
     "op13_source_divergence": OP13_ORACLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, flat
+from .common import LOWER, U64, flat, prefix_hash, span_hash
 
 #: Bytes of text that one step handles; a longer text is a step of its own.
 BLOCK = 8 << 20
@@ -81,3 +81,12 @@ def codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
     """(code of each row, the distinct values)."""
     found = column.combine_chunks().dictionary_encode()
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+
+
+def keys_of(found: pa.Array) -> np.ndarray:
+    """A 64-bit key of each string."""
+    if not len(found):
+        return np.zeros(0, U64)
+    off = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return span_hash(prefix_hash(data), off[:-1] - off[0], off[1:] - off[0])
