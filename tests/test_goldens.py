@@ -101,19 +101,13 @@ def test_uuid5(spark):
 
 def test_geometry(spark):
     ring = [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 0.0}, {"x": 0.0, "y": 10.0}]
-    assert C.clipped_area(ring, 0, 0, 5, 5) == pytest.approx(25) and C.clipped_area(ring, 6, 6, 9, 9) == 0 and C.clipped_area(ring, -5, -5, 20, 20) == 50
     tri = F.array(*(F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in ring))
+    clipped = lambda *box: value(spark, C.clip_area(tri, *(F.lit(float(b)) for b in box)))
+    assert clipped(0, 0, 5, 5) == pytest.approx(25) and clipped(6, 6, 9, 9) == 0 and clipped(-5, -5, 20, 20) == 50
     assert value(spark, S.ring_area(tri)) == 50
     assert value(spark, S.ring_contains(tri, F.lit(2.0), F.lit(3.0))) and not value(spark, S.ring_contains(tri, F.lit(8.0), F.lit(8.0)))
 
 
-def test_ewkb():
-    import struct
-
-    assert C.read_ewkb(struct.pack("<BIIdd", 1, 0x20000001, 32643, 380000.0, 2040000.0)) == {"x": 380000.0, "y": 2040000.0}
-    assert C.read_ewkb(struct.pack("<BIIdd", 1, 0x20000001, 4326, 1.0, 2.0)) is None and C.read_ewkb(b"x") is None
-
-
 def test_spacing(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.99, 0.0), (3, 19.98, 0.0), (4, 40.0, 0.0), (5, 50.0, 0.0)], "id int, x double, y double")
     assert sorted(r.id for r in P.enforce_spacing(pts, "id", 10.0).collect()) == [1, 3, 4, 5]
@@ -224,7 +218,7 @@ def test_points_in_rings(spark):
     x, y = spatial.X0, spatial.Y0
     wards = rings(spark, {"bay": ([[(x, y), (x + 600, y), (x + 600, y + 600), (x + 300, y + 300), (x, y + 600)]], []), "ring": ([square(x, y, x + 600, y + 600)], [square(x + 200, y + 200, x + 400, y + 400)])})
     points = spark.createDataFrame([(1, x + 300, y + 100), (2, x + 300, y + 350), (3, x + 50, y + 500), (4, x + 300, y + 500), (5, x + 700, y + 100), (6, None, y)], "id long, x long, y long")
-    got = {(r.id, r.b_ward_id) for r in spatial.points_in_rings(points, wards).collect()}
+    got = {(r.id, r.b_ward_id) for r in spatial.points_in_rings(points, wards, "ward_id").collect()}
     assert got == {(1, "bay"), (1, "ring"), (3, "bay"), (3, "ring"), (4, "ring")}
 
 

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.clip import clip_area
-from ..functions.scalar import ring_contains
 from ..sources import io
-
-X0, Y0, CELL = 300000, 2000000, 250
+from . import rings
+from .grid import CELL, X0, Y0
 
 
 def cell(x: Column, origin: int, size: int) -> Column:
@@ -55,29 +53,14 @@ def points_in(points: DataFrame, boxes: DataFrame, strict: bool = False, size: i
     return both.filter(x.between(F.col("b_minx"), F.col("b_maxx")) & y.between(F.col("b_miny"), F.col("b_maxy")))
 
 
-def ring_boxes(polygons: DataFrame) -> DataFrame:
-    """polygons with the box of their outer rings; rings and holes are array<array<struct<x double, y double>>>."""
-    points = F.flatten("rings")
-    ends = {f"{f}{c}": getattr(F, f"array_{f}")(F.transform(points, lambda p: p[c])) for c in "xy" for f in ("min", "max")}  # noqa: B023
-    return polygons.withColumns({"minx": ends["minx"], "miny": ends["miny"], "maxx": ends["maxx"], "maxy": ends["maxy"]})
-
-
-def points_in_rings(points: DataFrame, polygons: DataFrame, size: int = CELL) -> DataFrame:
-    """Points (x, y) with the polygons that hold them: cells, then boxes, then a ray cast over all rings and holes."""
-    both = points_in(points, ring_boxes(polygons), size=size)
-    rings = F.concat("b_rings", F.coalesce("b_holes", F.array()))
-    crossed = F.transform(rings, lambda r: ring_contains(r, F.col("x"), F.col("y")).cast("int"))
-    return both.filter(F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1)
+def points_in_rings(points: DataFrame, polygons: DataFrame, key: str = "ward_id", size: int = CELL) -> DataFrame:
+    """Points (x, y) with the polygons that hold them, named b_<key>."""
+    return rings.points_in(points, polygons, key, size).withColumnRenamed(key, f"b_{key}")
 
 
 def ring_overlaps(boxes: DataFrame, box_key: str, polygons: DataFrame, key: str, size: int = CELL) -> DataFrame:
     """(a_<box_key>, b_<key>, area) of boxes and the polygons that share area with them; holes count off."""
-    both = overlaps(boxes.select(box_key, "minx", "miny", "maxx", "maxy"), ring_boxes(polygons.select(key, "rings", "holes")), size=size).drop("area")
-    signed = lambda c, s: F.transform(F.coalesce(c, F.array()), lambda r: F.struct(r.alias("ring"), F.lit(s).alias("sign")))
-    parts = both.withColumn("part", F.explode(F.concat(signed("b_rings", 1), signed("b_holes", -1))))
-    corner = [F.col(f"a_{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")]
-    area = F.col("part.sign") * clip_area(F.col("part.ring"), *corner)
-    return parts.groupBy(f"a_{box_key}", f"b_{key}").agg(F.sum(area).alias("area")).filter("area > 0")
+    return rings.overlaps(boxes, box_key, polygons, key, size).withColumnsRenamed({box_key: f"a_{box_key}", key: f"b_{key}"})
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -172,9 +155,22 @@ def ward_assign(blocks: DataFrame, wards: DataFrame, gap_share: float = 0.01, le
     return made.withColumn("status", status).select("block_id", F.when(F.col("status") == "assigned", F.col("ward")).alias("ward_id"), "status")
 
 
-def area_weighted(cells: DataFrame, blocks: DataFrame, value: str, key: str, boundary: tuple | None = None) -> DataFrame:
-    """Spread a value over blocks by the share of the source cell's own area, clipped to a boundary box."""
+def area_weighted(cells: DataFrame, blocks: DataFrame, value: str, key: str, boundary: tuple | DataFrame | None = None) -> DataFrame:
+    """Spread a value over blocks by the share of the source cell's own area, clipped to a boundary.
+
+    The boundary is a box, or a table of polygons (rings, holes and a key of their own) that don't overlap.
+    """
     src = cells.withColumn("src_area", box_area())
+    if isinstance(boundary, DataFrame):
+        pairs = overlaps(src, blocks.select("block_id", "minx", "miny", "maxx", "maxy"))
+        ends = {c: f(f"a_{c}", f"b_{c}") for c, f in (("minx", F.greatest), ("miny", F.greatest), ("maxx", F.least), ("maxy", F.least))}
+        pairs = pairs.select(F.struct(f"a_{key}", "b_block_id").alias("pair"), F.col(f"a_{value}").alias("value"), "a_src_area", *(c.alias(n) for n, c in ends.items()))
+        edge = next(c for c in boundary.columns if c not in ("rings", "holes"))
+        shared = rings.overlaps(pairs, "pair", boundary, edge).groupBy("pair").agg(F.sum("area").alias("area"))
+        met = pairs.select("pair", "value", "a_src_area").join(shared, "pair")
+        return met.groupBy(F.col("pair.b_block_id").alias("block_id")).agg(
+            F.sum(F.col("value") * F.col("area") / F.col("a_src_area")).alias("value"), F.count_distinct(f"pair.a_{key}").alias("cells"), F.sum("area").alias("area"),
+        )
     if boundary:
         x0, y0, x1, y1 = boundary
         src = src.withColumns({"minx": F.greatest("minx", F.lit(x0)), "miny": F.greatest("miny", F.lit(y0)), "maxx": F.least("maxx", F.lit(x1)), "maxy": F.least("maxy", F.lit(y1))}).filter("minx < maxx and miny < maxy")

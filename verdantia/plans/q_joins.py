@@ -85,7 +85,7 @@ def jn_point_in_ring(v):
     ring = F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in NOTCHED))
     none = F.expr("cast(array() as array<array<struct<x:double,y:double>>>)")
     rings = v.areas.select("area_id", F.array(ring).alias("rings"), none.alias("holes"))
-    return O.points_in_rings(v.units.drop("area_id"), rings).select(F.col("b_area_id").alias("area_id"), "unit_id")
+    return O.points_in_rings(v.units.drop("area_id"), rings, "area_id").select(F.col("b_area_id").alias("area_id"), "unit_id")
 
 
 @query("""SELECT unit_id, area_id FROM (SELECT u.unit_id, a.area_id, row_number() OVER (PARTITION BY u.unit_id ORDER BY CASE WHEN u.x > a.minx AND u.x < a.maxx AND u.y > a.miny AND u.y < a.maxy THEN 0 ELSE 1 END, a.area_id) AS k
