@@ -47,26 +47,56 @@ def clip_area(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Colu
     return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(area_within(both, minx, miny, maxx, maxy)))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def number_of(digits: Column) -> Column:
     """The double of 16 hexadecimal digits, the sign first; NULL for infinities and what is no number."""
-    whole = lambda lo, n: F.conv(F.substring(digits, lo, n), 16, 10).cast("long")
-    head = whole(1, 3)
-    power = head % 2048
-    size = (whole(4, 13) / F.lit(2.0**52) + F.when(power > 0, 1.0).otherwise(0.0)) * F.pow(F.lit(2.0), (F.greatest(power, F.lit(1)) - 1023).cast("double"))
-    return F.when(power < 2047, F.when(head >= 2048, -size).otherwise(size))
+    part = F.conv(F.substring(digits, 4, 13), 16, 10).cast("long") / F.lit(2.0**52)
+
+    def of(head: Column) -> Column:
+        power = head % 2048
+        size = (part + F.when(power > 0, 1.0).otherwise(0.0)) * F.pow(F.lit(2.0), F.greatest(power, F.lit(1)) - 1023)
+        return F.when(power < 2047, F.when(head >= 2048, -size).otherwise(size))
+
+    return let(F.conv(F.substring(digits, 1, 3), 16, 10).cast("long"), of)
 
 
 def parse_ewkb(data: Column) -> Column:
     """struct(x, y) of a binary point of zone 43 north, with or without its SRID, in either byte order; NULL for others."""
-    digits = F.hex(data)
-    little = F.substring(digits, 1, 2) == "01"
-
-    def at(byte: Column, size: int) -> Column:
-        bytes_ = [F.substring(digits, byte * 2 + 1 + 2 * i, F.lit(2)) for i in range(size)]
-        return F.when(little, F.concat(*bytes_[::-1])).otherwise(F.concat(*bytes_))
-
-    kind = F.conv(at(F.lit(1), 4), 16, 10).cast("long")
-    named = kind.bitwiseAND(0x20000000) != 0
-    start = F.when(named, 9).otherwise(5)
-    ok = (kind.bitwiseAND(0xFF) == 1) & (F.length(data) >= start + 16) & F.substring(digits, 1, 2).isin("00", "01") & (~named | (F.conv(at(F.lit(5), 4), 16, 10) == "32643"))
-    return F.when(ok, F.struct(number_of(at(start, 8)).alias("x"), number_of(at(start + 8, 8)).alias("y")))
+
+    def of(digits: Column) -> Column:
+        def at(byte: Column, size: int) -> Column:
+            own = F.substring(digits, byte * 2 + 1, F.lit(2 * size))
+            turned = F.concat(*(F.substring(own, 2 * i + 1, 2) for i in reversed(range(size))))
+            return F.when(F.substring(digits, 1, 2) == "01", turned).otherwise(own)
+
+        def body(kind: Column) -> Column:
+            named = kind.bitwiseAND(0x20000000) != 0
+            start = F.when(named, 9).otherwise(5)
+            ok = (kind.bitwiseAND(0xFF) == 1) & (F.length(digits) >= 2 * start + 32) & F.substring(digits, 1, 2).isin("00", "01") & (~named | (F.conv(at(F.lit(5), 4), 16, 10) == "32643"))
+            return F.when(ok, F.struct(number_of(at(start, 8)).alias("x"), number_of(at(start + 8, 8)).alias("y")))
+
+        return let(F.conv(at(F.lit(1), 4), 16, 10).cast("long"), body)
+
+    return let(F.hex(data), of)
+
+
+def point_ewkb(x: Column, y: Column, srid: Column) -> Column:
+    """A point with its SRID in big-endian bytes; coordinates are 0, or finite and no smaller than 1e-300."""
+
+    def digits(v: Column) -> Column:
+        def of(rough: Column) -> Column:
+            off = F.abs(v) / F.pow(F.lit(2.0), rough)
+            return let(rough + F.when(off >= 2, 1).when(off < 1, -1).otherwise(0), bits)
+
+        def bits(power: Column) -> Column:
+            part = ((F.abs(v) / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**52)).cast("long")
+            head = (power + 1023 + F.when(v < 0, 2048).otherwise(0)).cast("long")
+            return F.concat(F.lpad(F.hex(head), 3, "0"), F.lpad(F.hex(part), 13, "0"))
+
+        return F.when(v == 0, F.lit("0" * 16)).otherwise(let(F.floor(F.log2(F.abs(v))), of))
+
+    return F.unhex(F.concat(F.lit("0020000001"), F.lpad(F.hex(srid.cast("long")), 8, "0"), digits(x), digits(y)))

@@ -70,12 +70,16 @@ def percent_of_total(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.withColumns({"pct_all": 100.0 * F.col(n) / F.sum(n).over(W.partitionBy()), "pct_row": 100.0 * F.col(n) / F.sum(n).over(W.partitionBy(key))})
 
 
-def study_area(pairs: DataFrame, key: str) -> DataFrame:
-    """Per area: block counts, counts by risk, eligible and scored area, area-weighted score to four places."""
+def study_area(pairs: DataFrame, key: str, exact: bool = False) -> DataFrame:
+    """Per area: block counts, counts by risk, eligible and scored area, area-weighted score to four places.
+
+    Areas are whole square metres, as those of boxes are, or, if exact, to four places.
+    """
     s = F.col("score")
+    shown = lambda x: F.round(x, 4) if exact else x.cast("long")
     named = {"critical": s < 25, "high": (s >= 25) & (s < 50), "moderate": (s >= 50) & (s < 75), "low": s >= 75}
     return pairs.groupBy(key).agg(
-        F.count("*").alias("blocks"), F.count(s).alias("scored"), *(F.count_if(x).alias(n) for n, x in named.items()), F.sum("area").cast("long").alias("eligible_m2"), F.sum(F.when(s.isNotNull(), F.col("area"))).cast("long").alias("scored_m2"),
+        F.count("*").alias("blocks"), F.count(s).alias("scored"), *(F.count_if(x).alias(n) for n, x in named.items()), shown(F.sum("area")).alias("eligible_m2"), shown(F.sum(F.when(s.isNotNull(), F.col("area")))).alias("scored_m2"),
         F.round(F.try_divide(F.sum(s * F.col("area")), F.sum(F.when(s.isNotNull(), F.col("area")))), 4).alias("weighted_score"),
     )
 

@@ -25,4 +25,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return wrap
 
 
-from . import q_aggregates, q_carbon_planting, q_filters, q_functions, q_joins, q_pixels, q_scoring, q_sources, q_stats, q_streams, q_windows  # noqa: E402, F401
+from . import q_aggregates, q_carbon_planting, q_filters, q_functions, q_joins, q_pixels, q_rings, q_scoring, q_sources, q_stats, q_streams, q_windows  # noqa: E402, F401

@@ -15,8 +15,8 @@ def over(a, b):
 
 @query("SELECT r, c, seg, te, people FROM px WHERE seg IS NOT NULL AND te IS NOT NULL")
 def jn_pixel_stack(v):
-    seg, te = v.px.select("r", "c", "seg").filter("seg is not null"), v.px.select("r", "c", "te").filter("te is not null")
-    return seg.join(te, ["r", "c"]).join(v.px.select("r", "c", "people"), ["r", "c"])
+    """Layers that share a table need no join."""
+    return v.px.filter("seg is not null and te is not null").select("r", "c", "seg", "te", "people")
 
 
 @query("SELECT r, c, block_id FROM px")
