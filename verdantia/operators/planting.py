@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..sources.io import scratch
+from ..sources.io import scratch, written
 from .spatial import distance_pairs
 from .windows import nested_prefixes, within_budget
 
@@ -57,12 +57,6 @@ def enforce_spacing(units: DataFrame, key: str, spacing: float) -> DataFrame:
     Rounds go on until at most `LAST_PAIRS` pairs are undecided; the number falls every round.
     """
     spark = units.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "spacing")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     pairs = written(distance_pairs(units, key, spacing).filter(F.col("distance") <= spacing - 1e-4).select("i", "j"))
     schema, path = pairs.select("j").schema, scratch(spark, "gone")
     spark.createDataFrame([], schema).write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources import io
+from ..sources.io import written
 from . import rings
 from .grid import CELL, X0, Y0
 
@@ -111,13 +111,6 @@ def nearest_distance(points: DataFrame, lines: DataFrame, key: str, ring: int =
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = io.scratch(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def distance_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
     """(i, j, distance) with i < j of all points closer than r: cells of side r, each point offered to its nine neighbours."""
     at = points.select(F.col(key).alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.floor(F.col("x") / r).alias("cx"), F.floor(F.col("y") / r).alias("cy"))

@@ -77,23 +77,6 @@ def gap_sessions(events: DataFrame, keys: list[str], ts: str, seconds: int, firs
     return made.groupBy(*keys, "_s").agg(*(F.min_by(c, F.struct(ts, "event_id")).alias(c) for c in first), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("merged")).drop("_s")
 
 
-def fixed_window_counter(requests: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
-    """allowed, remaining and retry_after of each request, in windows that a key's first hit opens; an ordered fold."""
-    size = seconds * 1_000_000
-    zero = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<event_id:long,t:long,open:long,n:int>>)").alias("out"))
-
-    def step(acc, x):
-        fresh = acc["open"].isNull() | (acc["open"] + size < x["t"])
-        open_, n = F.when(fresh, x["t"]).otherwise(acc["open"]), F.when(fresh, 1).otherwise(acc["n"] + 1)
-        row = F.struct(x["event_id"].alias("event_id"), x["t"].alias("t"), open_.alias("open"), n.alias("n"))
-        return F.struct(open_.alias("open"), n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    by = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), "event_id"))).alias("xs"))
-    rows = by.select(key, F.explode(F.aggregate("xs", zero, step)["out"]).alias("o")).select(key, "o.*")
-    left = (F.col("open") + size - F.col("t")) / 1e6
-    return rows.select(key, "event_id", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"), F.when(F.col("n") > limit, F.greatest(F.lit(1), F.round(left).cast("int"))).otherwise(0).alias("retry_after"))
-
-
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Rows of a page with the total and whether more follow; the page itself is a bounded top-n."""
     total = df.agg(F.count("*").alias("total"))

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import rate as R
 from ..operators import windows as O
 from ..sources.io import scratch
 from ..streaming import activity as A
 from .catalog import query
+from .q_windows import COUNTED, DECIDED
 
 
 def event_stream(v, extra: tuple = ()):
@@ -34,17 +36,18 @@ def run_complete(v, df):
     return found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-@query()
+@query(DECIDED)
 def stm_rate_limit(v):
     return A.run_now(A.rate_limit(event_stream(v), "user_id", 2, 86400), "limits")
 
 
-@query()
+@query(f""", {COUNTED}, latest AS (SELECT max(t) AS moment FROM hits), last AS (SELECT user_id, arg_max(open, t) AS open, max(CASE WHEN open = top THEN n END) AS n FROM (SELECT *, max(open) OVER (PARTITION BY user_id) AS top FROM counted) c GROUP BY user_id),
+used AS (SELECT user_id, open + 86400000000 - moment AS rest, CASE WHEN open + 86400000000 < moment THEN 0 ELSE n END AS n FROM last, latest)
+SELECT user_id, n < 2 AS allowed, CAST(greatest(2 - n, 0) AS INTEGER) AS remaining, CASE WHEN n >= 2 THEN greatest(1, CAST(round(rest / 1000000.0) AS INTEGER)) ELSE 0 END AS retry_after FROM used""")
 def stm_rate_status(v):
-    """The state after the last request of each key, without a new hit."""
-    rows = O.fixed_window_counter(v.activity, "user_id", "ts", 2, 86400).join(v.activity.select("event_id", "ts"), "event_id")
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct("allowed", "remaining", "retry_after"), F.struct("ts", "event_id")).alias("s"))
-    return last.select("user_id", (F.col("s.remaining") == 0).alias("blocked"), "s.remaining", "s.retry_after")
+    """What each key may still do at the time of the last request of all."""
+    latest = v.activity.agg(F.max("ts").alias("latest")).first()[0]
+    return R.rate_status(v.activity, "user_id", "ts", 2, 86400, F.lit(latest))
 
 
 @query("SELECT event_id, (SELECT count(*) FROM activity WHERE user_id = 7 AND event_type <> 'view') AS total FROM activity WHERE user_id = 7 AND event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 10 OFFSET 10")

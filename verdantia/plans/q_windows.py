@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import spatial as P
+from ..operators import rate as R
 from ..operators import windows as O
 from .catalog import query
 from .q_joins import CELLS, cells, over
@@ -49,9 +50,16 @@ def win_gap_sessions(v):
     return O.gap_sessions(v.activity, ["user_id", "event_type", "entity"], "ts", 21600, ["event_id"]).select("user_id", "event_type", "entity", "event_id", "merged")
 
 
-@query()
+#: Openings of each user's windows of a day, one after another, and the requests numbered within them.
+COUNTED = """hits AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM activity),
+chain AS (SELECT user_id, min(t) AS open FROM hits GROUP BY user_id UNION ALL SELECT c.user_id, min(h.t) AS open FROM chain c JOIN hits h ON h.user_id = c.user_id AND h.t > c.open + 86400000000 GROUP BY c.user_id, c.open),
+counted AS (SELECT h.user_id, h.event_id, h.t, c.open, row_number() OVER (PARTITION BY h.user_id, c.open ORDER BY h.t, h.event_id) AS n FROM hits h ASOF JOIN chain c ON h.user_id = c.user_id AND h.t >= c.open)"""
+DECIDED = f", {COUNTED} SELECT user_id, event_id, n <= 2 AS allowed, CAST(greatest(2 - n, 0) AS INTEGER) AS remaining, CASE WHEN n > 2 THEN greatest(1, CAST(round((open + 86400000000 - t) / 1000000.0) AS INTEGER)) ELSE 0 END AS retry_after FROM counted"
+
+
+@query(DECIDED)
 def win_fixed_window_counter(v):
-    return O.fixed_window_counter(v.activity, "user_id", "ts", 2, 86400)
+    return R.fixed_window_counter(v.activity, "user_id", "ts", 2, 86400)
 
 
 @query("SELECT block_id, score FROM scored ORDER BY CASE WHEN score IS NULL THEN 1 ELSE 0 END, score, block_id LIMIT 50")

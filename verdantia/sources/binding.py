@@ -119,5 +119,5 @@ class Views:
 
 
 def with_views(body: str) -> str:
-    """body as DuckDB SQL with every view in front."""
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in VIEWS.items()) + "\n" + body
+    """body as DuckDB SQL with every view in front; its own views may be recursive."""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in VIEWS.items()) + "\n" + body

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "round") -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed CSV; empty fields, nan and NaN become NULL."""
     df = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.filters import ACTIVITY_TYPES, activity_status
 from ..sources.io import scratch
@@ -56,32 +58,59 @@ def dedup_sessions(events: DataFrame, keys: list[str], seconds: int, late: str =
     return merged.select(*keys, "event_id", "last_ts", "merged")
 
 
+class Limiter(StatefulProcessor):
+    """The open window of each key: (opened, hits). A timer ends the state once the watermark has passed the window's end."""
+
+    def __init__(self, key: str, limit: int, size: int):
+        self.key, self.limit, self.size = key, limit, size
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, hits int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = [(f["t"].to_numpy(), f["event_id"].to_numpy()) for f in rows]  # two numbers for each request of this batch
+        t, ids = (np.concatenate(c) for c in zip(*got))
+        order = np.lexsort((ids, t))
+        t, ids = t[order], ids[order]
+        opened, hits = self.window.get() if self.window.exists() else (None, 0)
+        open_, n, i = np.empty(len(t), np.int64), np.empty(len(t), np.int64), 0
+        while i < len(t):  # a round for each window
+            if opened is None or opened + self.size < t[i]:
+                opened, hits = int(t[i]), 0
+            j = int(np.searchsorted(t, opened + self.size, side="right"))
+            open_[i:j], n[i:j] = opened, hits + np.arange(1, j - i + 1)
+            hits, i = hits + j - i, j
+        self.window.update((opened, hits))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((opened + self.size) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        over = n > self.limit
+        left = np.floor((open_ + self.size - t) / 1e6 + 0.5).astype(np.int64)
+        yield pd.DataFrame({self.key: [key[0]] * len(t), "event_id": ids, "allowed": ~over, "remaining": np.maximum(self.limit - n, 0).astype(np.int32), "retry_after": np.where(over, np.maximum(left, 1), 0).astype(np.int32)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.window.exists():
+            opened, _ = self.window.get()
+            if (opened + self.size) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
+                self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """A decision for each request; the window opens with a key's first hit.
+    """(key, event_id, allowed, remaining, retry_after) of each request of a stream, by the rule of operators.rate.
 
-    State is (open, count) for each key, dropped once the watermark passes the window's end.
+    The session gets the RocksDB state store, which keeps keys on disk and in the checkpoint folder. Requests without a key
+    are not limited and have no row; a request that comes later than `late` has none either.
     """
-    size = seconds * 1_000_000
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = requests.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        out = []
-        for t, e in zip(rows["t"], rows["event_id"]):
-            fresh = opened is None or opened + size < t
-            opened, n = (t, 1) if fresh else (opened, n + 1)
-            wait = 0 if n <= limit else max(1, round((opened + size - t) / 1e6))
-            out.append((k[0], e, n <= limit, max(limit - n, 0), wait))
-        state.update((int(opened), int(n)))
-        state.setTimeoutTimestamp(max((int(opened) + size) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "event_id", "allowed", "remaining", "retry_after"])
-
-    timed = requests.withWatermark("ts", late).withColumn("t", F.unix_micros("ts")).select(key, "event_id", "t", "ts")
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int", "opened long, n int", "append", "EventTimeTimeout")
+    timed = requests.filter(F.col(key).isNotNull()).withWatermark("ts", late).select(key, "event_id", F.unix_micros("ts").alias("t"), "ts")
+    schema = f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int"
+    return timed.groupBy(key).transformWithStateInPandas(Limiter(key, limit, seconds * 1_000_000), schema, "append", "EventTime")
 
 
 def validated(events: DataFrame, good: str, bad: str, types: tuple = ACTIVITY_TYPES):
