@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.io import written
 
 
 def band_normalise(px: DataFrame, tile: list[str], column: str) -> DataFrame:
@@ -24,30 +23,6 @@ def rasterize_boxes(feats: DataFrame, value: str, order: str, x0: int, y0: int,
     return at.groupBy("r", "c").agg(F.max_by(value, order).alias("value"))
 
 
-def vectorise(px: DataFrame, column: str) -> DataFrame:
-    """(r, c, column, region): connected same-class regions over four neighbours, named by their smallest pixel.
-
-    Labels spread to neighbours and then jump to their label's label, so long regions settle in few rounds. Every round is
-    written to the shared folder, which ends the lineage there.
-    """
-    spark = px.sparkSession
-    key = lambda r, c: (r * 1_000_000 + c).cast("long")
-    cells = px.filter(F.col(column).isNotNull()).select(key(F.col("r"), F.col("c")).alias("id"), F.col(column).alias("class"))
-    ahead = cells.select("id", "class", F.explode(F.array(F.lit(1), F.lit(1_000_000))).alias("d")).select("id", "class", (F.col("id") + F.col("d")).alias("other"))
-    pairs = ahead.join(cells.select(F.col("id").alias("other"), F.col("class").alias("c2")), "other").filter("class = c2").select("id", "other")
-    edges = written(pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))))
-    label = written(cells.select("id", F.col("id").alias("region")))
-    while True:  # labels only fall
-        near = edges.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("region").alias("near"))
-        step = label.join(near, "id", "left").select("id", "region", F.least("region", F.coalesce("near", "region")).alias("new"))
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("newer"))
-        made = written(step.join(jump, "new").select("id", "region", F.least("new", "newer").alias("new")))
-        if made.filter("region != new").isEmpty():
-            break
-        label = made.select("id", F.col("new").alias("region"))
-    return cells.join(label, "id").select(F.floor(F.col("id") / 1_000_000).alias("r"), (F.col("id") % 1_000_000).alias("c"), F.col("class").alias(column), "region")
-
-
 def bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
     """Coarse values (gr, gc, v) at fine pixels (r, c); NULL neighbours drop out and the other weights are scaled up."""
     y, x = (F.col("r") + 0.5) / factor - 0.5, (F.col("c") + 0.5) / factor - 0.5

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import pixels as O
+from ..operators import regions as G
 from ..operators import spatial as P
+from ..sources.io import written
 from .catalog import query
 
 
@@ -14,9 +16,20 @@ def px_rasterize_polygons(v):
     return O.rasterize_boxes(v.feats, "kind", "feat_id", 300000, 2000000, 10)
 
 
-@query()
+@query(""", known AS MATERIALIZED (SELECT r, c, seg FROM px WHERE seg IS NOT NULL), ways AS (SELECT unnest([{'dr': 1, 'dc': 0}, {'dr': -1, 'dc': 0}, {'dr': 0, 'dc': 1}, {'dr': 0, 'dc': -1}], recursive := true)),
+reach AS (SELECT r AS r0, c AS c0, r, c, seg FROM known UNION SELECT r0, c0, k.r, k.c, k.seg FROM (SELECT *, r + dr AS nr, c + dc AS nc FROM reach, ways) s JOIN known k ON k.r = s.nr AND k.c = s.nc AND k.seg = s.seg),
+named AS (SELECT r0 AS r, c0 AS c, seg, min({'r': r, 'c': c}) AS region FROM reach GROUP BY r0, c0, seg),
+sides AS (SELECT region, count(*) AS n FROM (SELECT *, r + dr AS nr, c + dc AS nc FROM named, ways) s LEFT JOIN known k ON k.r = s.nr AND k.c = s.nc AND k.seg = s.seg WHERE k.r IS NULL GROUP BY region)
+SELECT n.region.r AS region_r, n.region.c AS region_c, seg, count(*) AS pixels, 100.0::DOUBLE * count(*) AS area, 10.0::DOUBLE * max(s.n) AS outline FROM named n JOIN sides s ON s.region = n.region GROUP BY n.region, seg""")
 def px_vectorise(v):
-    return O.vectorise(v.px, "seg").groupBy("region", "seg").agg(F.count("*").alias("pixels"))
+    """Regions of one class with their pixels, area and length of outline in metres."""
+    v.hold("px")
+    made = written(G.label(v.px, "seg"))
+    e = G.outlines(made, "seg")
+    across = 10.0 * (F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
+    shape = e.groupBy("region").agg((100.0 * F.sum(F.col("x1") * (F.col("y2") - F.col("y1")))).alias("area"), F.sum(across).alias("outline"))
+    pixels = made.groupBy("region", "seg").agg(F.count("*").alias("pixels"))
+    return pixels.join(shape, "region").select(F.col("region.r").alias("region_r"), F.col("region.c").alias("region_c"), "seg", "pixels", "area", "outline")
 
 
 @query("""SELECT p.r, p.c, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS value FROM (SELECT r, c, gr, gc, (1 - abs(y - gr)) * (1 - abs(x - gc)) AS w FROM (SELECT r, c, y, x, gr, unnest([CAST(floor(x) AS BIGINT), CAST(floor(x) AS BIGINT) + 1]) AS gc FROM
