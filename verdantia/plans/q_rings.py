@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import clip
+from ..functions.scalar import box_ring
 from ..operators import aggregates as A
+from ..operators import overlay as V
 from ..operators import planting as P
 from ..operators import rings as R
 from ..operators import spatial as S
@@ -140,3 +142,36 @@ def fn_parse_ewkb(v):
     x = F.col("x") + F.col("c_custkey") % 8 / F.lit(8.0)
     data = clip.point_ewkb(x, F.col("y").cast("double"), F.when(F.col("c_custkey") % 5 == 0, 4326).otherwise(32643))
     return v.units.select("unit_id", clip.parse_ewkb(data).alias("p")).select("unit_id", "p.x", "p.y")
+
+
+def boxed(df):
+    """df with its boxes as polygons."""
+    ring = box_ring(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
+    return df.withColumns({"rings": F.array(ring), "holes": F.expr("cast(array() as array<array<struct<x:double,y:double>>>)")})
+
+
+#: Boxes of wards and areas cut into elementary boxes, with the wards that cover each one and whether an area does.
+ELEMENTS = """xs AS (SELECT DISTINCT unnest([minx, maxx]) AS v FROM (SELECT minx, maxx FROM wards UNION ALL SELECT minx, maxx FROM areas) t), ys AS (SELECT DISTINCT unnest([miny, maxy]) AS v FROM (SELECT miny, maxy FROM wards UNION ALL SELECT miny, maxy FROM areas) t),
+xr AS (SELECT v AS x0, lead(v) OVER (ORDER BY v) AS x1 FROM xs), yr AS (SELECT v AS y0, lead(v) OVER (ORDER BY v) AS y1 FROM ys), el AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER () AS el FROM xr, yr WHERE x1 IS NOT NULL AND y1 IS NOT NULL),
+elw AS (SELECT el, w.ward_id, w.version FROM el JOIN wards w ON w.minx <= x0 AND w.maxx >= x1 AND w.miny <= y0 AND w.maxy >= y1), ela AS (SELECT DISTINCT el FROM el JOIN areas a ON a.minx <= x0 AND a.maxx >= x1 AND a.miny <= y0 AND a.maxy >= y1),
+elp AS (SELECT a.ward_id AS a, b.ward_id AS b, sum(area) AS area FROM elw a JOIN elw b ON a.el = b.el AND a.ward_id < b.ward_id JOIN el ON el.el = a.el GROUP BY ALL HAVING sum(area) > 1.0)"""
+
+
+@query(f""", {ELEMENTS}, s AS (SELECT CAST(coalesce(sum(CASE WHEN i.el IS NOT NULL AND w.el IS NULL THEN area END), 0) AS DOUBLE) AS gap_m2, CAST(coalesce(sum(CASE WHEN i.el IS NULL AND w.el IS NOT NULL THEN area END), 0) AS DOUBLE) AS extension_m2, CAST(sum(CASE WHEN i.el IS NOT NULL THEN area END) AS DOUBLE) AS boundary_m2
+  FROM el LEFT JOIN ela i ON i.el = el.el LEFT JOIN (SELECT DISTINCT el FROM elw) w ON w.el = el.el), o AS (SELECT CAST(coalesce(sum(area), 0) AS DOUBLE) AS overlap_m2, count(*) AS pairs FROM elp)
+SELECT gap_m2, extension_m2, CASE WHEN gap_m2 >= 100 THEN gap_m2 ELSE 0 END AS significant_gap_m2, CASE WHEN extension_m2 >= 100 THEN extension_m2 ELSE 0 END AS significant_extension_m2, overlap_m2, pairs, round(100 * gap_m2 / boundary_m2, 6) AS gap_percent FROM s, o""")
+def set_mask_report(v):
+    """Areas of gaps, extensions and overlaps of the wards against the areas, taken as the boundary."""
+    row = V.mask_report(V.mask(boxed(v.wards), boxed(v.areas), "ward_id"))
+    return row.select("pairs", F.round("gap_percent", 6).alias("gap_percent"), *(F.round(c, 4).alias(c) for c in row.columns if c.endswith("m2")))
+
+
+@query(f", {ELEMENTS} SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(area AS DOUBLE) AS area FROM elp")
+def set_overlap_pairs(v):
+    return V.overlap_pairs(V.mask(boxed(v.wards), boxed(v.areas), "ward_id")).select("a", "b", F.round("area", 4).alias("area"))
+
+
+@query(f", {ELEMENTS}, d AS (SELECT DISTINCT el, version FROM elw) SELECT CAST(d.version AS VARCHAR) AS version, (SELECT count(*) FROM wards w WHERE w.version = d.version) AS polygons, CAST(sum(area) AS DOUBLE) AS area FROM d JOIN el ON el.el = d.el GROUP BY d.version")
+def agg_dissolve_areas(v):
+    """The area that the wards of each version cover together."""
+    return V.dissolve(boxed(v.wards), "ward_id", "version").withColumn("area", F.round("area", 4))
