@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.io import written
 from . import rings
 from .grid import CELL, X0, Y0
+from .nearest import nearest_distance, segment_distance  # noqa: F401
 
 
 def cell(x: Column, origin: int, size: int) -> Column:
@@ -67,15 +67,6 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def segment_distance(x: Column, y: Column, p: str = "") -> Column:
-    """Distance from a point to the segment (x1, y1)-(x2, y2)."""
-    x1, y1, x2, y2 = (F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
-    dx, dy = x2 - x1, y2 - y1
-    t = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
-
-
 def segment_boxes(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"minx": F.least("x1", "x2"), "miny": F.least("y1", "y2"), "maxx": F.greatest("x1", "x2"), "maxy": F.greatest("y1", "y2")})
 
@@ -88,29 +79,6 @@ def within_buffer(points: DataFrame, lines: DataFrame, distance: float, key: str
     return points.join(hit.select(key).distinct(), key, "left_semi")
 
 
-def nearest_distance(points: DataFrame, lines: DataFrame, key: str, ring: int = CELL) -> DataFrame:
-    """(key, distance) to the nearest segment; -1 if there is none, NULL for a point without coordinates.
-
-    The ring grows fourfold until every point has a hit within it; each round goes on from a table of what is left.
-    """
-    if lines.isEmpty():
-        return points.select(key, F.lit(-1.0).alias("distance"))
-    lines = lines.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
-    nowhere = F.col("x").isNull() | F.col("y").isNull()
-    found = points.filter(nowhere).select(key, F.lit(None).cast("double").alias("distance"))
-    if lines.isEmpty():
-        return found.unionByName(points.filter(~nowhere).select(key, F.lit(-1.0).alias("distance")))
-    todo = points.filter(~nowhere)
-    while not todo.isEmpty():
-        at = todo.withColumns({"cx": cell(F.col("x"), X0, ring), "cy": cell(F.col("y"), Y0, ring)})
-        near = at.join(prefixed(cover(segment_boxes(lines), ring, ring), "b_"), ["cx", "cy"])
-        got = written(near.groupBy(key).agg(F.min(segment_distance(F.col("x"), F.col("y"), "b_")).alias("distance")).filter(F.col("distance") <= ring))
-        found = found.unionByName(got)
-        todo = written(todo.join(got, key, "left_anti"))
-        ring *= 4
-    return found
-
-
 def distance_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
     """(i, j, distance) with i < j of all points closer than r: cells of side r, each point offered to its nine neighbours."""
     at = points.select(F.col(key).alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.floor(F.col("x") / r).alias("cx"), F.floor(F.col("y") / r).alias("cy"))

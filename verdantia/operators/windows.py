@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..sources.io import written
 from .spatial import first_by
 
 
@@ -24,33 +22,23 @@ def top2_gap(df: DataFrame, key: str, value: str) -> DataFrame:
     return top.groupBy(key).agg(F.max(F.when(F.col("_r") == 1, F.col(value))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col(value))).alias("second"))
 
 
-def zero_of(kind: T.DataType):
-    """The zero of a sum's type."""
-    return 0.0 if isinstance(kind, T.DoubleType) else Decimal(0) if isinstance(kind, T.DecimalType) else 0
-
-
 def prefix_sum(df: DataFrame, lead: str, value: str, ties: tuple = (), descending: bool = False, name: str = "running", rows: int = 1_000_000) -> DataFrame:
     """Running total over a global order without a single-partition window.
 
-    The order is the number `lead`, then `ties`. Its approximate quantiles (one number for about `rows` rows, eight at
-    least) cut it into slices; slice sums and windows within slices add up. Equal leads share a slice. Only these numbers,
-    two for each slice, reach the driver.
+    The order is `lead`, then `ties`, which should make it total: rows are dealt by ranges of it, about `rows` to each, and
+    written with their range's number. Sums of ranges, a row for each, give what stands before a range; windows run within
+    ranges. Equal leads are split by their ties.
     """
-    parts = max(8, -(-df.count() // rows))
-    bounds = df.agg(F.percentile_approx(lead, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col(lead))) if bounds else F.lit(0)
-    cut = df.withColumn("_p", -at if descending else at)
+    base = written(df)
+    order = [F.col(lead).desc() if descending else F.col(lead).asc(), *ties]
+    ranges = max(1, -(-base.count() // rows))
+    cut = written(base.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
     sums = cut.groupBy("_p").agg(F.sum(value).alias("_b"))
     kind = sums.schema["_b"].dataType
-    total, before = zero_of(kind), {}
-    for r in sorted(sums.collect(), key=lambda r: r["_p"]):  # a row for each slice
-        before[abs(r["_p"])] = total
-        total += r["_b"] or 0
-    # by number of slice, as an array: a join on a value made with a lambda would be planned wrongly
-    before = F.array(*(F.lit(before.get(i, zero_of(kind))).cast(kind) for i in range(parts)))
-    order = [F.col(lead).desc() if descending else F.col(lead), *ties]
+    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("_p", F.coalesce(F.sum("_b").over(ahead).cast(kind), F.lit(0).cast(kind)).alias("_b"))
     local = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return cut.withColumn(name, F.element_at(before, F.abs("_p") + 1) + local).drop("_p")
+    return cut.withColumn(name, local).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col(name)).drop("_p", "_b")
 
 
 def within_budget(ranked: DataFrame, lead: str, value: str, limit: float, ties: tuple = ()) -> DataFrame:

@@ -55,7 +55,15 @@ def cb_study_area(v):
     return o.select("area_id", "canopy", F.round(O.carbon_chain(F.col("canopy"), F.lit(10.0))["co2_t"], 3).alias("co2_t"))
 
 
-@query()
+WATER = "sqrt(pow(c.x - (w.x1 + {t} * (w.x2 - w.x1)), 2) + pow(c.y - (w.y1 + {t} * (w.y2 - w.y1)), 2))".format(t="least(greatest(((c.x - w.x1) * (w.x2 - w.x1) + (c.y - w.y1) * (w.y2 - w.y1)) / 2500.0, 0.0), 1.0)")
+
+
+@query(f""", c AS (SELECT *, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y, (maxx - minx) * (maxy - miny) AS area FROM feats WHERE kind = 'canopy' AND NOT coalesce(landuse IN ('military', 'railway', 'quarry', 'landfill'), false)),
+near AS (SELECT c.feat_id, min({WATER}) AS distance FROM c, water w GROUP BY c.feat_id),
+d AS (SELECT c.*, 'PN_' || CAST(floor((y - 2000000) / 250) AS BIGINT) || '_' || CAST(floor((x - 300000) / 250) AS BIGINT) AS block_id FROM c WHERE area >= 500)
+SELECT d.block_id, 'CAND_' || d.feat_id AS candidate_id, area, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y,
+  CASE WHEN leisure IN ('park', 'garden') OR landuse = 'recreation_ground' THEN 'candidate_public_like_open_space' WHEN amenity = 'school' THEN 'context_dependent' ELSE 'candidate_other_open_space' END AS candidate_class, s.score, round(n.distance, 4) AS distance
+FROM d JOIN near n ON n.feat_id = d.feat_id LEFT JOIN scored s ON s.block_id = d.block_id""")
 def pl_candidates(v):
     """Open space without bad land use, of 500 m2 and more, with class, block, score and distance to water."""
     from ..operators.filters import split_land_use
@@ -65,7 +73,8 @@ def pl_candidates(v):
     c = rest.withColumns({"area": area, "x": (F.col("minx") + F.col("maxx")) / 2, "y": (F.col("miny") + F.col("maxy")) / 2}).filter("area >= 500")
     c = c.select(F.concat(F.lit("CAND_"), F.col("feat_id").cast("string")).alias("candidate_id"), "area", "x", "y", S.candidate_class(F.col("landuse"), F.col("leisure"), F.col("amenity")).alias("candidate_class"), P.block_name(P.cell(F.col("y"), P.Y0, 250), P.cell(F.col("x"), P.X0, 250)).alias("block_id"))
     c = c.join(v.scored.select("block_id", "score"), "block_id", "left")
-    return c.join(P.nearest_distance(c.select("candidate_id", "x", "y"), v.water, "candidate_id"), "candidate_id", "left")
+    near = P.nearest_distance(c.select("candidate_id", "x", "y"), v.water, "candidate_id").withColumn("distance", F.round("distance", 4))
+    return c.join(near, "candidate_id", "left")
 
 
 @query("""SELECT f.feat_id, round(coalesce(CAST(count(CASE WHEN p.seg = 0 THEN 1 END) AS DOUBLE) / nullif(count(p.seg), 0), 0.0), 6) AS canopy, round(coalesce(CAST(count(CASE WHEN p.seg = 1 THEN 1 END) AS DOUBLE) / nullif(count(p.seg), 0), 0.0), 6) AS imperv

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import publish as P
 from ..operators import scoring
 from ..operators import stats as O
 from .catalog import query
@@ -109,6 +110,34 @@ def st_publish_invariants(v):
     return O.gate(_checks(v)).crossJoin(orphans)
 
 
+#: The published tables' metrics and what is expected of them; some expectations are not met.
+PUBLISHED = """, b AS (SELECT s.block_id, e.score_status <> 'scorable' AS excluded, CASE WHEN s.bi = 3 AND s.bj < 4 THEN NULL ELSE s.score END AS score, CASE WHEN s.bj = 5 THEN coalesce(s.score, 1) ELSE s.score END AS risk FROM scored s JOIN elig e ON s.block_id = e.block_id),
+k AS (SELECT block_id, canopy_m2, CASE WHEN height > 0 THEN 1 END AS trees FROM carbon UNION ALL SELECT 'PN_none', 1.0, 1), h AS (SELECT scenario FROM scen WHERE scenario <> 'a_100'), m AS (SELECT scenario, CASE WHEN scenario = 'c_500' AND unit_id LIKE '%7' THEN 'PU_x' ELSE unit_id END AS unit_id FROM bridge),
+f AS (SELECT 'blocks' AS metric, CAST(count(*) AS VARCHAR) AS value, CAST((SELECT count(*) FROM blocks) AS VARCHAR) AS expected FROM b UNION ALL SELECT 'excluded_blocks', CAST(count(CASE WHEN excluded THEN 1 END) AS VARCHAR), '11' FROM b
+  UNION ALL SELECT 'excluded_with_score', CAST(count(CASE WHEN excluded AND (score IS NOT NULL OR risk IS NOT NULL) THEN 1 END) AS VARCHAR), '0' FROM b UNION ALL SELECT 'scorable_without_score', CAST(count(CASE WHEN NOT excluded AND (score IS NULL OR risk IS NULL) THEN 1 END) AS VARCHAR), '0' FROM b
+  UNION ALL SELECT 'carbon_blocks', CAST(count(*) AS VARCHAR), CAST((SELECT count(*) FROM blocks) AS VARCHAR) FROM k UNION ALL SELECT 'carbon_complete', CAST(count(CASE WHEN canopy_m2 IS NOT NULL AND trees IS NOT NULL THEN 1 END) AS VARCHAR), CAST((SELECT count(*) FROM blocks) AS VARCHAR) FROM k
+  UNION ALL SELECT 'candidate_areas', CAST(count(*) AS VARCHAR), CAST((SELECT count(*) FROM feats WHERE kind = 'canopy') AS VARCHAR) FROM feats WHERE kind = 'canopy' UNION ALL SELECT 'candidate_areas_valid', CAST(count(CASE WHEN maxx - minx > 60 THEN 1 END) AS VARCHAR), CAST((SELECT count(*) FROM feats WHERE kind = 'canopy') AS VARCHAR) FROM feats WHERE kind = 'canopy'
+  UNION ALL SELECT 'planting_units', CAST(count(*) AS VARCHAR), CAST((SELECT count(*) FROM orders) AS VARCHAR) FROM ranked UNION ALL SELECT 'planting_units_valid', CAST(count(CASE WHEN cost > 5 THEN 1 END) AS VARCHAR), CAST((SELECT count(*) FROM orders) AS VARCHAR) FROM ranked
+  UNION ALL SELECT 'scenario_mappings', CAST(count(*) AS VARCHAR), '850' FROM m UNION ALL SELECT 'scenario_counts', string_agg(CAST(n AS VARCHAR), ', ' ORDER BY n), '100, 250, 500' FROM (SELECT h.scenario, count(m.unit_id) AS n FROM h LEFT JOIN m ON h.scenario = m.scenario GROUP BY h.scenario) t
+  UNION ALL SELECT 'orphaned_carbon', CAST(count(*) AS VARCHAR), '0' FROM k WHERE block_id NOT IN (SELECT block_id FROM b) UNION ALL SELECT 'orphaned_units', CAST(count(*) AS VARCHAR), '0' FROM m WHERE unit_id NOT IN (SELECT unit_id FROM ranked) UNION ALL SELECT 'orphaned_scenarios', CAST(count(*) AS VARCHAR), '0' FROM m WHERE scenario NOT IN (SELECT scenario FROM h))"""
+
+
+@query(PUBLISHED + " SELECT metric, expected, value, CASE WHEN expected = '0' THEN metric || ': found ' || value || ', none is allowed' ELSE metric || ': expected ' || expected || ', found ' || value END AS error FROM f WHERE value <> expected")
+def st_publish_errors(v):
+    """Every rule of the published tables that doesn't hold; the twin's inputs are flawed on purpose."""
+    at = v.scored.join(v.elig, "block_id")
+    flawed = F.when((F.col("bi") == 3) & (F.col("bj") < 4), None).otherwise(F.col("score"))
+    blocks = at.select("block_id", (F.col("score_status") != "scorable").alias("excluded"), flawed.alias("score"), F.when(F.col("bj") == 5, F.coalesce("score", F.lit(1.0))).otherwise(F.col("score")).alias("risk"))
+    trees = F.when(F.col("height") > 0, 1)
+    carbon = v.carbon.select("block_id", "canopy_m2", trees.alias("trees")).unionByName(v.spark.range(1).select(F.lit("PN_none").alias("block_id"), F.lit(1.0).alias("canopy_m2"), F.lit(1).alias("trees"))).withColumns({"agb_kg": F.col("trees"), "co2_t": F.col("trees")})
+    crowns = v.feats.filter("kind = 'canopy'")
+    mapped = v.bridge.withColumn("unit_id", F.when((F.col("scenario") == "c_500") & F.col("unit_id").endswith("7"), "PU_x").otherwise(F.col("unit_id")))
+    found = P.metrics(blocks, carbon, crowns.select((F.col("maxx") - F.col("minx") > 60).alias("valid")), v.ranked.select("unit_id", (F.col("cost") > 5).alias("valid")), v.scen.filter("scenario != 'a_100'"), mapped)
+    n, areas, orders = v.blocks.count(), crowns.count(), v.orders.count()
+    expected = {"blocks": n, "carbon_blocks": n, "carbon_complete": n, "excluded_blocks": 11, "candidate_areas": areas, "candidate_areas_valid": areas, "planting_units": orders, "planting_units_valid": orders, "scenario_mappings": 850, "scenario_counts": [500, 100, 250]}
+    return P.broken(found, P.rules(found, expected))
+
+
 @query("SELECT count(CASE WHEN run_id <> 'run_1' THEN 1 END) > 0 AS conflict FROM scored")
 def st_cross_run_conflict(v):
     return O.cross_run_conflict(v.scored, "run_1")
