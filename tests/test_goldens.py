@@ -130,12 +130,6 @@ def test_spacing_of_a_long_chain(spark):
     assert sorted(r.id for r in P.enforce_spacing(pts, "id", 10.0).collect()) == list(range(0, 500, 2))
 
 
-def test_spacing_in_rounds_and_then_at_once(spark, monkeypatch):
-    monkeypatch.setattr(P, "LAST_PAIRS", 30)
-    pts = spark.range(40).select("id", (F.col("id") * 9.0).alias("x"), F.lit(0.0).alias("y"))
-    assert sorted(r.id for r in P.enforce_spacing(pts, "id", 10.0).collect()) == list(range(0, 40, 2))
-
-
 def test_allocation_conserves(spark):
     cells = spark.createDataFrame([(1, 0, 0, 100, 100, 100.0), (2, 100, 0, 200, 100, 300.0)], "cell int, minx int, miny int, maxx int, maxy int, pop double")
     cells = cells.selectExpr("cell", "minx + 300000 as minx", "miny + 2000000 as miny", "maxx + 300000 as maxx", "maxy + 2000000 as maxy", "pop")

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..sources.io import scratch, written
-from .spatial import distance_pairs
+from .spacing import enforce_spacing  # noqa: F401
 from .windows import nested_prefixes, within_budget
 
 
@@ -46,34 +45,6 @@ def lattice(cands: DataFrame, spacing: int) -> DataFrame:
     return grid.unionByName(alone)
 
 
-#: Undecided pairs that the driver settles in one pass; a chain of points would take a round for every two.
-LAST_PAIRS = 100_000
-
-
-def enforce_spacing(units: DataFrame, key: str, spacing: float) -> DataFrame:
-    """Greedy removal of the later point of each close pair, as the lexicographically first maximal independent set.
-
-    A point that no undecided smaller neighbour has stays, its neighbours go; each round is written to the shared folder.
-    Rounds go on until at most `LAST_PAIRS` pairs are undecided; the number falls every round.
-    """
-    spark = units.sparkSession
-    pairs = written(distance_pairs(units, key, spacing).filter(F.col("distance") <= spacing - 1e-4).select("i", "j"))
-    schema, path = pairs.select("j").schema, scratch(spark, "gone")
-    spark.createDataFrame([], schema).write.parquet(path)
-    while pairs.count() > LAST_PAIRS:
-        blocked = pairs.select(F.col("j").alias("i")).distinct()
-        keep = pairs.select("i").distinct().join(blocked, "i", "left_anti")
-        out = written(pairs.join(keep, "i", "left_semi").select("j").distinct())
-        out.write.mode("append").parquet(path)
-        pairs = written(pairs.join(out, "j", "left_anti").join(out.select(F.col("j").alias("i")), "i", "left_anti").join(keep, "i", "left_anti"))
-    last: set = set()
-    for i, j in sorted(map(tuple, pairs.collect())):
-        if i not in last:
-            last.add(j)
-    gone = spark.read.schema(schema).parquet(path).unionByName(spark.createDataFrame([(j,) for j in last], schema))
-    return units.join(gone.select(F.col("j").alias(key)).distinct(), key, "left_anti")
-
-
 def priority(score: Column, water: Column) -> Column:
     """Score (NULL: 0), less a tenth beyond 1000 m from water; -1 stands for no water at all."""
     far = F.when(water == -1, 9999).otherwise(water) > 1000
