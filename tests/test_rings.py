@@ -204,3 +204,32 @@ def test_ewkb(spark, order):
     got = {r.i: r.p for r in spark.createDataFrame(rows, "i int, b binary").select("i", parse_ewkb(F.col("b")).alias("p")).collect()}
     assert [tuple(got[i]) for i in range(len(numbers))] == numbers and tuple(got[100]) == (5.0, 6.0) and tuple(got[300]) == (None, None)
     assert all(got[200 + i] is None for i in range(len(bad)))
+
+
+def test_clip_keeps_parts_and_holes(spark):
+    rows = shapes(7)
+    box = (10.0, 12.0, 70.0, 66.0)
+    got = {r.k: r for r in R.clip(frame(spark, rows), *box).collect()}
+    for row in rows:
+        want = clipped(row, box)
+        outer = sum(clipped_area(q, *box) for q in row[2] if len(q) > 2)
+        assert (row[0] in got) == (outer > 0)
+        if row[0] in got:
+            r = got[row[0]]
+            pts = [(p.x, p.y) for q in r.rings + r.holes for p in q]
+            assert all(box[0] <= x <= box[2] and box[1] <= y <= box[3] for x, y in pts)
+            new = (row[0], "", [[(p.x, p.y) for p in q] for q in r.rings], [[(p.x, p.y) for p in q] for q in r.holes])
+            assert clipped(new, (-999, -999, 999, 999)) == pytest.approx(want, abs=1e-9)
+            r_ = random.Random(row[0])
+            for _ in range(60):
+                x, y = r_.uniform(box[0], box[2]), r_.uniform(box[1], box[3])
+                assert inside(new, x, y) == inside(row, x, y)
+    assert R.clip(frame(spark, rows), 900, 900, 950, 950).count() == 0
+
+
+def test_parts(spark):
+    sq = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    far = [(200.0, 0.0), (240.0, 0.0), (240.0, 40.0)]
+    rows = [(1, "m", [sq(0.0, 100.0), sq(20.0, 60.0), far], [sq(10.0, 70.0), sq(30.0, 40.0), [(230.0, 5.0), (236.0, 5.0), (236.0, 10.0)]]), (2, "e", [], []), (3, "z", [[(1.0, 1.0), (2.0, 2.0)], sq(0.0, 1.0)], None)]
+    got = {r.part_id: ([(p.x, p.y) for p in r.rings[0]], [[(p.x, p.y) for p in h] for h in r.holes]) for r in R.parts(frame(spark, rows), "k").collect()}
+    assert got == {"1_0": (sq(0.0, 100.0), [sq(10.0, 70.0)]), "1_1": (sq(20.0, 60.0), [sq(30.0, 40.0)]), "1_2": (far, [rows[0][3][2]]), "3_0": (sq(0.0, 1.0), [])}

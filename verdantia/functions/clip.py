@@ -52,6 +52,30 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def clip_ring(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The part of a ring within a box, as a ring: four cuts by half-planes, one after another.
+
+    A ring that the box cuts into several pieces stays one ring, whose pieces hang together along the box's sides.
+    """
+
+    def half(points: Column, axis: str, limit: Column, sign: int) -> Column:
+        other = "y" if axis == "x" else "x"
+
+        def step(a, b):
+            da, db = sign * (a[axis] - limit), sign * (b[axis] - limit)
+            share = da / F.nullif(da - db, F.lit(0.0))
+            meet = {axis: limit, other: a[other] + share * (b[other] - a[other])}
+            crossing = F.struct(meet["x"].cast("double").alias("x"), meet["y"].cast("double").alias("y"))
+            return F.filter(F.array(F.when(da >= 0, a), F.when((da >= 0) != (db >= 0), crossing)), lambda p: p.isNotNull())
+
+        return let(points, lambda q: F.flatten(F.zip_with(q, F.concat(F.slice(q, 2, F.size(q)), F.slice(q, 1, 1)), step)))
+
+    point = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    for axis, limit, sign in (("x", minx, 1), ("x", maxx, -1), ("y", miny, 1), ("y", maxy, -1)):
+        point = half(point, axis, limit, sign)
+    return point
+
+
 def number_of(digits: Column) -> Column:
     """The double of 16 hexadecimal digits, the sign first; NULL for infinities and what is no number."""
     part = F.conv(F.substring(digits, 4, 13), 16, 10).cast("long") / F.lit(2.0**52)

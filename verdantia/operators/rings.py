@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clip import area_within, holds
+from ..functions.clip import area_within, clip_ring, holds, let
+from ..functions.scalar import ring_area, ring_contains
 from .grid import CELL, X0, Y0
 
 EDGE = ("x1", "y1", "x2", "y2", "w")
@@ -135,3 +136,28 @@ def lattice(polygons: DataFrame, key: str, spacing: float) -> DataFrame:
     wide = F.transform(F.sequence(F.lit(1), F.size("xs"), F.lit(2)), lambda i: F.struct((F.get("xs", i) - F.get("xs", i - 1)).alias("wide"), ((F.get("xs", i) + F.get("xs", i - 1)) / 2).alias("x")))
     alone = xs.select(key, F.array_max(wide)["x"].alias("x"), "y")
     return points.unionByName(alone)
+
+
+def sized(ring: Column) -> Column:
+    """The area of a ring, whichever way it runs, about its first point."""
+    return let(ring, lambda q: F.when(F.size(q) < 3, 0.0).otherwise(F.abs(ring_area(F.transform(q, lambda p: F.struct((p["x"] - q[0]["x"]).alias("x"), (p["y"] - q[0]["y"]).alias("y")))))))
+
+
+def clip(polygons: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+    """polygons with the parts of their rings and holes within a box; those that have none are dropped."""
+    side = [F.lit(float(v)) for v in (minx, miny, maxx, maxy)]
+    within = lambda c: F.filter(F.transform(F.coalesce(c, F.array()), lambda r: clip_ring(r, *side)), lambda r: sized(r) > 0)
+    return polygons.withColumns({"rings": within("rings"), "holes": within("holes")}).filter(F.size("rings") > 0)
+
+
+def parts(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, part, part_id, rings, holes): a row for each outer ring, from 0, with the holes in it; empty rings are dropped.
+
+    Of rings within one another, a hole belongs to the smallest that holds its first point.
+    """
+    some = polygons.withColumns({"rings": F.filter("rings", lambda r: sized(r) > 0), "holes": F.filter(F.coalesce("holes", F.array()), lambda r: sized(r) > 0)})
+    held = lambda h: F.filter(F.transform("rings", lambda r, i: F.when(ring_contains(r, h[0]["x"], h[0]["y"]), F.struct(sized(r).alias("area"), i.alias("i")))), lambda s: s.isNotNull())
+    owned = F.transform("holes", lambda h: F.struct(F.array_min(held(h))["i"].alias("i"), h.alias("hole")))
+    each = some.withColumn("owned", owned).select(key, "owned", F.posexplode("rings").alias("part", "ring"))
+    mine = F.transform(F.filter("owned", lambda o: o["i"] == F.col("part")), lambda o: o["hole"])
+    return each.select(key, F.col("part").cast("long").alias("part"), F.concat_ws("_", F.col(key).cast("string"), F.col("part").cast("string")).alias("part_id"), F.array("ring").alias("rings"), mine.alias("holes"))

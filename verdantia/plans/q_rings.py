@@ -175,3 +175,30 @@ def set_overlap_pairs(v):
 def agg_dissolve_areas(v):
     """The area that the wards of each version cover together."""
     return V.dissolve(boxed(v.wards), "ward_id", "version").withColumn("area", F.round("area", 4))
+
+
+ROI = "SELECT 300500 AS minx, 2000500 AS miny, 302000 AS maxx, 2002000 AS maxy, 1 AS roi"
+
+
+@query(f""", roi AS ({ROI}), {shared("p", "feats", "feat_id", "roi", "roi")} SELECT feat_id, round(area, 4) AS area FROM p""")
+def vec_ring_clip(v):
+    """Notched and holed features cut by the region of interest, with the area that is left of them."""
+    cut = R.clip(shaped(v.feats).select("feat_id", "rings", "holes"), 300500, 2000500, 302000, 2002000)
+    return R.areas(cut, "feat_id").filter("area > 0.000001").select("feat_id", F.round("area", 4).alias("area"))
+
+
+@query(f"""SELECT area_id || '_0' AS part_id, round({WIDE} * {HIGH} * {LEFT} + 0.000001, 2) AS area FROM areas UNION ALL SELECT area_id || '_1', 1250.0::DOUBLE FROM areas""")
+def vec_ring_parts(v):
+    """Areas with a second part apart from them, one row for each part."""
+    p = lambda dx, dy: F.struct((F.col("maxx") + dx).cast("double").alias("x"), (F.col("maxy") + dy).cast("double").alias("y"))
+    two = shaped(v.areas).withColumn("rings", F.concat("rings", F.array(F.array(p(10, 10), p(60, 10), p(60, 60)))))
+    parts = R.parts(two, "area_id")
+    return R.areas(parts, "part_id").select("part_id", F.round(F.col("area") + 1e-6, 2).alias("area"))
+
+
+@query("SELECT min(feat_id) AS feat_id, count(*) AS copies FROM feats GROUP BY minx, miny, maxx, maxy")
+def set_dedupe_shapes(v):
+    """The first feature of each shape, compared as a whole by its WKT."""
+    wkt = F.format_string("POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))", *(F.col(c).cast("double") for c in ("minx", "miny", "maxx", "miny", "maxx", "maxy", "minx", "maxy", "minx", "miny")))
+    both = v.feats.withColumn("wkt", wkt)
+    return W.dedupe_first(both, ["wkt"], "feat_id").select("feat_id", "wkt").join(both.groupBy("wkt").agg(F.count("*").alias("copies")), "wkt").select("feat_id", "copies")
