@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -112,14 +113,32 @@ def test_clashing_columns_and_several_blocks(spark, monkeypatch):
         assert sorted(map(tuple, find(named).collect())) == sorted(map(tuple, find(plain).collect()))
 
 
-def test_large_components_do_not_overflow(spark):
-    rows = [(0, [1e30, 1.0], 0), (1, [1e30, -1e30], 0), (2, [-1e30, 1.0], 0), (3, [0.5, 2.0], 0)]
-    most = math.isqrt(2**61)
-    clip = lambda v: [max(-most, min(most, math.floor(256 * c))) for c in v]
-    x = {i: clip([float(np.float32(c)) for c in v]) for i, v, _ in rows}
+def integer_scores(rows):
+    """{(query, other): score} in unbounded integers, held to the ends of a long."""
+    x = {i: [math.floor(Fraction(float(np.float32(c))) * 256) for c in v] for i, v, _ in rows}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    return {(q, i): held(sum(a * b for a, b in zip(x[q], v))) for q in x if q % 50 == 0 for i, v in x.items() if i != q}
+
+
+@pytest.mark.parametrize("large", [1e6, 3e9, 1e14, 1e30])
+def test_large_components_are_exact(spark, large):
+    r = np.random.default_rng(7)
+    rows = [(0, [1.0] * 8, 0), (50, [large, *([-2.0] * 7)], 0), (100, [0.5, -large, *([0.25] * 6)], 0)]
+    rows += [(i, [float(v) for v in r.standard_normal(8) * (large if i % 9 == 1 else 1)], 0) for i in range(1, 49)]
+    want = integer_scores(rows)
     got = M.top_k(table(spark, rows)).collect()
-    want = sorted(((sum(a * b for a, b in zip(x[0], v)), -i) for i, v in x.items() if i), reverse=True)
-    assert [(r.score, -r.vec_id) for r in got] == want
+    for q in (0, 50, 100):
+        best = sorted(((s, -i) for (a, i), s in want.items() if a == q), reverse=True)[:5]
+        mine = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [s for _, s, _ in mine] == [s for s, _ in best]
+        if abs(best[0][0]) < 2**63 - 1:
+            assert [-i for _, _, i in mine] == [i for _, i in best]
+
+
+def test_reported_large_components(spark):
+    """One component of 2e6 and 1.5e6 against 64 ones: both scores fit a long."""
+    rows = [(0, [1.0] * 64, 0), (1, [2e6, *([0.0] * 63)], 0), (2, [1.5e6, *([0.0] * 63)], 0)]
+    assert [(r.vec_id, r.score) for r in M.top_k(table(spark, rows)).orderBy("rank").collect()] == [(1, 131_072_000_000), (2, 98_304_000_000)]
 
 
 def test_float_tables_cover_an_odd_number_of_codes(spark):

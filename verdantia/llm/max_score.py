@@ -9,11 +9,15 @@ best are merged.
 
 Vectors that are null, of another length than most, or hold null or non-finite components take no part; a repeated id
 counts once, at its best row; equal scores go to smaller ids; an empty table gives an empty result; other columns are
-ignored. Integers beyond the square root of 2**62 / dimensions (2**28 at 64) count as that, so that no score overflows.
+ignored. Scores are exact for components of any size: rows and queries with one beyond the square root of 2**62 / dimensions
+(2**28 at 64) are multiplied in unbounded integers, apart from the lists. A score that no long holds is shown, and ranked
+among others of the kind, as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +27,8 @@ from . import vectors as V
 from .common import cut
 
 SCALE, K = 256, 5
+#: The largest double, which components count as if their multiple by SCALE is beyond it.
+FAR = float(np.finfo(np.float64).max)
 #: Rows at the head of a query's strongest lists that set its first threshold.
 HEAD = 32
 
@@ -88,27 +94,57 @@ class Shard:
         return None if len(score) < k else int(np.partition(score, len(score) - k)[len(score) - k])
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """Integers of any size from doubles that hold whole numbers."""
+    return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+
+
+def large(x: np.ndarray) -> np.ndarray:
+    """Rows that may overflow 64 bits in a product with a row that isn't large itself."""
+    return (np.abs(x) > math.isqrt((1 << 62) // max(1, x.shape[1]))).any(axis=1) if len(x) else np.zeros(0, bool)
+
+
 def search(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
             ids = left.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            shard = Shard(ids[order], V.matrix(left.column("vec"))[order].astype(np.int64))
-            for q_id, q in zip(right.column("vec_id").to_numpy(), V.matrix(right.column("vec")).astype(np.int64)):
-                out += [(q_id, i, s) for i, s in shard.best(q_id, q, k)]
+            ids, x = ids[order], V.matrix(left.column("vec"))[order]
+            q_ids, q = right.column("vec_id").to_numpy(), V.matrix(right.column("vec"))
+            high, high_q = large(x), large(q)
+            shard = Shard(ids[~high], x[~high].astype(np.int64))
+            far, far_ids = whole(x[high]), ids[high]
+            near = None
+            for i, (q_id, row) in enumerate(zip(q_ids, q)):
+                if high_q[i]:
+                    near = whole(x[~high]) if near is None else near
+                    found = [*zip(shard.ids.tolist(), near @ whole(row[None])[0])]
+                else:
+                    found = shard.best(q_id, row.astype(np.int64), k)
+                if len(far):
+                    found = [*found, *zip(far_ids.tolist(), far @ whole(row[None])[0])]
+                out += [(q_id, j, s) for j, s in top(found, q_id, k)]
         cols = list(zip(*out)) if out else [[], [], []]
+        cols[2] = [max(-(1 << 63), min((1 << 63) - 1, s)) for s in cols[2]]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 
     return run
 
 
+def top(found: list[tuple[int, int]], q_id: int, k: int) -> list[tuple[int, int]]:
+    """The k best (id, score) of different ids but q_id."""
+    best: dict[int, int] = {}
+    for i, s in found:
+        if i != q_id and (i not in best or s > best[i]):
+            best[i] = int(s)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
 def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", step: int = 50, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, exactly."""
     rows = V.clean(df, key, vector, zero=True)
-    most = F.floor(F.sqrt(F.lit(2.0**62) / F.size("vec"))).cast("double")
-    whole = F.transform("vec", lambda v: F.greatest(F.least(F.floor(v * scale).cast("double"), most), -most))
-    rows = cut(rows.select("vec_id", whole.alias("vec")))
+    rows = cut(rows.select("vec_id", F.transform("vec", lambda v: F.when(F.abs(v) < 2.0**52, F.floor(v * scale).cast("double")).otherwise(F.greatest(F.least(v * scale, F.lit(FAR)), F.lit(-FAR)))).alias("vec")))
     return V.meet(rows, V.one_each(rows, step), search(k), k, "query_id long, vec_id long, score long", "desc")
 
 
