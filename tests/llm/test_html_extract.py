@@ -110,3 +110,33 @@ def test_malformed_tags():
     assert read("<table><tr><td>1<td><b>2<td>3<tr><td>4</table>5") == ["1", "2", "3", "4", "5"]
     assert read("<p>x<button>no</button>y<select><option>no</select>z") == ["x", "y", "z"]
     assert read('<svg/><p hidden>no</p><p style="display : none">no</p><p aria-hidden=true>no</p>yes') == ["yes"]
+
+
+def social(n, article, passage):
+    return (n, f"https://h.org/{n}", f"<html><body><nav>menu</nav><article><h1>Title {n}</h1><p>{article}</p><div class='social'>{passage}</div></article></body></html>")
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_short_prose_in_a_doubtful_part_of_the_article_stays(spark):
+    """However short it is: 102, 199 and 200 characters alike."""
+    for size in (20, 102, 199, 200):
+        rows = [social(n, f"Words of article number {n}. " * 20, f"{n} " + "x" * (size - 2)) for n in range(1, 4)]
+        found = texts(spark, rows)
+        assert all(found[n].endswith(f"{n} " + "x" * (size - 2)) for n in range(1, 4))
+
+
+def test_repeated_and_mirrored_pages_extract_as_one(spark):
+    passage = "A passage of the article itself. " * 9
+    page = social(1, "Words of the article. " * 20, passage)
+    alone = texts(spark, [page])[1]
+    assert alone.endswith(passage.strip())
+    assert texts(spark, [page] * 3) == {1: alone}
+    assert set(texts(spark, [(n, f"https://h.org/{n}", page[2] + f"<!-- {n} -->") for n in range(5)]).values()) == {alone}
+
+
+def test_what_stands_alike_on_different_pages_goes(spark):
+    rows = [social(n, f"Words of article number {n}. " * 20, "Share this with your friends") for n in range(1, 6)]
+    assert all("Share this" not in t and f"number {n}" in t for n, t in texts(spark, rows).items())

@@ -7,8 +7,9 @@ container counting half, gets the page's vote for its path. Spark counts the vot
 extracted again at its host's winning path; a page without text there uses its own container.
 
 Tags and words such as "comments" mark chrome for certain. Words that articles use too ("social", "related", "search")
-only raise a doubt, which the host's pages settle together: such a path is kept where its text mostly differs from page to
-page, is no list of links, and is long enough for prose.
+only raise a doubt, which the host's pages settle together: such a path is kept, however short its texts, where they mostly
+differ from page to page and are no list of links. Pages whose text outside doubtful parts is the same count as one there, so
+repeated rows and mirrored pages don't make a passage look like chrome.
 
 Null or empty html gives an empty text; a null url is a host of its own; an unclosed tag or comment runs to the end of its
 parent or page; equal votes go to the higher score, then the smaller path; repeated rows are extracted row by row; very
@@ -32,7 +33,7 @@ from .common import cut, short_batches
 
 #: Hosts whose winners are broadcast at most (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
-#: Characters outside links that a doubtful container has on an average page, if it is to be prose.
+#: Characters outside links from which a doubtful container counts in its own page's vote.
 PROSE = 200
 # Tags by what they do, and words of classes, ids and roles that mark chrome.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,7 +244,7 @@ def prose(own, links) -> bool:
     return own >= PROSE and 2 * links <= own
 
 
-VOTE = "host string, path long, doubtful boolean, score double, own long, links long, digest long"
+VOTE = "host string, path long, doubtful boolean, score double, own long, links long, digest long, page long"
 
 
 def vote(batches):
@@ -254,10 +255,13 @@ def vote(batches):
             doubts = page.doubts()
             node, score = page.best(page.closed(lambda i: prose(*doubts[i][:2])))  # noqa: B023
             if score > 0:
-                out.append((host, page.nodes[node][0], False, score, None, None, None))
-            out += [(host, page.nodes[i][0], True, 0.0, *x) for i, x in doubts.items()]
-        types = [pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], [f.split()[0] for f in VOTE.split(", ")])
+                out.append((host, page.nodes[node][0], False, score, None, None, None, None))
+            if doubts:
+                plain = page.closed(lambda i: False)
+                same = path_of(0, " ".join(t for at, t, _ in page.blocks if not plain[at]))
+                out += [(host, page.nodes[i][0], True, 0.0, *x, same) for i, x in doubts.items()]
+        types = [pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], [f.split()[0] for f in VOTE.split(", ")])
 
 
 def extract_at(batches):
@@ -280,9 +284,10 @@ def winners(pages: DataFrame) -> DataFrame:
     counted = votes.filter("not doubtful").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.floor("score")).alias("score"))
     first = F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path"))
     won = counted.withColumn("first", first).filter("first = 1").select("host", "path")
-    texts = votes.filter("doubtful").groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.sum("links").alias("links"))
+    once = votes.filter("doubtful").dropDuplicates(["host", "path", "digest", "page"])
+    texts = once.groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.sum("links").alias("links"))
     doubts = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("own").alias("own"), F.sum("links").alias("links"))
-    kept = doubts.filter((2 * F.col("texts") >= F.col("n")) & (F.col("own") >= PROSE * F.col("n")) & (2 * F.col("links") <= F.col("own")))
+    kept = doubts.filter((2 * F.col("texts") >= F.col("n")) & (F.col("own") > 0) & (2 * F.col("links") <= F.col("own")))
     return won.join(kept.groupBy("host").agg(F.collect_list("path").alias("kept")), "host", "full_outer")
 
 
