@@ -8,8 +8,8 @@ extracted again at its host's winning path; a page without text there uses its o
 
 Tags and words such as "comments" mark chrome for certain. Words that articles use too ("social", "related", "search")
 only raise a doubt, which the host's pages settle together: such a path is kept, however short its texts, where they mostly
-differ from page to page and are no list of links. Pages whose text outside doubtful parts is the same count as one there, so
-repeated rows and mirrored pages don't make a passage look like chrome.
+differ from page to page and are no list of links. Rows of equal address and plain text count as one page there, so repeated
+rows don't make a passage look like chrome; what several addresses of a host repeat does.
 
 Null or empty html gives an empty text; a null url is a host of its own; an unclosed tag or comment runs to the end of its
 parent or page; equal votes go to the higher score, then the smaller path; repeated rows are extracted row by row; very
@@ -250,7 +250,7 @@ VOTE = "host string, path long, doubtful boolean, score double, own long, links
 def vote(batches):
     for batch in batches:
         out = []
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, source, place in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(source or "")
             doubts = page.doubts()
             node, score = page.best(page.closed(lambda i: prose(*doubts[i][:2])))  # noqa: B023
@@ -258,7 +258,7 @@ def vote(batches):
                 out.append((host, page.nodes[node][0], False, score, None, None, None, None))
             if doubts:
                 plain = page.closed(lambda i: False)
-                same = path_of(0, " ".join(t for at, t, _ in page.blocks if not plain[at]))
+                same = path_of(place, " ".join(t for at, t, _ in page.blocks if not plain[at]))
                 out += [(host, page.nodes[i][0], True, 0.0, *x, same) for i, x in doubts.items()]
         types = [pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], [f.split()[0] for f in VOTE.split(", ")])
@@ -280,7 +280,7 @@ def extract_at(batches):
 
 def winners(pages: DataFrame) -> DataFrame:
     """(host, path, kept): the path with the most votes, and the doubtful paths that hold prose."""
-    votes = cut(pages.select("host", "source").mapInArrow(vote, VOTE))
+    votes = cut(pages.select("host", "source", "place").mapInArrow(vote, VOTE))
     counted = votes.filter("not doubtful").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.floor("score")).alias("score"))
     first = F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path"))
     won = counted.withColumn("first", first).filter("first = 1").select("host", "path")
@@ -295,7 +295,7 @@ def extract(pages: DataFrame, source: str = "html", url: str = "url") -> DataFra
     """pages without their html, with text and n_chars."""
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^[^@]*@|:\d+$", ""))
     rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars") and c != source]
-    rows = short_batches(pages).select(F.struct(*rest).alias("rest"), host.alias("host"), F.col(source).alias("source"))
+    rows = short_batches(pages).select(F.struct(*rest).alias("rest"), host.alias("host"), F.col(source).alias("source"), F.xxhash64(url).alias("place"))
     won = cut(winners(rows))
     if won.count() <= BROADCAST_ROWS:
         won = F.broadcast(won)
