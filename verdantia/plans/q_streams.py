@@ -10,30 +10,23 @@ from .catalog import query
 from .q_windows import COUNTED, DECIDED
 
 
-def event_stream(v, extra: tuple = ()):
-    """The activity view written as files and read as a stream, in time order."""
+def event_stream(v, extra: tuple = (), ends: str = ""):
+    """The activity view written as files and read as a stream, in time order.
+
+    ends: an interval after the last event at which a row without a key comes, so that the watermark closes all before it.
+    """
     made = v.activity.withColumns(dict(extra)) if extra else v.activity
+    if ends:
+        made = made.unionByName(made.agg((F.max("ts") + F.expr(f"interval {ends}")).alias("ts")), allowMissingColumns=True)
     return A.replay(made, scratch(v.spark, "events"))
 
 
 @query("""SELECT user_id, event_type, entity, arg_min(event_id, ts) AS event_id, count(*) AS merged FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type, entity ORDER BY ts, event_id) AS s FROM
 (SELECT *, CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 21600000000 THEN 1 ELSE 0 END AS fresh FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type, entity ORDER BY ts, event_id) AS prev FROM activity WHERE entity IS NOT NULL) a) b) c GROUP BY user_id, event_type, entity, s""")
 def stm_activity_dedup(v):
-    """Complete mode shows open sessions too; the gap is six hours, as in the batch twin."""
-    return run_complete(v, A.dedup_sessions(event_stream(v), ["user_id", "event_type", "entity"], 21600, "40 days")).select("user_id", "event_type", "entity", "event_id", "merged")
-
-
-def run_complete(v, df):
-    """Run an aggregate stream to its end and return its last state."""
-    out = scratch(v.spark, "complete")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:06d}")
-
-    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    found = v.spark.read.parquet(out)
-    return found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
+    """Sessions leave the state as they close; the gap is six hours, as in the batch twin."""
+    stream = event_stream(v, ends="2 days")
+    return A.run_now(A.dedup_sessions(stream, ["user_id", "event_type", "entity"], 21600, "1 hour"), "sessions").select("user_id", "event_type", "entity", "event_id", "merged")
 
 
 @query(DECIDED)
@@ -65,6 +58,8 @@ def stm_event_validate(v):
     return rows.groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM activity GROUP BY 1")
+@query("SELECT date_trunc('month', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM activity GROUP BY 1")
 def stm_scene_monthly(v):
-    return run_complete(v, A.windowed_counts(event_stream(v), "value")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    """The stream keeps a day's sums until the day is over; months are sums of its closed days."""
+    daily = A.run_now(A.windowed_counts(event_stream(v, ends="3 days"), "value", late="1 hour"), "daily")
+    return A.by_month(daily).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))

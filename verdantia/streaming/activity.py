@@ -54,7 +54,8 @@ def dedup_sessions(events: DataFrame, keys: list[str], seconds: int, late: str =
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     marked = events.withWatermark("ts", late)
-    merged = marked.filter(whole).groupBy(*keys, F.session_window("ts", STRICT_GAP.format(us=us))).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("last_ts"), F.count("*").alias("merged"))
+    # one condition with ts: rows without a key still move the watermark on, as the filter can't go below it
+    merged = marked.filter(F.when(F.col("ts").isNotNull(), whole)).groupBy(*keys, F.session_window("ts", STRICT_GAP.format(us=us))).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("last_ts"), F.count("*").alias("merged"))
     return merged.select(*keys, "event_id", "last_ts", "merged")
 
 
@@ -128,3 +129,8 @@ def validated(events: DataFrame, good: str, bad: str, types: tuple = ACTIVITY_TY
 def windowed_counts(scenes: DataFrame, value: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     g = scenes.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("window.start").alias("start"), "n", "total")
+
+
+def by_month(daily: DataFrame) -> DataFrame:
+    """(start, n, total) of the months of closed daily windows."""
+    return daily.groupBy(F.date_trunc("month", "start").alias("start")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
