@@ -19,9 +19,9 @@ def features_json(v):
 
 @query("SELECT unit_id, segment, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM units")
 def src_geojson_collection(v):
-    """One collection file for each hundred features, written and read back."""
+    """One collection file for each ten thousand features, written and read back."""
     path = io.scratch(v.spark, "geojson")
-    whole = features_json(v).groupBy(F.floor(F.col("c_custkey") / 100)).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")).select("value")
+    whole = features_json(v).groupBy(F.floor(F.col("c_custkey") / 10_000)).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")).select("value")
     whole.write.option("maxRecordsPerFile", 1).text(path)
     return io.read_geojson_collection(v.spark, path, "unit_id:string,segment:string").select("unit_id", "segment", F.col("geometry.coordinates")[0].alias("x"), F.col("geometry.coordinates")[1].alias("y"))
 
