@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from verdantia.functions import clip as C
 from verdantia.functions import scalar as S
 from verdantia.operators import planting as P
-from verdantia.operators import scoring, spatial
+from verdantia.operators import rate, scoring, spatial
 from verdantia.operators import windows as W
 from verdantia.sources import io
 
@@ -141,7 +141,7 @@ def test_allocation_conserves(spark):
 def test_rate_limit_windows(spark):
     rows = [("u", i, s) for i, s in enumerate((0, 10, 20, 60, 61))]
     df = spark.createDataFrame(rows, "k string, event_id long, s int").withColumn("ts", F.timestamp_seconds("s"))
-    got = [(r.allowed, r.retry_after) for r in W.fixed_window_counter(df, "k", "ts", 2, 60).orderBy("event_id").collect()]
+    got = [(r.allowed, r.retry_after) for r in rate.fixed_window_counter(df, "k", "ts", 2, 60).orderBy("event_id").collect()]
     assert got == [(True, 0), (True, 0), (False, 40), (False, 1), (True, 0)]
 
 
@@ -153,7 +153,7 @@ def test_rate_limit_stream_decides_every_request(spark):
 
     rows = spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7919 % 600 * 3600).alias("ts")).repartition(12)
     decided = activity.run_now(activity.rate_limit(event_stream(SimpleNamespace(spark=spark, activity=rows)), "user_id", 2, 86400), "limits")
-    want = W.fixed_window_counter(rows, "user_id", "ts", 2, 86400)
+    want = rate.fixed_window_counter(rows, "user_id", "ts", 2, 86400)
     assert sorted(map(tuple, decided.collect())) == sorted(map(tuple, want.select(decided.columns).collect()))
 
 

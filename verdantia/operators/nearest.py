@@ -16,10 +16,8 @@ from ..sources.io import written
 from .grid import CELL, X0, Y0
 from .rings import under_edges
 
-#: Cells of the topmost level, at most; every cell of points is held against each of them. And the step between levels.
-TOP, STEP = 64, 4
-#: Cells of a level that are broadcast, at most (about 40 bytes each); beyond, levels are joined by shuffle.
-BROADCAST_CELLS = 100_000
+#: Cells along a side of the topmost level, at most; every cell of points is held against all of them. And the step between levels.
+TOP_SIDE, STEP = 8, 4
 
 
 def segment_distance(x, y, p: str = ""):
@@ -33,15 +31,15 @@ def segment_distance(x, y, p: str = ""):
 
 def candidates(places: DataFrame, occupied: DataFrame, size: float) -> DataFrame:
     """(px, py, cx, cy): for each cell of points, the occupied cells of the lowest level that may hold its nearest segment."""
+    ends = occupied.agg(*(f(c) for c in ("cx", "cy") for f in (F.min, F.max))).first()
     levels = [occupied]
-    while levels[-1].count() > TOP:  # ends: quotients end in the four cells at the origin
-        levels.append(written(levels[-1].select(*(F.floor(F.col(c) / STEP).alias(c) for c in ("cx", "cy"))).distinct()))
-    near = places.crossJoin(F.broadcast(levels[-1]))  # TOP cells at most
+    while any(hi // STEP ** (len(levels) - 1) - lo // STEP ** (len(levels) - 1) >= TOP_SIDE for lo, hi in (ends[:2], ends[2:])):
+        levels.append(levels[-1].select(*(F.floor(F.col(c) / STEP).alias(c) for c in ("cx", "cy"))).distinct())
+    near = places.crossJoin(F.broadcast(levels[-1]))  # TOP_SIDE * TOP_SIDE cells at most
     for level in range(len(levels) - 1, -1, -1):
         wide = size * STEP**level
         if level < len(levels) - 1:
             below = levels[level].select("cx", "cy", F.floor(F.col("cx") / STEP).alias("ux"), F.floor(F.col("cy") / STEP).alias("uy"))
-            below = F.broadcast(below) if levels[level].count() <= BROADCAST_CELLS else below
             near = near.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(below, ["ux", "uy"]).select("px", "py", "cx", "cy")
         side = lambda p, c: (F.col(p) * size, (F.col(p) + 1) * size, F.col(c) * wide, (F.col(c) + 1) * wide)  # noqa: B023, E731
         gap, far = [], []
@@ -61,9 +59,9 @@ def nearest_distance(points: DataFrame, lines: DataFrame, key: str, size: float
     at = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     touched = under_edges(lines, size, X0, Y0)
     cells = written(touched.select("x1", "y1", "x2", "y2", F.explode(F.sequence(F.ceil((F.col("xa") - X0) / size) - 1, F.floor((F.col("xb") - X0) / size))).alias("cx"), "cy"))
-    occupied = written(cells.select("cx", "cy").distinct())
+    occupied = cells.select("cx", "cy").distinct()
     nowhere = at.filter(~there).select(key, F.lit(None).cast("double").alias("distance"))
-    if occupied.isEmpty():
+    if cells.isEmpty():
         return nowhere.unionByName(at.filter(there).select(key, F.lit(-1.0).alias("distance")))
     placed = written(at.filter(there).withColumns({"px": F.floor((F.col("x") - X0) / size), "py": F.floor((F.col("y") - Y0) / size)}))
     near = candidates(placed.select("px", "py").distinct(), occupied, size)

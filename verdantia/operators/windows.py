@@ -32,6 +32,8 @@ def prefix_sum(df: DataFrame, lead: str, value: str, ties: tuple = (), descendin
     base = written(df)
     order = [F.col(lead).desc() if descending else F.col(lead).asc(), *ties]
     ranges = max(1, -(-base.count() // rows))
+    if ranges == 1:  # a single range of at most `rows` rows
+        return base.withColumn(name, F.sum(value).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
     cut = written(base.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
     sums = cut.groupBy("_p").agg(F.sum(value).alias("_b"))
     kind = sums.schema["_b"].dataType
