@@ -59,30 +59,38 @@ class Direction:
         return np.stack(states, axis=1), seen
 
     def steps(self, x: np.ndarray, mask: np.ndarray):
-        """The state after each step of x (steps, rows), as in forward(); sigmoid(a) = (1 + tanh(a / 2)) / 2."""
+        """The state after each step of x (steps, rows), as in forward().
+
+        Gates by exponentials, which numpy computes in less than half the time of tanh: a gate of -a is 1 / (1 + exp(a)), and
+        tanh(a / 2) is 1 - 2 / (1 + exp(a)). An exponential that overflows gives the limit.
+        """
         h = HIDDEN
-        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
-        look = (self.look + self.bias) * half
+        sign = np.repeat(np.array([-1, -1, 2], np.float32), h)
+        look, back = (self.look + self.bias) * sign, self.back * sign
         look_z, look_r, look_n = (np.ascontiguousarray(look[:, i * h : i * h + h]) for i in range(3))
-        back_z, back_r, back_n = (np.ascontiguousarray(self.back[:, i * h : i * h + h]) / 2 for i in range(3))
+        back_z, back_r, back_n = (np.ascontiguousarray(back[:, i * h : i * h + h]) for i in range(3))
         state = np.zeros((x.shape[1], h), np.float32)
+        r, n, z, part = (np.empty_like(state) for _ in range(4))
         whole = mask.all(axis=1)
-        for t in range(len(x)):  # gates apart, each without gaps in memory; r and z are doubled, which back_n and 0.5 undo
-            r = look_r.take(x[t], axis=0)
-            r += state @ back_r
-            np.tanh(r, out=r)
-            r += 1
-            r *= state
-            n = look_n.take(x[t], axis=0)
-            n += r @ back_n
-            np.tanh(n, out=n)
-            n -= state
-            z = look_z.take(x[t], axis=0)
-            z += state @ back_z
-            np.tanh(z, out=z)
-            z += 1
-            n *= z
-            n *= 0.5
+        for t in range(len(x)):  # gates apart, each without gaps in memory
+            with np.errstate(over="ignore"):
+                look_r.take(x[t], axis=0, out=r, mode="clip")
+                r += np.matmul(state, back_r, out=part)
+                np.exp(r, out=r)
+                r += 1
+                np.divide(state, r, out=r)
+                look_n.take(x[t], axis=0, out=n, mode="clip")
+                n += np.matmul(r, back_n, out=part)
+                np.exp(n, out=n)
+                n += 1
+                np.divide(-2, n, out=n)
+                n += 1
+                n -= state
+                look_z.take(x[t], axis=0, out=z, mode="clip")
+                z += np.matmul(state, back_z, out=part)
+                np.exp(z, out=z)
+                z += 1
+                n /= z
             if not whole[t]:
                 n *= mask[t, :, None]
             state += n
