@@ -6,14 +6,14 @@ equal chunks wherever they stand, and every phrase of up to WINDOW + 1 words lie
 and is counted there only. Distinct chunks form the dictionary, with their frequency in the parse; phrases are counted inside
 the dictionary's chunks, weighted by it.
 
-Words are counted first, then pairs of words that are both frequent enough, then longer phrases of which all pairs are: a phrase
-is no more frequent than its parts. Membership is asked of a bitmap of hashed phrases, which may let a phrase through that
-will be dropped by its exact count, but never stops one. Its size follows the number of frequent phrases up to a bound;
-beyond, it stops less and the counts stay the same.
+Words are counted first, then the keys of pairs of words that are both frequent enough, then all longer phrases of which every
+pair's key is: a phrase is no more frequent than its parts. Equal pairs have equal keys, so a key is no rarer than its pair.
+Membership is asked of a bitmap of hashed keys, which may let a phrase through that will be dropped by its exact count, but never
+stops one. Its size follows the number of frequent keys up to a bound; beyond, it stops less and the counts stay the same.
 
 Null text is empty and null language 'und'; equal rows are separate documents; texts are parsed whole, in blocks of a few MB or
 one long text (a long text without starts is one chunk); phrases with equal score and count are ranked by their bytes; an
-empty table gives an empty result; other columns are ignored. Phrases are compared as strings, so that hashes decide nothing.
+empty table gives an empty result; other columns are ignored. Counts are of strings, so that hashes decide nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\v\f\r"]] = True
 WORD = ~BREAK
 WORD[[*b" \t"]] = False
-#: Bits of a bitmap of phrases: FEW to MANY (128 MB), about SPARE for each phrase.
+#: Bytes of chunks in which equal phrases are added up before they leave Python.
+BLOCK = 4 << 20
+#: Bits of a bitmap of keys: FEW to MANY (128 MB), about SPARE for each key.
 FEW, MANY, SPARE = 20, 30, 32
 #: Fixed value: an odd multiplier that tells the places of a phrase apart.
 PLACE = U64(0xD6E8FEB86659FD93)
@@ -82,50 +84,81 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "owned", "chunk").agg(F.count("*").alias("freq"))
 
 
-def counts(sizes: tuple[int, ...], parts, bits: int):
-    """(lang, phrase, f) of the phrases of `sizes` words in every block of chunks, once for each distinct one.
+def asked(parts, bits: int):
+    """Whether keys are in the broadcast bitmap `parts`."""
+    there = np.frombuffer(parts.value, np.uint8)
+
+    def known(key: np.ndarray) -> np.ndarray:
+        at = (key >> U64(64 - bits)).astype(np.int64)
+        return (there[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return known
+
 
-    parts: None, or a broadcast bitmap of keys. It holds all frequent words where sizes is (2,), else all frequent pairs.
+def placed(rows, buf: np.ndarray, off: np.ndarray):
+    """Of a block of chunks: (start, end, row, code, distinct words, lang code, langs, freq, mine, tied) of its words.
+
+    mine: the word starts phrases here; tied: no piece ends between a word and the next.
     """
+    s, e, row = runs(WORD[buf], off)
+    code, distinct = coded(buf, s, e)
+    lang, langs = codes(rows.column("lang"))
+    freq, owned = (rows.column(c).to_numpy().astype(np.int64) for c in ("freq", "owned"))
+    mine = np.arange(len(s)) - np.searchsorted(row, np.arange(len(off) - 1))[row] < owned[row]
+    ends = np.cumsum(np.append(0, BREAK[buf]).astype(np.int32))
+    tied = (row[1:] == row[:-1]) & (ends[s[1:]] == ends[e[:-1]])
+    return s, e, row, code, distinct, lang[row], langs, freq[row], mine, tied
+
+
+def added(name: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct name, the sum of freq where it stands)."""
+    order = np.argsort(name, kind="stable")
+    new = np.flatnonzero(np.append(True, name[order[1:]] != name[order[:-1]]))
+    return order[new], np.add.reduceat(freq[order], new)
+
+
+def pair_counts(parts, bits: int):
+    """(key, f) of the pairs of frequent words in every block of chunks; parts: a bitmap of frequent words."""
 
     def run(batches):
-        there = None if parts is None else np.frombuffer(parts.value, np.uint8)
+        known = asked(parts, bits)
+        for rows, buf, off in blocks(batches, "chunk", BLOCK):
+            _, _, _, code, distinct, lang, langs, freq, mine, tied = placed(rows, buf, off)
+            key, lang_key = keys_of(distinct)[code], keys_of(pa.array(langs, pa.string()))[lang]
+            one = known(joined([key], lang_key))
+            at = np.flatnonzero(mine[:-1] & tied & one[:-1] & one[1:]) if len(code) > 1 else np.zeros(0, np.int64)
+            if len(at):
+                pair = joined([key[at], key[at + 1]], lang_key[at])
+                spot, f = added(pair, freq[at])
+                yield pa.record_batch([pa.array(pair[spot].view(np.int64)), pa.array(f)], ["key", "f"])
+
+    return run
 
-        def known(key):
-            at = (key >> U64(64 - bits)).astype(np.int64)
-            return (there[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-        for rows, buf, off in blocks(batches, "chunk"):
-            s, e, row = runs(WORD[buf], off)
+def counts(sizes: tuple[int, ...], parts, bits: int):
+    """(lang, phrase, f) of the phrases of `sizes` words in every block of chunks, once for each distinct one.
+
+    parts: None, or a bitmap that holds all frequent pairs.
+    """
+
+    def run(batches):
+        known = None if parts is None else asked(parts, bits)
+        for rows, buf, off in blocks(batches, "chunk", BLOCK):
+            s, e, row, code, distinct, lang, langs, freq, mine, tied = placed(rows, buf, off)
             m = len(s)
             if not m:
                 continue
-            code, distinct = coded(buf, s, e)
-            lang, langs = codes(rows.column("lang"))
-            lang = lang[row]
-            freq, owned = (rows.column(c).to_numpy().astype(np.int64) for c in ("freq", "owned"))
-            head = np.searchsorted(row, np.arange(len(off) - 1))
-            mine = np.arange(m) - head[row] < owned[row]
-            ends = np.cumsum(np.append(0, BREAK[buf]))
-            tied = (row[1:] == row[:-1]) & (ends[s[1:]] == ends[e[:-1]])  # no piece ends between a word and the next
-            if there is not None:
+            if known is not None:
                 key, lang_key = keys_of(distinct)[code], keys_of(pa.array(langs, pa.string()))[lang]
-                if sizes == (2,):
-                    one = known(joined([key], lang_key))
-                    tied &= one[:-1] & one[1:]
-                else:
-                    pair = np.flatnonzero(tied)
-                    tied[pair] = known(joined([key[pair], key[pair + 1]], lang_key[pair]))
-            ok, name, n = mine, lang * len(distinct) + code, 1  # name: equal where the first n words and language are
+                pair = np.flatnonzero(tied)
+                tied[pair] = known(joined([key[pair], key[pair + 1]], lang_key[pair]))
+            ok, name = mine, lang * len(distinct) + code  # name: equal where the first words and language are
             for size in range(1, max(sizes) + 1):
                 if size > 1:
                     at = np.flatnonzero(ok[: m - size + 1] & tied[size - 2 :])
                     ok = np.zeros(m, bool)
                     ok[at] = True
-                    if size > 2:
-                        _, short = np.unique(name[at], return_inverse=True)
-                    else:
-                        short = name[at]
+                    short = name[at] if size == 2 else np.unique(name[at], return_inverse=True)[1]
                     name = np.full(m, -1, np.int64)
                     name[at] = short * len(distinct) + code[at + size - 1]
                 if size not in sizes:
@@ -133,9 +166,8 @@ def counts(sizes: tuple[int, ...], parts, bits: int):
                 at = np.flatnonzero(ok)
                 if not len(at):
                     break
-                at = at[np.argsort(name[at], kind="stable")]
-                new = np.flatnonzero(np.append(True, name[at[1:]] != name[at[:-1]]))
-                f, at = np.add.reduceat(freq[row[at]], new), at[new]
+                spot, f = added(name[at], freq[at])
+                at = at[spot]
                 yield pa.record_batch([pa.array(langs, pa.string()).take(pa.array(lang[at])), phrases(buf, s, e, at, size), pa.array(f)], ["lang", "phrase", "f"])
 
     return run
@@ -158,34 +190,25 @@ def phrases(buf: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, n: in
     return strings(data[keep], out[::n] - np.arange(len(at) + 1))
 
 
-def frequent(chunks: DataFrame, least: int, sizes: tuple[int, ...], known: DataFrame | None = None) -> DataFrame:
-    """(lang, phrase, f) of the phrases of `sizes` words with f of `least` at least; known: those of one word, or of two."""
-    held, bits = bitmap(known) if known is not None else (None, 0)
-    found = chunks.mapInArrow(counts(sizes, held, bits), "lang string, phrase string, f long")
+def frequent(chunks: DataFrame, least: int, sizes: tuple[int, ...], known=(None, 0)) -> DataFrame:
+    """(lang, phrase, f) of the phrases of `sizes` words with f of `least` at least; known: a bitmap of pairs and its bits."""
+    found = chunks.mapInArrow(counts(sizes, *known), "lang string, phrase string, f long")
     return cut(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
 
 
-def phrase_keys(batches):
+def word_keys(batches):
     for b in batches:
         if b.num_rows:
-            lang, phrase = (keys_of(b.column(0).cast(pa.string())), b.column(1).cast(pa.string()))
-            off = np.frombuffer(phrase.buffers()[1], np.int32)[phrase.offset : phrase.offset + len(phrase) + 1].astype(np.int64)
-            buf = np.frombuffer(phrase.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-            s, e, row = runs(WORD[buf], off - off[0])
-            code, distinct = coded(buf, s, e)
-            key = keys_of(distinct)[code]
-            n = len(key) // len(phrase)  # all of a call have as many words
-            yield pa.record_batch([pa.array(joined([key[i::n] for i in range(n)], lang).view(np.int64))], ["key"])
+            lang, word = (keys_of(c.cast(pa.string())) for c in b.columns)
+            yield pa.record_batch([pa.array(joined([word], lang).view(np.int64))], ["key"])
 
 
-def bitmap(known: DataFrame):
+def bitmap(keys: DataFrame):
     """(broadcast bitmap, bits of a key that place it): built by partial aggregates of 4 kB each, at most 2**MANY bits."""
-    spark = known.sparkSession
-    bits = min(MANY, max(FEW, int(known.count() * SPARE).bit_length()))
-    place = F.shiftrightunsigned("key", 64 - bits)
-    keys = known.select("lang", "phrase").mapInArrow(phrase_keys, "key long").select(place.alias("at"))
-    bucket = F.bitmap_bucket_number(F.col("at") + 1)
-    made = keys.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    spark = keys.sparkSession
+    bits = min(MANY, max(FEW, int(keys.count() * SPARE).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - bits) + 1
+    made = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray(1 << bits >> 3)
     for r in made.toLocalIterator():
         first = (r.bucket - 1) * 4096
@@ -219,9 +242,10 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text"
     chunks = cut(dictionary(short_batches(docs)))
     totals = cut(chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("freq")).alias("n")))
     one = frequent(chunks, least, (1,))
-    two = frequent(chunks, least, (2,), one)
-    more = frequent(chunks, least, tuple(range(3, LONGEST + 1)), two)
-    return scored(one.unionByName(two).unionByName(more), totals, top)
+    words = bitmap(one.select("lang", "phrase").mapInArrow(word_keys, "key long"))
+    pairs = cut(chunks.mapInArrow(pair_counts(*words), "key long, f long").groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("key"))
+    more = frequent(chunks, least, tuple(range(2, LONGEST + 1)), bitmap(pairs))
+    return scored(one.unionByName(more), totals, top)
 
 
 ORACLE = r"""
