@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from verdantia.llm import suffix_dedup as S
@@ -93,3 +95,32 @@ def test_long_text_in_pieces(spark, monkeypatch):
     got = np.concatenate(list(S.of_texts(np.arange(3), np.frombuffer(b"".join(texts), np.uint8), off, 200, 64)))
     spans = {(int(x["rid"]), p) for x in got for p in range(x["lo"], x["hi"] + 1)}
     assert spans == {(i, p) for i, x in enumerate(texts) for p in range(len(x) - 199)}
+
+
+def mapped(texts, n):
+    """What map_anchors sends: (bytes of anchors by bucket, runs)."""
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["rid", "body"])
+    sizes, runs = np.zeros(n, np.int64), []
+    for r in pa.Table.from_batches(S.map_anchors(200, 64, n)(iter([batch]))).to_pylist():
+        if r["kind"] == S.BLOB:
+            sizes[r["bucket"]] += len(r["data"])
+        else:
+            runs.append((r["rid"], r["lo"], r["hi"]))
+    return sizes, runs
+
+
+def test_anchors_fill_all_buckets():
+    r = random.Random(11)
+    sizes, _ = mapped([r.randbytes(20_000) for _ in range(60)], 100)
+    assert sizes.sum() > 10_000 * S.ANCHOR.itemsize and sizes.max() < 2 * sizes.mean() and sizes.min() > 0
+
+
+def test_runs_that_touch_leave_as_one():
+    r = random.Random(12)
+    a, b = r.randbytes(5000), r.randbytes(3000)
+    _, runs = mapped([a, a, b[:1000] + a + b[1000:], b], 7)
+    # a twice as a whole; the third text holds a between the two parts of b, the fourth these parts alone
+    assert {x for x in runs if x[0] < 2} == {(0, 0, 4800), (1, 0, 4800)} and len(runs) == 7
+    x = np.zeros(6, S.ANCHOR)
+    x["rid"], x["lo"], x["hi"] = [5, 5, 5, 5, -3, 5], [10, 0, 0, 30, 0, 4], [20, 9, 9, 40, 2, 6]
+    assert [(int(y["rid"]), int(y["lo"]), int(y["hi"])) for y in S.joined(x)] == [(-3, 0, 2), (5, 0, 20), (5, 30, 40)]

@@ -226,6 +226,17 @@ def classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return x, first, count, np.bincount(g)[g] if len(g) else g
 
 
+def joined(x: np.ndarray) -> np.ndarray:
+    """Records whose runs hold the same windows: those of a row that touch or overlap are one, of copies of a row too."""
+    x = x[np.lexsort((x["lo"], x["rid"]))]
+    row = np.append(0, np.cumsum(x["rid"][1:] != x["rid"][:-1])) << 32
+    end = np.maximum.accumulate(row + x["hi"])
+    first = np.flatnonzero(np.append(True, row[1:] + x["lo"][1:] > end[:-1] + 1))
+    out = x[first]
+    out["hi"] = (end - row)[np.append(first[1:], len(x)) - 1]
+    return out
+
+
 OUT = "kind byte, bucket int, rid long, kh long, a int, lo int, hi int, data binary"
 NAMES = [f.split()[0] for f in OUT.split(", ")]
 TYPES = [pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -250,9 +261,11 @@ def map_anchors(length: int, k: int, n: int):
         again = np.repeat(count > 1, count)
         x["done"] = again
         if again.any():
-            yield records(RUN, x[again], C.bucket_of(C.mix(x["rid"][again].view(C.U64)), n))
+            one = joined(x[again])
+            yield records(RUN, one, C.bucket_of(C.mix(one["rid"].view(C.U64)), n))
         x = x[first]
-        yield blobs(list(C.packed(C.bucket_of(x["kh"], n), x, n)))
+        # anchors are minima, so nearly all of their hashes are small: mixed again, they fill all buckets alike
+        yield blobs(list(C.packed(C.bucket_of(C.mix(x["kh"]), n), x, n)))
 
     def run(batches):
         held, size = [], 0
