@@ -1,8 +1,10 @@
 import math
+import time
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,41 @@ def test_float_tables_cover_an_odd_number_of_codes(spark):
     want = exact_nearest([(i, np.array(v)) for i, v, _ in rows], 100, 10)
     got = A.nearest(table(spark, rows)).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q, near in want.items() for i, _ in near}
+
+
+def block(ids, x):
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "vec": pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))})
+
+
+def by_products(ids, x, q_ids, q, k):
+    out = []
+    for q_id, row in zip(q_ids, q):
+        best = {}
+        for i, s in zip(ids.tolist(), (x @ row).tolist()):
+            if i != q_id:
+                best[i] = max(s, best.get(i, s))
+        out += [(int(q_id), i, s) for i, s in sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("size,share,n,k", [(40, 1, 900, 5), (40, 0.03, 900, 5), (40, 0.2, 900, 60), (1 << 27, 1, 900, 5), (1 << 27, 0.1, 900, 5), (3, 1, 7, 5), (1, 0.01, 400, 5)])
+def test_long_and_short_lists_in_batches(size, share, n, k):
+    """Doubles and 64-bit integers, dense and sparse vectors, ties, repeated ids, queries in none of the rows."""
+    r = np.random.default_rng(n + k)
+    x = np.rint(r.standard_normal((n, 24)).clip(-2, 2) * size / 2).astype(np.int64) * (r.random((n, 24)) < share)
+    x[:, 20:] *= r.random((n, 4)) < 0.02
+    x[n // 2 : n // 2 + n // 10] = x[0]
+    for ids in (np.arange(n), np.arange(n) // 2):
+        q_ids, q = np.append(ids[::7], -50), np.vstack([x[::7], x[:1]])
+        got = M.search(k)(block(ids, x), block(q_ids, q))
+        assert list(zip(*(got.column(c).to_pylist() for c in range(3)))) == by_products(ids, x, q_ids, q, k)
+
+
+def test_a_query_costs_no_more_than_a_few_plain_products():
+    """CPU time of this thread against the plain products of the same integers."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4096, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    left, right = block(np.arange(4096), x), block(np.arange(0, 4096, 10), x[::10])
+    cost = lambda f: min(-time.thread_time() + (f(), time.thread_time())[1] for _ in range(3))
+    assert cost(lambda: M.search(5)(left, right)) < 4 * cost(lambda: x @ x[::10].T)
