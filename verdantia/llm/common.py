@@ -20,8 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that one numpy step handles; bounds a worker's memory whatever the batch holds.
 CHUNK = 1 << 18
-#: Rows of an Arrow batch, at most.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, at most, and about its bytes: the JVM holds each batch whole, outside its heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,14 +53,29 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands at most BATCH_ROWS rows to Python at once: rows hold whole texts."""
+    """df, in a session that hands at most BATCH_ROWS rows, or about BATCH_BYTES, to Python at once: rows hold whole texts."""
     conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:  # else the user's own
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
+def in_steps(run):
+    """run, a function on Arrow batches, with its results in batches of about BATCH_BYTES, one row at least."""
+
+    def stepped(batches):
+        for batch in run(batches):
+            step = max(1, len(batch) * BATCH_BYTES // max(1, batch.nbytes))
+            for i in range(0, len(batch), step):
+                yield batch.slice(i, step)
+
+    return stepped
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

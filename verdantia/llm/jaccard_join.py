@@ -508,7 +508,7 @@ def sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> Da
     n = one.count()
     twice = members.select("id").join(one, "id", "left_semi").groupBy("id").count().filter("count > 1")
     told = F.broadcast(one) if n <= BROADCAST_ROWS else one
-    sets = rows.join(told, rows["id"].eqNullSafe(told["id"]), "left_semi").select("body").mapInArrow(map_sets(k), "sid long, n int, tok binary").filter("n > 0")
+    sets = rows.join(told, rows["id"].eqNullSafe(told["id"]), "left_semi").select("body").mapInArrow(C.in_steps(map_sets(k)), "sid long, n int, tok binary").filter("n > 0")
     return sets if twice.isEmpty() and one.filter("id is null").isEmpty() else sets.dropDuplicates(["sid"])
 
 
@@ -517,7 +517,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     spark: SparkSession = docs.sparkSession
     n = 2 * C.parts(spark)
     rows = C.short_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    met = C.cut(rows.mapInArrow(map_index(n, k, p, q), OUT).repartitionById(n, "bucket").mapInArrow(meet_index, OUT).drop("bucket"))
+    met = C.cut(rows.mapInArrow(C.in_steps(map_index(n, k, p, q)), OUT).repartitionById(n, "bucket").mapInArrow(C.in_steps(meet_index), OUT).drop("bucket"))
     members = met.filter(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("sid"), "n")
     nodes = C.cut(met.filter(f"kind = {DOC} and b is not null").select(F.col("b").alias("sid"), "n", F.col("data").alias("bits")).dropDuplicates(["sid"]))
     screened = C.cut(screen(met.filter(f"kind = {PAIR}").select("a", "b").distinct(), nodes, p, q))
@@ -531,7 +531,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     open_ = C.cut(blocks_apart(C.cut(doubtful(met.filter(f"kind = {GROUP}"), doubt)), comp))
     for most in NEAREST:
         blocks = open_.join(comp, "sid", "left").join(nodes, "sid").select("block", "sid", F.coalesce("comp", "sid").alias("comp"), "n", "bits", "part")
-        near = C.cut(blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(cross_pairs(p, q, most), "more long, a long, b long").distinct())
+        near = C.cut(blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(C.in_steps(cross_pairs(p, q, most)), "more long, a long, b long").distinct())
         new = C.cut(near.filter("more is null").select("a", "b").join(checked, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             told = C.cut(verify(new, sets_of(rows, members, new, k), p, q))

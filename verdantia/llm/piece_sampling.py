@@ -143,12 +143,16 @@ class Lattices:
         final = np.append(to[order][1:] != to[order][:-1], True)
         need = self.size + len(s)
         if need > len(self.table[0]):
-            self.table = [np.concatenate([t[: self.size], np.zeros(need * 2 - self.size, t.dtype)]) for t in self.table]
+            for i, t in enumerate(self.table):  # one after another; what is not used yet is not touched
+                self.table[i] = np.empty(need * 3 // 2, t.dtype)
+                self.table[i][: self.size] = t[: self.size]
         for t, values in zip(self.table, ((to + np.clip(share, 0, 1 - 1e-9))[order] + self.count, pid[order], step[order], final)):
             t[self.size : need] = values
         states = len(u) + len(size)
         if self.count + states > len(self.arc):
-            self.arc = np.concatenate([self.arc[: self.count], np.zeros((self.count + states) * 2, np.int32)])
+            arc = np.empty((self.count + states) * 3 // 2, np.int32)
+            arc[: self.count] = self.arc[: self.count]
+            self.arc = arc
         n = np.bincount(to, minlength=states)
         self.arc[self.count : self.count + states] = self.size + np.cumsum(n) - n
         for k, f in zip(keys.tolist(), (off[:-1] + np.arange(len(size)) + self.count).tolist()):

@@ -446,20 +446,20 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     """docs (rid, body): (rid, lo, hi) for every run of window starts lo..hi whose windows occur elsewhere."""
     spark = docs.sparkSession
     n, k = 2 * C.parts(spark), max(1, length * 8 // 25)
-    met = docs.select("rid", "body").filter(F.length("body") >= length).mapInArrow(map_anchors(length, k, n), OUT)
-    met = C.cut(met.repartitionById(n, "bucket").mapInArrow(meet_anchors, OUT).drop("data", "bucket"))
+    met = docs.select("rid", "body").filter(F.length("body") >= length).mapInArrow(C.in_steps(map_anchors(length, k, n)), OUT)
+    met = C.cut(met.repartitionById(n, "bucket").mapInArrow(C.in_steps(meet_anchors), OUT).drop("data", "bucket"))
     runs = met.filter(f"kind = {RUN}").select("rid", "lo", "hi")
     open_ = met.filter(f"kind in ({DECIDE}, {COMPARE})")
     spots = open_.groupBy("rid").agg(F.collect_list(F.struct("kind", "kh", "a", "lo", "hi")).alias("spots"))
-    slices = C.cut(docs.select("rid", "body").join(spots, "rid").select("rid", "body", "spots").mapInArrow(cut_slices(length), SLICE))
+    slices = C.cut(docs.select("rid", "body").join(spots, "rid").select("rid", "body", "spots").mapInArrow(C.in_steps(cut_slices(length)), SLICE))
     # identical rows share rid; one of their equal slices is enough
     hot = slices.groupBy("kh").count().filter(F.col("count") > group).select("kh")
     if hot.isEmpty():
         few = slices
     else:
         few = slices.join(hot, "kh", "left_anti")
-        many = slices.join(hot, "kh", "left_semi").mapInArrow(single_windows(length, n), "bucket int, data binary")
-        runs = runs.unionByName(many.repartitionById(n, "bucket").mapInArrow(meet_windows, "rid long, lo int, hi int"))
+        many = slices.join(hot, "kh", "left_semi").mapInArrow(C.in_steps(single_windows(length, n)), "bucket int, data binary")
+        runs = runs.unionByName(many.repartitionById(n, "bucket").mapInArrow(C.in_steps(meet_windows), "rid long, lo int, hi int"))
     few = few.repartition(n, "kh").sortWithinPartitions("kh")
     return runs.unionByName(few.mapInArrow(sort_slices(length, k), "rid long, lo int, hi int"))
 
@@ -473,7 +473,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     rows = C.short_batches(docs).select(F.xxhash64(key, text).alias("rid"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"), F.struct(*rest).alias("rest"))
     runs = C.cut(repeated_runs(rows, length, group)).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     full = rows.join(runs, "rid", "left").select("rest", "body", "runs")
-    out = full.mapInArrow(strip_spans(length, keep_text, whole), f"rest {full.dtypes[0][1]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = full.mapInArrow(C.in_steps(strip_spans(length, keep_text, whole)), f"rest {full.dtypes[0][1]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if keep_text else out.drop("kept")
 
