@@ -130,10 +130,13 @@ def pl_ring_units(v):
 n AS (SELECT feat_id, count(CASE WHEN seg = 0 THEN 1 END) AS a, count(CASE WHEN seg = 1 THEN 1 END) AS b, count(seg) AS n FROM hits GROUP BY feat_id)
 SELECT f.feat_id, round(coalesce(CAST(a AS DOUBLE) / nullif(n, 0), 0.0), 6) AS canopy, round(coalesce(CAST(b AS DOUBLE) / nullif(n, 0), 0.0), 6) AS imperv FROM feats f LEFT JOIN n ON f.feat_id = n.feat_id""")
 def pl_ring_fractions(v):
-    centres = v.px.select("seg", (F.col("c") * 10 + 300005).alias("x"), (F.col("r") * 10 + 2000005).alias("y"))
-    n = R.points_in(centres, shaped(v.feats).select("feat_id", "rings", "holes"), "feat_id").groupBy("feat_id").agg(F.count_if(F.col("seg") == 0).alias("a"), F.count_if(F.col("seg") == 1).alias("b"), F.count("seg").alias("n"))
+    box = ["minx", "miny", "maxx", "maxy"]
+    shapes = v.feats.groupBy(*box).agg(F.min("feat_id").alias("shape"))  # features of one shape count alike
+    pixels = v.px.select("r", "c", *(e.cast("int").alias(c) for c, e in (("a", F.coalesce(F.col("seg") == 0, F.lit(False))), ("b", F.coalesce(F.col("seg") == 1, F.lit(False))), ("n", F.col("seg").isNotNull()))))
+    n = R.pixel_counts(pixels, ["a", "b", "n"], shaped(shapes).select("shape", "rings", "holes"), "shape", 300000, 2000000, 10)
     share = lambda c: F.round(F.coalesce(F.try_divide(c, "n"), F.lit(0.0)), 6)
-    return v.feats.select("feat_id").join(n, "feat_id", "left").select("feat_id", share("a").alias("canopy"), share("b").alias("imperv"))
+    found = shapes.join(n.hint("merge"), "shape").drop("shape")
+    return v.feats.select("feat_id", *box).join(found.hint("merge"), box, "left").select("feat_id", share("a").alias("canopy"), share("b").alias("imperv"))
 
 
 @query("SELECT unit_id, CAST(x + c_custkey % 8 / 8.0 AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM units WHERE c_custkey % 5 <> 0 UNION ALL SELECT unit_id, NULL, NULL FROM units WHERE c_custkey % 5 = 0")
