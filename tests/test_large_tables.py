@@ -44,3 +44,11 @@ def test_pixel_counts(spark):
 
 def test_ring_fractions_send_no_polygons_to_the_driver(spark, sf):
     assert "Broadcast" not in joins(catalog.QUERIES["pl_ring_fractions"](spark, sf))
+
+
+def test_lattice_needs_no_join(spark, sf):
+    """No broadcast of boxes or edges; a polygon in two parts with nothing at half its height has no middle."""
+    two = [(1, "two", [[(0.0, 0.0), (9.0, 0.0), (4.0, 4.0)], [(0.0, 99.0), (9.0, 99.0), (4.0, 96.0)]], []), (2, "thin", [[(0.0, 0.0), (100.0, 0.0), (100.0, 3.0), (0.0, 3.0)]], None)]
+    made = R.lattice(frame(spark, two), "k", 10.0)
+    assert [(r.k, r.x, r.y) for r in made.collect()] == [(2, 50.0, 1.5)]
+    assert joins(made) == "" and joins(catalog.QUERIES["pl_ring_units"](spark, sf)) == ""
