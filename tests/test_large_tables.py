@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from verdantia.operators import rings as R
+from verdantia.operators import spatial as S
 from verdantia.plans import catalog
 
 from .test_rings import frame, shapes
@@ -52,3 +53,11 @@ def test_lattice_needs_no_join(spark, sf):
     made = R.lattice(frame(spark, two), "k", 10.0)
     assert [(r.k, r.x, r.y) for r in made.collect()] == [(2, 50.0, 1.5)]
     assert joins(made) == "" and joins(catalog.QUERIES["pl_ring_units"](spark, sf)) == ""
+
+
+def test_overlay_counts_cells_before_they_meet(spark, sf):
+    """A thousand features over one cell are one row of it, and nothing is broadcast."""
+    boxes = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "a").alias("kind"), *(F.lit(v).alias(c) for c, v in (("minx", 300001), ("miny", 2000001), ("maxx", 300012), ("maxy", 2000002))))
+    got = {(r.kind, r.cx, r.cy): r.n for r in S.cell_counts(boxes, ["kind"], 10).collect()}
+    assert got == {(k, x, 0): 500 for k in ("a", None) for x in (0, 1)}
+    assert joins(catalog.QUERIES["jn_overlay_split"](spark, sf)) == "SortMergeJoin"

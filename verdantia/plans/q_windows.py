@@ -133,7 +133,7 @@ def set_dedupe_geometry(v):
 
 @query(f", {CELLS.format(t='fc')} SELECT DISTINCT cx, cy FROM fc WHERE kind = 'canopy' AND NOT EXISTS (SELECT 1 FROM fc o WHERE o.kind <> 'canopy' AND o.cx = fc.cx AND o.cy = fc.cy)")
 def set_cells_minus(v):
-    c = cells(v)
+    c = cells(v, ["kind"])
     return O.cells_minus(c.filter("kind = 'canopy'"), [c.filter("kind = 'building'"), c.filter("kind = 'impervious'")])
 
 
