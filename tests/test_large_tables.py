@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdantia.operators import rings as R
 from verdantia.operators import spatial as S
+from verdantia.operators import windows as O
 from verdantia.plans import catalog
 
 from .test_rings import frame, shapes
@@ -61,3 +62,11 @@ def test_overlay_counts_cells_before_they_meet(spark, sf):
     got = {(r.kind, r.cx, r.cy): r.n for r in S.cell_counts(boxes, ["kind"], 10).collect()}
     assert got == {(k, x, 0): 500 for k in ("a", None) for x in (0, 1)}
     assert joins(catalog.QUERIES["jn_overlay_split"](spark, sf)) == "SortMergeJoin"
+
+
+def test_cells_minus_is_one_pass(spark, sf):
+    """No join; a cell without a number equals none of the others'."""
+    cells = lambda *rows: spark.createDataFrame(rows, "cx long, cy long")
+    made = O.cells_minus(cells((1, 1), (1, 1), (2, 1), (None, 1), (3, 3)), [cells((2, 1), (None, 1)), cells((3, 3), (4, 4))])
+    assert {(r.cx, r.cy) for r in made.collect()} == {(1, 1), (None, 1)} and made.count() == 2
+    assert joins(made) == "" and joins(catalog.QUERIES["set_cells_minus"](spark, sf)) == ""

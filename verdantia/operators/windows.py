@@ -110,8 +110,9 @@ def dedupe_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def cells_minus(a: DataFrame, others: list[DataFrame]) -> DataFrame:
-    gone = union_layers([x.select("cx", "cy") for x in others])
-    return a.select("cx", "cy").distinct().join(gone, ["cx", "cy"], "left_anti")
+    """Cells (cx, cy) of a that none of the others has, once each; one pass of flags, no join. A cell without a number is in no other."""
+    marked = [a.select("cx", "cy", F.lit(False).alias("gone"))] + [x.select("cx", "cy", F.lit(True).alias("gone")).dropna() for x in others]
+    return union_layers(marked).groupBy("cx", "cy").agg(F.max("gone").alias("gone")).filter("not gone").drop("gone")
 
 
 def impervious_or(*columns: str) -> Column:
