@@ -1,9 +1,11 @@
 """Operators whose plans or rounds must not grow with pairs: results against plain loops, and plans without broadcasts of exploded rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
+from verdantia.operators import nearest as N
 from verdantia.operators import rings as R
 from verdantia.operators import spatial as S
 from verdantia.operators import windows as O
@@ -70,3 +72,28 @@ def test_cells_minus_is_one_pass(spark, sf):
     made = O.cells_minus(cells((1, 1), (1, 1), (2, 1), (None, 1), (3, 3)), [cells((2, 1), (None, 1)), cells((3, 3), (4, 4))])
     assert {(r.cx, r.cy) for r in made.collect()} == {(1, 1), (None, 1)} and made.count() == 2
     assert joins(made) == "" and joins(catalog.QUERIES["set_cells_minus"](spark, sf)) == ""
+
+
+def test_equal_segments_and_points_meet_once(spark, monkeypatch):
+    """5000 copies of a segment and of two points: only the points are as many rows when they are read and told their distance."""
+    lines = spark.range(5000).select(*(F.lit(float(v)).alias(c) for c, v in (("x1", 300010), ("y1", 2000010), ("x2", 300040), ("y2", 2000050))))
+    points = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, 300010.0).otherwise(300013.0).alias("x"), F.when(F.col("id") % 2 == 0, 2000000.0).otherwise(2000014.0).alias("y"))
+    sizes, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda df: (made := write(df), sizes.append(made.count()))[0])
+    got = N.nearest_distance(points, lines, "id").groupBy("id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).collect()
+    assert all(abs(r.d - (10.0 if r.id % 2 == 0 else 0.0)) < 1e-9 and r.n == 1 for r in got) and len(got) == 5000
+    assert sum(sizes) < 5000 + 100
+
+
+def test_cells_shrink_with_dense_segments(spark):
+    """20,000 different segments of 5 m over 1 km2: a point measures some of them, not those of 21 cells of 250 m."""
+    r = random.Random(2)
+    at = [(300000 + r.uniform(0, 1000), 2000000 + r.uniform(0, 1000)) for _ in range(20_000)]
+    lines = spark.createDataFrame([(x, y, x + 4.0, y + 3.0) for x, y in at], "x1 double, y1 double, x2 double, y2 double")
+    assert N.fine(lines, 250) < 16
+    assert N.fine(lines.withColumn("x2", F.col("x1") + 400), 250) == 250 and N.fine(lines.filter("false"), 250) == 250 and N.fine(lines.limit(1), 250) > 0
+    points = [(i, 300000 + r.uniform(-50, 1050), 2000000 + r.uniform(-50, 1050)) for i in range(50)]
+    got = {p.id: p.distance for p in N.nearest_distance(spark.createDataFrame(points, "id long, x double, y double"), lines, "id").collect()}
+    for i, x, y in points:
+        want = min(math.hypot(x - a - 4 * t, y - b - 3 * t) for a, b in at for t in [min(max(((x - a) * 4 + (y - b) * 3) / 25, 0), 1)])
+        assert abs(got[i] - want) < 1e-6
