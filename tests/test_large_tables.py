@@ -10,6 +10,7 @@ from verdantia.operators import rings as R
 from verdantia.operators import spatial as S
 from verdantia.operators import windows as O
 from verdantia.plans import catalog
+from verdantia.plans.q_carbon_planting import P
 
 from .test_rings import frame, shapes
 
@@ -97,3 +98,11 @@ def test_cells_shrink_with_dense_segments(spark):
     for i, x, y in points:
         want = min(math.hypot(x - a - 4 * t, y - b - 3 * t) for a, b in at for t in [min(max(((x - a) * 4 + (y - b) * 3) / 25, 0), 1)])
         assert abs(got[i] - want) < 1e-6
+
+
+def test_candidates_find_water_before_they_meet_scores(spark, sf, monkeypatch):
+    """The points that are held against water come from features alone; no pixel is read for them."""
+    seen, found = [], P.nearest_distance
+    monkeypatch.setattr(P, "nearest_distance", lambda points, *a: (seen.append(points._jdf.queryExecution().executedPlan().toString()), found(points, *a))[1])
+    assert catalog.QUERIES["pl_candidates"](spark, sf).count() > 0
+    assert "part.parquet" in seen[0] and "lineitem.parquet" not in seen[0]

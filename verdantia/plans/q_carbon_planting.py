@@ -72,9 +72,8 @@ def pl_candidates(v):
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     c = rest.withColumns({"area": area, "x": (F.col("minx") + F.col("maxx")) / 2, "y": (F.col("miny") + F.col("maxy")) / 2}).filter("area >= 500")
     c = c.select(F.concat(F.lit("CAND_"), F.col("feat_id").cast("string")).alias("candidate_id"), "area", "x", "y", S.candidate_class(F.col("landuse"), F.col("leisure"), F.col("amenity")).alias("candidate_class"), P.block_name(P.cell(F.col("y"), P.Y0, 250), P.cell(F.col("x"), P.X0, 250)).alias("block_id"))
-    c = c.join(v.scored.select("block_id", "score"), "block_id", "left")
     near = P.nearest_distance(c.select("candidate_id", "x", "y"), v.water, "candidate_id").withColumn("distance", F.round("distance", 4))
-    return c.join(near, "candidate_id", "left")
+    return c.join(v.scored.select("block_id", "score"), "block_id", "left").join(near, "candidate_id", "left")
 
 
 @query("""SELECT f.feat_id, round(coalesce(CAST(count(CASE WHEN p.seg = 0 THEN 1 END) AS DOUBLE) / nullif(count(p.seg), 0), 0.0), 6) AS canopy, round(coalesce(CAST(count(CASE WHEN p.seg = 1 THEN 1 END) AS DOUBLE) / nullif(count(p.seg), 0), 0.0), 6) AS imperv
