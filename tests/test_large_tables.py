@@ -106,3 +106,19 @@ def test_candidates_find_water_before_they_meet_scores(spark, sf, monkeypatch):
     monkeypatch.setattr(P, "nearest_distance", lambda points, *a: (seen.append(points._jdf.queryExecution().executedPlan().toString()), found(points, *a))[1])
     assert catalog.QUERIES["pl_candidates"](spark, sf).count() > 0
     assert "part.parquet" in seen[0] and "lineitem.parquet" not in seen[0]
+
+
+def test_buffer_meets_places_not_rows(spark):
+    """Copies of points and segments are told apart by their places; a point without coordinates is near nothing."""
+    r = random.Random(8)
+    lines = [(300000 + r.randrange(2000), 2000000 + r.randrange(2000)) for _ in range(40)]
+    points = [(i, 299900.0 + r.randrange(2200), 1999900.0 + r.randrange(2200)) for i in range(400)]
+    far = lambda x, y, a, b: (lambda t: math.hypot(x - a - 40 * t, y - b - 30 * t))(min(max(((x - a) * 40 + (y - b) * 30) / 2500, 0), 1))
+    segments = spark.createDataFrame([(a, b, a + 40, b + 30) for a, b in lines] * 5, "x1 long, y1 long, x2 long, y2 long")
+    copies = spark.createDataFrame([(f"{i}_{k}", x, y) for i, x, y in points for k in range(3)] + [("none", None, 1.0)], "id string, x double, y double")
+    made = S.within_buffer(copies, segments, 60.5, "id")
+    assert made.columns == ["id", "x", "y"]
+    near = {i for i, x, y in points if any(far(x, y, a, b) <= 60.5 for a, b in lines)}
+    assert 20 < len(near) < 380 and sorted(p.id for p in made.collect()) == sorted(f"{i}_{k}" for i in near for k in range(3))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert joins(made) == "SortMergeJoin" and "Aggregate [x1" in plan and "Aggregate [x" in plan.replace("[x1", "")
