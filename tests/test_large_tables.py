@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdantia.operators import nearest as N
 from verdantia.operators import rings as R
+from verdantia.operators import spacing as G
 from verdantia.operators import spatial as S
 from verdantia.operators import windows as O
 from verdantia.plans import catalog
@@ -122,3 +123,17 @@ def test_buffer_meets_places_not_rows(spark):
     assert 20 < len(near) < 380 and sorted(p.id for p in made.collect()) == sorted(f"{i}_{k}" for i in near for k in range(3))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert joins(made) == "SortMergeJoin" and "Aggregate [x1" in plan and "Aggregate [x" in plan.replace("[x1", "")
+
+
+def test_spacing_drops_copies_before_the_first_round(spark, monkeypatch):
+    """60,000 points at 20 places: the rounds see the places. Points without finite coordinates stay, copies or not."""
+    nan, inf = float("nan"), float("inf")
+    points = spark.range(60_000).select("id", (F.col("id") % 20 * 7.0).alias("x"), F.lit(1.0).alias("y"))
+    odd = spark.createDataFrame([(70_000 + i, x, 1.0) for i, x in enumerate((nan, nan, inf, inf, None, None))], "id long, x double, y double")
+    sizes, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: (made := write(df), sizes.append(made.count()))[0])
+    kept = G.enforce_spacing(points.unionByName(odd), "id", 10.0)
+    assert sorted(r.id for r in kept.collect()) == [*range(0, 20, 2), *range(70_000, 70_006)]
+    assert kept.columns == ["id", "x", "y"] and max(sizes) <= 20
+    # closer than nothing: all copies stay
+    assert G.enforce_spacing(points.limit(40), "id", 5e-5).count() == 40

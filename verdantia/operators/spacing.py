@@ -4,11 +4,14 @@ A point is decided once all smaller points near it are. Points meet in square ti
 a tile's points in key order decides all that do not wait for an undecided point of the border. Tiles shift by half
 a side from round to round, so what one round leaves at a border lies within a tile in the next: a chain of points that
 wait for one another costs a round for each tile's length, not for each link. Crowded tiles are split by sixteen, down to
-the least side, so a tile holds a bounded number of points unless that many stand within a few distances.
+the least side, so a tile holds a bounded number of points unless that many stand within a few distances. Of points at one
+place only the first can stay, so the others go before the first round.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,15 +22,18 @@ from ..sources.io import written
 #: Points of a tile, about; the least side of a tile in distances, and how often it doubles to the largest one.
 CROWD, LEAST_SIDE, DOUBLINGS = 200_000, 8, 14
 OPEN, KEPT, GONE = 0, 1, 2
+#: Points count as closer than a distance if they are so by this much.
+REACH_LESS = 1e-4
 
 
 def decide(spacing: float):
     """Statuses of a tile's own points that its rows determine; rows come with `own` and their status so far."""
-    reach = spacing - 1e-4
+    reach = spacing - REACH_LESS
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("place").to_numpy(), kind="stable")
         x, y = (table.column(c).to_numpy()[order] for c in "xy")
+        px, py = x.tolist(), y.tolist()
         status, own = table.column("status").to_numpy()[order].copy(), table.column("own").to_numpy(zero_copy_only=False)[order]
         if not (own & (status == OPEN)).any():
             return pa.table({"place": table.column("place").to_numpy()[order][own], "status": status[own].astype(np.int32)})
@@ -37,7 +43,7 @@ def decide(spacing: float):
             if status[i] == OPEN and own[i]:
                 waits = False
                 for j in (j for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1) for j in near.get((a, b), ())):
-                    if np.hypot(x[i] - x[j], y[i] - y[j]) <= reach:
+                    if math.hypot(px[i] - px[j], py[i] - py[j]) <= reach:
                         if status[j] == KEPT:
                             status[i] = GONE
                             break
@@ -72,14 +78,18 @@ def cell(c: str | Column, spacing: float, shift: float) -> Column:
 
 
 def enforce_spacing(units: DataFrame, key: str, spacing: float) -> DataFrame:
-    """units without the later point of each pair closer than spacing; points without coordinates stay, keys are distinct."""
-    there = F.col("x").isNotNull() & F.col("y").isNotNull()
-    at = written(units.filter(there).select(F.col(key).alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    """units without the later point of each pair closer than spacing; points without (finite) coordinates stay, keys are distinct."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    there = F.coalesce((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")) & F.col(key).isNotNull(), F.lit(False))
+    at = units.filter(there).select(F.col(key).alias("place"), x.alias("x"), y.alias("y"))
+    if spacing > REACH_LESS:
+        at = at.groupBy("x", "y").agg(F.min("place").alias("place")).select("place", "x", "y")
+    at = written(at)
     kind = at.schema["place"].dataType.simpleString()
     sides = LEAST_SIDE * spacing * (1 << DOUBLINGS)
     shifts = [0.0, sides / 2 + LEAST_SIDE * spacing / 2]
     maps = [tiles(at, spacing, s) for s in shifts]
-    state, gone, turn = written(at.withColumn("status", F.lit(OPEN))), [], 0
+    state, turn = written(at.withColumn("status", F.lit(OPEN))), 0
     while True:
         shift, named = shifts[turn % 2], maps[turn % 2]
         corners = F.array_distinct(F.array(*(F.struct(cell(F.col("x") + a * spacing, spacing, shift).alias("fx"), cell(F.col("y") + b * spacing, spacing, shift).alias("fy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
@@ -88,12 +98,8 @@ def enforce_spacing(units: DataFrame, key: str, spacing: float) -> DataFrame:
         rows = rows.groupBy("level", "tx", "ty", "place", "x", "y", "status").agg(F.max("own").alias("own"))
         told = rows.groupBy("level", "tx", "ty").applyInArrow(decide(spacing), f"place {kind}, status int")
         made = written(state.drop("status").join(told, "place"))
-        gone.append(made.filter(F.col("status") == GONE).select("place"))
         state = made.filter(F.col("status") != GONE)
         turn += 1
         if made.filter(F.col("status") == OPEN).isEmpty():
             break
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    return units.join(out.withColumnRenamed("place", key), key, "left_anti")
+    return units.filter(~there).unionByName(units.join(state.select(F.col("place").alias(key)).hint("merge"), key, "left_semi").select(*units.columns))
