@@ -12,7 +12,11 @@ from verdantia.operators import spatial as S
 from verdantia.operators import windows as O
 from verdantia.plans import catalog
 from verdantia.plans.q_carbon_planting import P
+from verdantia.sources.io import scratch
+from verdantia.streaming import activity as A
 
+from .test_rate import SECOND, fold
+from .test_rate import frame as requests
 from .test_rings import frame, shapes
 
 
@@ -137,3 +141,26 @@ def test_spacing_drops_copies_before_the_first_round(spark, monkeypatch):
     assert kept.columns == ["id", "x", "y"] and max(sizes) <= 20
     # closer than nothing: all copies stay
     assert G.enforce_spacing(points.limit(40), "id", 5e-5).count() == 40
+
+
+def test_rate_limit_stream_costs_by_slots_and_batches(spark):
+    """3000 keys over four runs of one checkpoint, in 2 slots: decisions equal one fold; a run's state has the partitions asked for, and its files are one batch."""
+    from os import listdir
+
+    A_SLOTS, A.SLOTS = A.SLOTS, 2
+    try:
+        r = random.Random(6)
+        rows = sorted(((f"k{r.randrange(3000)}", i, (1_700_000_000 + r.randrange(20_000)) * SECOND) for i in range(12_000)), key=lambda x: x[2])
+        src, out = scratch(spark, "requests"), scratch(spark, "decisions")
+        for part in (rows[:3000], rows[3000:3100], rows[3100:8000], rows[8000:]):
+            requests(spark, part).coalesce(1).write.mode("append").parquet(src)
+            stream = A.rate_limit(A.read_stream(spark, src, requests(spark, rows[:1]).schema), "k", 2, 900)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+        assert {x.event_id: (x.allowed, x.remaining, x.retry_after) for x in spark.read.parquet(out).collect()} == fold(rows, 2, 900)[0]
+    finally:
+        A.SLOTS = A_SLOTS
+    told = A.run_now(A.rate_limit(A.replay(requests(spark, rows), scratch(spark, "replayed")), "k", 2, 900), "limits", partitions=3)
+    assert told.count() == len(rows) and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    state = told.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "-state"
+    assert sorted(x for x in listdir(f"{state}/state/0") if x.isdigit()) == ["0", "1", "2"]
+    assert len([x for x in listdir(f"{state}/offsets") if x.isdigit()]) <= 2  # the rows, and the watermark after them

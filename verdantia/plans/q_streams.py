@@ -31,7 +31,7 @@ def stm_activity_dedup(v):
 
 @query(DECIDED)
 def stm_rate_limit(v):
-    return A.run_now(A.rate_limit(event_stream(v), "user_id", 2, 86400), "limits")
+    return A.run_now(A.rate_limit(event_stream(v), "user_id", 2, 86400), "limits", partitions=2 * v.spark.sparkContext.defaultParallelism)
 
 
 @query(f""", {COUNTED}, latest AS (SELECT max(t) AS moment FROM hits), last AS (SELECT user_id, arg_max(open, t) AS open, max(CASE WHEN open = top THEN n END) AS n FROM (SELECT *, max(open) OVER (PARTITION BY user_id) AS top FROM counted) c GROUP BY user_id),

@@ -15,11 +15,13 @@ from ..sources.io import scratch
 
 #: One microsecond under the gap: session windows merge at the gap itself, the rule merges below it.
 STRICT_GAP = "{us} microseconds"
+#: Bytes of files that a stream reads at once, about.
+BATCH = 64 << 20
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New Parquet files under a folder, a few at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    """New Parquet files under a folder, in batches of about BATCH bytes: what a batch costs besides its rows doesn't grow with the files."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH).parquet(path)
 
 
 def replay(df: DataFrame, path: str, ts: str = "ts") -> DataFrame:
@@ -38,11 +40,19 @@ def replay(df: DataFrame, path: str, ts: str = "ts") -> DataFrame:
     return read_stream(spark, path, df.schema)
 
 
-def run_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote; output and state are in the shared folder."""
+def run_now(df: DataFrame, name: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote; output and state are in the shared folder.
+
+    partitions: those of the state, each of which costs a commit in every batch; at most as many as a shuffle has.
+    """
     spark = df.sparkSession
-    out = scratch(spark, name)
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    out, dealt = scratch(spark, name), spark.conf.get("spark.sql.shuffle.partitions")
+    w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(dealt), partitions or int(dealt))))
+        q = w.start(out)  # takes the session's settings as they are now
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", dealt)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
@@ -59,42 +69,67 @@ def dedup_sessions(events: DataFrame, keys: list[str], seconds: int, late: str =
     return merged.select(*keys, "event_id", "last_ts", "merged")
 
 
+#: Keys are kept in so many slots; a checkpoint holds for one number.
+SLOTS = 256
+
+
 class Limiter(StatefulProcessor):
-    """The open window of each key: (opened, hits). A timer ends the state once the watermark has passed the window's end."""
+    """The open windows of a slot's keys as one table: (key, opened, hits). Windows that the watermark has passed leave it.
+
+    All keys of a slot are numbered together, so a batch costs a few calls for each slot, not for each key.
+    """
 
-    def __init__(self, key: str, limit: int, size: int):
-        self.key, self.limit, self.size = key, limit, size
+    def __init__(self, key: str, kind: str, limit: int, size: int):
+        self.key, self.kind, self.limit, self.size = key, kind, limit, size
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "opened long, hits int")
+        self.windows = handle.getValueState("windows", f"keys array<{self.kind}>, opened array<long>, hits array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = [(f["t"].to_numpy(), f["event_id"].to_numpy()) for f in rows]  # two numbers for each request of this batch
-        t, ids = (np.concatenate(c) for c in zip(*got))
-        order = np.lexsort((ids, t))
-        t, ids = t[order], ids[order]
-        opened, hits = self.window.get() if self.window.exists() else (None, 0)
-        open_, n, i = np.empty(len(t), np.int64), np.empty(len(t), np.int64), 0
-        while i < len(t):  # a round for each window
-            if opened is None or opened + self.size < t[i]:
-                opened, hits = int(t[i]), 0
-            j = int(np.searchsorted(t, opened + self.size, side="right"))
-            open_[i:j], n[i:j] = opened, hits + np.arange(1, j - i + 1)
-            hits, i = hits + j - i, j
-        self.window.update((opened, hits))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max((opened + self.size) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        got = pd.concat([f[[self.key, "event_id", "t"]] for f in rows], ignore_index=True)
+        held = self.windows.get() if self.windows.exists() else ([], [], [])
+        before, who = {k: i for i, k in enumerate(held[0])}, {}
+        own = got[self.key].tolist()
+        code = np.fromiter((who.setdefault(k, len(who)) for k in own), np.int64, len(own))
+        t, ids = got["t"].to_numpy(), got["event_id"].to_numpy()
+        order = np.lexsort((ids, t, code))
+        code, t, ids = code[order], t[order], ids[order]
+        start, end = np.searchsorted(code, np.arange(len(who))), np.searchsorted(code, np.arange(len(who)), side="right")
+        opened, hits, last = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64), np.full(len(who), False)
+        for k, c in who.items():
+            if k in before:
+                opened[c], hits[c], last[c] = held[1][before[k]], held[2][before[k]], True
+        open_, n = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+        for c in range(len(who)):
+            i, j = int(start[c]), int(end[c])
+            while i < j:  # a round for each window
+                if not last[c] or opened[c] + self.size < t[i]:
+                    opened[c], hits[c], last[c] = t[i], 0, True
+                k = i + int(np.searchsorted(t[i:j], opened[c] + self.size, side="right"))
+                open_[i:k], n[i:k] = opened[c], hits[c] + np.arange(1, k - i + 1)
+                hits[c], i = hits[c] + k - i, k
+        self.keep([*held[0], *who], [*held[1], *opened.tolist()], [*held[2], *hits.tolist()], timerValues)
         over = n > self.limit
         left = np.floor((open_ + self.size - t) / 1e6 + 0.5).astype(np.int64)
-        yield pd.DataFrame({self.key: [key[0]] * len(t), "event_id": ids, "allowed": ~over, "remaining": np.maximum(self.limit - n, 0).astype(np.int32), "retry_after": np.where(over, np.maximum(left, 1), 0).astype(np.int32)})
+        yield pd.DataFrame({self.key: [own[i] for i in order], "event_id": ids, "allowed": ~over, "remaining": np.maximum(self.limit - n, 0).astype(np.int32), "retry_after": np.where(over, np.maximum(left, 1), 0).astype(np.int32)})
+
+    def keep(self, keys, opened, hits, timerValues) -> None:
+        """Hold the last window of each key that has not ended by the watermark, and ask to be called when all have."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        last = {k: (o, n) for k, o, n in zip(keys, opened, hits)}
+        rows = [(k, o, n) for k, (o, n) in last.items() if (o + self.size) // 1000 + 1 > mark]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rows:
+            self.windows.update(tuple(list(c) for c in zip(*rows)))
+            self.handle.registerTimer(max((o + self.size) // 1000 + 1 for _, o, _ in rows))
+        else:
+            self.windows.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.window.exists():
-            opened, _ = self.window.get()
-            if (opened + self.size) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
-                self.window.clear()
+        if self.windows.exists():
+            self.keep(*self.windows.get(), timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -104,14 +139,15 @@ class Limiter(StatefulProcessor):
 def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """(key, event_id, allowed, remaining, retry_after) of each request of a stream, by the rule of operators.rate.
 
-    The session gets the RocksDB state store, which keeps keys on disk and in the checkpoint folder. Requests without a key
-    are not limited and have no row; a request that comes later than `late` has none either.
+    The session gets the RocksDB state store, which keeps slots of keys on disk and in the checkpoint folder. Requests without a
+    key are not limited and have no row; a request that comes later than `late` has none either.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = requests.schema[key].dataType.simpleString()
     timed = requests.filter(F.col(key).isNotNull()).withWatermark("ts", late).select(key, "event_id", F.unix_micros("ts").alias("t"), "ts")
     schema = f"{key} {kind}, event_id long, allowed boolean, remaining int, retry_after int"
-    return timed.groupBy(key).transformWithStateInPandas(Limiter(key, limit, seconds * 1_000_000), schema, "append", "EventTime")
+    slots = timed.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")).groupBy("slot")
+    return slots.transformWithStateInPandas(Limiter(key, kind, limit, seconds * 1_000_000), schema, "append", "EventTime")
 
 
 def validated(events: DataFrame, good: str, bad: str, types: tuple = ACTIVITY_TYPES):
