@@ -164,3 +164,33 @@ def test_rate_limit_stream_costs_by_slots_and_batches(spark):
     state = told.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "-state"
     assert sorted(x for x in listdir(f"{state}/state/0") if x.isdigit()) == ["0", "1", "2"]
     assert len([x for x in listdir(f"{state}/offsets") if x.isdigit()]) <= 2  # the rows, and the watermark after them
+
+
+def test_first_overlap(spark, monkeypatch):
+    """Against all pairs, in many rounds; touching boxes share nothing, and a rival without a number doesn't count."""
+    monkeypatch.setattr(S, "FIRST", 4)
+    monkeypatch.setattr(S, "TIMES", 2)
+    r = random.Random(9)
+    box = lambda far, wide: (lambda x, y: (x, y, x + r.randrange(wide), y + r.randrange(1, wide)))(300000 + r.randrange(-300, far), 2000000 + r.randrange(-300, far))
+    a = [(i, *box(1500, 60)) for i in range(300)]
+    b = [(-1000 + 7 * i, f"n{i}", *box(1500, 300)) for i in range(60)]
+    b += [(9000, "late", 300000, 2000000, 301400, 2001400), (8000, "twice", *b[3][2:]), (None, "no", 299000, 1999000, 302000, 2002000)]
+    sides = "minx long, miny long, maxx long, maxy long"
+    made = S.first_overlap(spark.createDataFrame([*a, *((1000 + i, *q) for i, *q in a)], f"k long, {sides}"), "k", spark.createDataFrame(b, f"other long, name string, {sides}"), "other", ["name"])
+    want = {}
+    for i, x0, y0, x1, y1 in a:
+        met = [(o, n) for o, n, u0, v0, u1, v1 in b if o is not None and min(x1, u1) > max(x0, u0) and min(y1, v1) > max(y0, v0)]
+        if met:
+            want[i] = want[1000 + i] = min(met)
+    got = made.collect()
+    assert {x.k: (x.other, x.name) for x in got} == want and len(got) == len(want) and {"late"} < {n for _, n in want.values()}
+
+
+def test_first_overlap_of_a_crowd_ends_early(spark, monkeypatch):
+    """8000 different boxes over one another: all have met the first ones after a round, and the rest of the pairs is not made."""
+    sizes, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda df: (made := write(df), sizes.append(made.count()))[0])
+    crowd = spark.range(8000).select("id", *(F.lit(v).alias(c) for c, v in (("minx", 300000), ("miny", 2000000))), (300001 + F.col("id")).alias("maxx"), F.lit(2000001).alias("maxy"))
+    got = S.first_overlap(crowd, "id", crowd.withColumnRenamed("id", "other"), "other", [], 100_000)
+    assert got.filter("other = 0").count() == 8000
+    assert sizes == [8000, 8000, 8000, 0]  # rivals, boxes, what the first round found, what it left
